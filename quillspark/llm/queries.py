@@ -6,11 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm.license_scan import op6_license_scan
+from quillspark.llm.near_dup import op9_near_dedup
 from quillspark.llm.packing import op8_packing
+from quillspark.llm.quality_rules import op1_quality_rules
+from quillspark.llm.secret_scan import op2_secret_scan
+from quillspark.llm.toxicity import op7_toxicity
+from quillspark.llm.url_filter import op4_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_packing,)}
+    made = (
+        op1_quality_rules,
+        op2_secret_scan,
+        op4_url_filter,
+        op6_license_scan,
+        op7_toxicity,
+        op8_packing,
+        op9_near_dedup,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
