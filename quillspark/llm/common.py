@@ -57,3 +57,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     order = F.xxhash64("doc_id", F.lit("labelled sample"))
     picked = [clean.where(F.col("_label") == v).orderBy(order, "doc_id").limit(per_class) for v in (0, 1)]
     return docs.select("doc_id", text).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose key is in ``ids`` (distinct keys), broadcast if their count allows it and shuffled otherwise."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_semi")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm.embedding_dedup import op5_embedding_dedup
+from quillspark.llm.kneser_ney import op10_quality_classifier
 from quillspark.llm.license_scan import op6_license_scan
 from quillspark.llm.near_dup import op9_near_dedup
 from quillspark.llm.packing import op8_packing
@@ -20,10 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_quality_rules,
         op2_secret_scan,
         op4_url_filter,
+        op5_embedding_dedup,
         op6_license_scan,
         op7_toxicity,
         op8_packing,
         op9_near_dedup,
+        op10_quality_classifier,
     )
     return {f.__name__: f for f in made}
 
