@@ -57,8 +57,9 @@ def shingles(text: bytes, known: dict[bytes, int], k: int = WORDS) -> np.ndarray
     try:
         raw = [known[w] for w in words]
     except KeyError:
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         raw = [known[w] for w in words]
     h = np.array(raw, dtype=np.uint64)
     width = min(k, len(h))
