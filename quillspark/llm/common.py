@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 def among(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows whose key is in ``ids`` (distinct keys), broadcast if their count allows it and shuffled otherwise."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_semi")
+
+
+_BREAKS = np.zeros(256, dtype=bool)
+_BREAKS[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.array([1], dtype=np.uint64)
+
+
+def word_hashes(raw: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of UTF-8 bytes; words are runs without space, tab and line breaks.
+
+    A polynomial of the word's bytes, modulo 2**64, is summed for all words at once, mixed with the length.
+    """
+    global _powers
+    word = ~_BREAKS[raw]
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    if (most := int(sizes.max())) > len(_powers):
+        _powers = np.cumprod(np.full(2 * most, _BASE, dtype=np.uint64))
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    total = np.add.reduceat((raw[word].astype(np.uint64) + np.uint64(1)) * _powers[place], first)
+    total += sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    total ^= total >> np.uint64(32)
+    total *= np.uint64(0xD6E8FEB86659FD93)
+    return total ^ (total >> np.uint64(29))

@@ -43,25 +43,13 @@ _rng = np.random.default_rng(20240607)
 _PLACE = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _rng.integers(0, 2**63, COORDS, dtype=np.uint64)
 _SCALE = _rng.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Words whose hash a worker remembers.
-CACHE_ENTRIES = 500_000
 
 
-def shingles(text: bytes, known: dict[bytes, int], k: int = WORDS) -> np.ndarray:
+def shingles(text: bytes, k: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles of UTF-8 text; fewer words count as one sequence."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    if len(known) > CACHE_ENTRIES:
-        known.clear()
-    try:
-        raw = [known[w] for w in words]
-    except KeyError:
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        raw = [known[w] for w in words]
-    h = np.array(raw, dtype=np.uint64)
+    h = common.word_hashes(np.frombuffer(text.lower(), dtype=np.uint8))
+    if not len(h):
+        return h
     width = min(k, len(h))
     n = len(h) - width + 1
     mix = np.full(n, width, dtype=np.uint64)
@@ -86,11 +74,10 @@ def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, digest, sig) for each row; digest and sig are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in common.small_batches(batches):
             sizes, digests, sigs = [], [], []
             for text in common.text_bytes(batch.column("text")):
-                items = shingles(text, known)
+                items = shingles(text)
                 sizes.append(len(items))
                 digests.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
                 sigs.append(signature(items) if len(items) else None)
@@ -105,9 +92,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """(rep, digest, items): the full set of each row, little-endian 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in common.small_batches(batches, 256):
-            found = [shingles(t, known).tobytes() for t in common.text_bytes(batch.column("text"))]
+            found = [shingles(t).tobytes() for t in common.text_bytes(batch.column("text"))]
             arrays = [batch.column("doc_id").cast(pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["rep", "digest", "items"])
 
