@@ -65,19 +65,18 @@ def repeated_words(hashes: np.ndarray, window: int = 5) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def statistics(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
-    """word_chars, n_symbols, n_dup_lines, n_repeat_words of UTF-8 text."""
+def statistics(text: bytes, words: np.ndarray) -> tuple[int, int, int, int]:
+    """word_chars, n_symbols, n_dup_lines, n_repeat_words of UTF-8 text and its words' hashes."""
     raw = np.frombuffer(text, dtype=np.uint8)
     points = int(((raw & 0xC0) != 0x80).sum())
-    lines = [x for x in text.split(b"\n") if x.split()]
-    hashes = np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).view(np.uint64)
-    return points - int(_SPACE[raw].sum()), int(_SYMBOL[raw].sum()), len(lines) - len(set(lines)), repeated_words(hashes)
+    lines = [x for x in text.split(b"\n") if x and not x.isspace()]
+    return points - int(_SPACE[raw].sum()), int(_SYMBOL[raw].sum()), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def hashed(text: bytes, words: list[bytes]) -> list[np.ndarray]:
+def hashed(text: bytes, words: np.ndarray) -> list[np.ndarray]:
     """Bucket numbers of each kind of n-gram, one for each occurrence, kinds apart."""
     size, shift = 1 << BITS, np.uint32(32 - BITS)
-    one = np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words))
+    one = (words >> np.uint64(32)).astype(np.uint32)
     two = one[:-1] * np.uint32(0x9E3779B1) + one[1:]
     raw = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
     three = raw[:-2] * np.uint32(65536) + raw[1:-1] * np.uint32(256) + raw[2:] if len(raw) > 2 else raw[:0]
@@ -152,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, 256):
-            out = [_sparse(hashed(t, t.split())) for t in common.text_bytes(batch.column("text"))]
+            out = [_sparse(hashed(t, common.word_hashes(np.frombuffer(t, np.uint8)))) for t in common.text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
@@ -176,7 +175,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in common.small_batches(batches):
             rows = []
             for text in common.text_bytes(batch.column("text")):
-                words = text.split()
+                words = common.word_hashes(np.frombuffer(text, np.uint8))
                 rows.append((len(words), *statistics(text, words), model.probability(hashed(text, words)) if model else None))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int64()] * 5 + [pa.float64()]
