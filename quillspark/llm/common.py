@@ -91,3 +91,8 @@ def word_hashes(raw: np.ndarray) -> np.ndarray:
     total ^= total >> np.uint64(32)
     total *= np.uint64(0xD6E8FEB86659FD93)
     return total ^ (total >> np.uint64(29))
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose key is not in ``ids`` (distinct keys); a null key stays."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_anti")

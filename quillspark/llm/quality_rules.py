@@ -168,24 +168,28 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     return fit([(r.label, np.frombuffer(r.i, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(float)) for r in rows])
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """One row per document: the statistics, base_failed, probability and kept."""
+def score(docs: DataFrame, model: Model | None, whole: bool = False) -> DataFrame:
+    """One row per document: doc_id, the statistics, probability, base_failed and kept; ``whole`` adds the input row as ``row``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches):
+            source = batch.column("row")
             rows = []
-            for text in common.text_bytes(batch.column("text")):
+            for text in common.text_bytes(source.field("text")):
                 words = common.word_hashes(np.frombuffer(text, np.uint8))
                 rows.append((len(words), *statistics(text, words), model.probability(hashed(text, words)) if model else None))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int64()] * 5 + [pa.float64()]
-            arrays = [batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCHEMA.split(", ")])
+            arrays = [source.field("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+            names = [x.split()[0] for x in SCHEMA.split(", ")]
+            yield pa.RecordBatch.from_arrays([*arrays, *[source] * whole], names=[*names, *["row"] * whole])
 
+    held = docs if whole else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    row = held.select(F.struct(*(F.col(f"`{c}`") for c in held.columns)).alias("row"))
+    schema = SCHEMA + (f", row {row.schema['row'].dataType.simpleString()}" if whole else "")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(run, SCHEMA)
+        row.mapInArrow(run, schema)
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("probability") >= KEEP_AT, F.lit(True)))
     )

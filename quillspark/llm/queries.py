@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm.embedding_dedup import op5_embedding_dedup
 from quillspark.llm.kneser_ney import op10_quality_classifier
 from quillspark.llm.license_scan import op6_license_scan
+from quillspark.llm.merge_dropout import op3_merge_dropout
 from quillspark.llm.near_dup import op9_near_dedup
 from quillspark.llm.packing import op8_packing
 from quillspark.llm.quality_rules import op1_quality_rules
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_quality_rules,
         op2_secret_scan,
+        op3_merge_dropout,
         op4_url_filter,
         op5_embedding_dedup,
         op6_license_scan,
