@@ -1,7 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are a text's distinct words (letters only, Unicode lower-cased) and word openings of four and five letters, hashed to 2**24 numbers; those
-that at least ``MIN_TEXTS`` sampled texts hold are the features, the rest weigh nothing. The score is
+that at least ``MIN_TEXTS`` sampled texts hold, with clearly different shares in the two classes, are the features; the rest
+weigh nothing, so that a long text does not gather noise. The score is
 sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>), so a pair, such as an insult with a group's name, can weigh more or less
 than its two parts. The machine is fitted on a bounded sample of labelled rows (``SAMPLE_PER_CLASS`` whole texts of each
 class, chosen by hash); documents with crc32(doc_id) mod 3 = 1 are never learned from. Label, language, source and id
@@ -30,7 +31,8 @@ from quillspark.llm import common
 
 SAMPLE_PER_CLASS = 3000
 HASH_BITS, MIN_TEXTS, FACTORS = 24, 4, 4
-EPOCHS, BATCH, RATE, SHRINK = 12, 128, 0.05, 2e-4
+LEAST_Z, MOST_TERMS = 4.0, 20_000
+EPOCHS, LEAST_STEPS, BATCH, RATE, SHRINK = 12, 2500, 128, 0.1, 1e-4
 TOXIC_AT = 0.7
 FOLDS, HELD_OUT_FOLD = 3, 1
 
@@ -68,12 +70,24 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
+def chosen(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Terms of enough texts whose shares in the two classes differ by LEAST_Z standard errors, the MOST_TERMS clearest."""
+    numbers, place = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+    label = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
+    n = np.bincount([r[0] for r in rows], minlength=2)
+    held = np.stack([np.bincount(place[label == y], minlength=len(numbers)) for y in (0, 1)])
+    share = held.sum(axis=0) / n.sum()
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
+    z = np.abs(held[1] / n[1] - held[0] / n[0]) / error
+    keep = np.flatnonzero((held.sum(axis=0) >= MIN_TEXTS) & (z >= LEAST_Z))
+    return numbers[np.sort(keep[np.argsort(-z[keep], kind="stable")][:MOST_TERMS])]
+
+
 def fit(rows: list[tuple[int, np.ndarray]], seed: int = 7) -> Machine | None:
     """Adam with soft shrinkage of the linear part on (label, hashed terms)."""
     if {r[0] for r in rows} != {0, 1}:
         return None
-    numbers, texts = np.unique(np.concatenate([r[1] for r in rows]), return_counts=True)
-    numbers = numbers[texts >= MIN_TEXTS]
+    numbers = chosen(rows)
     index = []
     for _, t in rows:
         at = np.clip(np.searchsorted(numbers, t), 0, max(len(numbers) - 1, 0))
@@ -83,8 +97,9 @@ def fit(rows: list[tuple[int, np.ndarray]], seed: int = 7) -> Machine | None:
     n = len(numbers)
     w0, w, v = 0.0, np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
     seen_w, seen_v, seen_0 = np.full(n, 1e-8), np.full((n, FACTORS), 1e-8), 1e-8
-    for epoch in range(EPOCHS):
-        rate = RATE / (1 + 0.3 * epoch)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(rows)))
+    for epoch in range(epochs):
+        rate = RATE / (1 + 3 * epoch / epochs)
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
