@@ -133,8 +133,11 @@ def log_odds(token: Column, ratios: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), add)
 
 
-def scan(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
-    """Adds ``found``: array<struct<start, kind, end>> sorted by start and kind, kind being the place in KINDS."""
+def scan(docs: DataFrame, ratios: list[float], text: str = "text", out: str = "found") -> DataFrame:
+    """Adds column ``out``: array<struct<start, kind, end>> sorted by start and kind, kind being the place in KINDS.
+
+    A column of that name is replaced; the working columns' names start with ``__secret``.
+    """
     source = F.coalesce(F.col(text).cast("string"), F.lit(""))
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
     base = F.concat(
@@ -146,12 +149,12 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
             for i, (kind, (p, least)) in enumerate(BASE.items())
         )
     )
-    out = docs.withColumn("_base", base).withColumn("_runs", located(source, f"({RUN}{{{MIN_RUN},}})", f"{RUN}{{{MIN_RUN}}}"))
-    clear = lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+    df = docs.withColumn("__secret_base", base).withColumn("__secret_runs", located(source, f"({RUN}{{{MIN_RUN},}})", f"{RUN}{{{MIN_RUN}}}"))
+    clear = lambda r: ~F.exists("__secret_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
     token = lambda r: F.substr(source, r["start"] + 1, r["end"] - r["start"])
-    random = F.filter("_runs", lambda r: clear(r) & (log_odds(token(r), table) >= LOG_ODDS))
+    random = F.filter("__secret_runs", lambda r: clear(r) & (log_odds(token(r), table) >= LOG_ODDS))
     added = F.transform(random, lambda r: F.struct(r["start"], F.lit(len(BASE)).alias("kind"), r["end"]))
-    return out.withColumn("found", F.array_sort(F.concat("_base", added))).drop("_base", "_runs")
+    return df.withColumn(out, F.array_sort(F.concat("__secret_base", added))).drop("__secret_base", "__secret_runs")
 
 
 def redact(docs: DataFrame, ratios: list[float], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -165,8 +168,9 @@ def redact(docs: DataFrame, ratios: list[float], text: str = "text", mark: str =
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substr(source, acc["at"] + 1, F.length(source)))
-    found = scan(docs, ratios, text)
-    return found.withColumn(text, F.when(F.size("found") > 0, F.aggregate("found", zero, step, rest)).otherwise(source)).drop("found")
+    spans = "__secret_spans"
+    found = scan(docs, ratios, text, spans)
+    return found.withColumn(text, F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(source)).drop(spans)
 
 
 def written(spans: Column) -> Column:
