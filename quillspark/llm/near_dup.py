@@ -2,19 +2,22 @@
 
 A document's set is its distinct five-word shingles. Equal sets are one vertex. Every vertex has a signature of minwise
 coordinates; a tree's root branches it by two of them, so a node holds the vertices that agree on the chosen token. A
-node of at most ``LIMIT`` vertices is compared exhaustively on the full sets. A larger one branches again, by two more
-coordinates that a hash of its path selects. ``TREES`` independent trees are grown: with 2 * TREES root coordinates a
-pair at the threshold 0.85 meets in none of them with probability 0.15 ** 8 = 3e-7, and in a node that branches, it
-parts with probability 0.15 ** 2 a level.
+larger node branches again, by two more coordinates that a hash of its path selects. ``TREES`` independent trees are
+grown: with 2 * TREES root coordinates a pair at the threshold 0.85 meets in none of them with probability
+0.15 ** 8 = 3e-7, and in a node that branches, it parts with probability 0.15 ** 2 a level.
 
-A node that branching would not divide (a child would keep ``DENSE`` of it) is a crowd of similar sets. It is dealt into
-chunks of about ``LIMIT``; each compares its vertices with each other and with the node's leader. Only the vertices
-without a path to the leader inside their chunk are then compared, as blocks of queries, with all chunks. Jaccard distance is a
-metric, so a pair whose distances to the leader differ by more than 0.15 is skipped without loss. What a chunk links is
-given as a spanning forest, so links never grow with a crowd's square.
+Nodes make candidates from signatures alone. In a node of at most ``LIMIT`` vertices every two signatures are compared;
+those that agree in ``SKETCH`` of the coordinates are a candidate (a pair at the threshold has fewer with probability
+about 1e-5). A node that branching would not divide (a child would keep ``DENSE`` of it) is a crowd, and is a candidate
+as a whole. The candidates' connected components are the groups; a text travels once, compressed, to its group, where links are
+confirmed on the full sets: all pairs at once by a product of incidence matrices.
 
-Whole texts travel only for vertices that share a node; their ids are broadcast up to common.BROADCAST_ROWS, and joined
-by a shuffle beyond.
+A group of more than ``LIMIT`` vertices is dealt into chunks, each with the group's first vertices as leaders. What the
+chunks do not connect to the group's main component is then compared, as blocks of queries, with every chunk: a link has
+both ends in the main component or one end among the queries, so none is lost. Tasks give spanning forests, so links never
+grow with a group's square, and two blocks are all that a task holds.
+
+The ids of documents in groups are broadcast up to common.BROADCAST_ROWS, and joined by a shuffle beyond.
 
 Defined results: a null or empty text, or one of white space, has the empty set and links with nothing; a null doc_id
 keeps its row, with a null component, and links with nothing; rows that share a doc_id are one document; an empty table
@@ -23,6 +26,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +40,12 @@ from quillspark.llm.components import components
 
 WORDS, PERCENT = 5, 85
 TREES, BRANCH, COORDS = 4, 2, 32
-LIMIT, DENSE, MAX_DEPTH = 128, 0.8, 12
+LIMIT, DENSE, MAX_DEPTH = 256, 0.8, 12
+#: Coordinates, of COORDS, in which a candidate's signatures agree at least.
+SKETCH = 17
+LEADERS = 4
+#: Columns of an incidence matrix that are multiplied at once.
+WIDTH = 32768
 _ROOTS = TREES * BRANCH
 
 _rng = np.random.default_rng(20240607)
@@ -88,59 +97,52 @@ def signed(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(rep, digest, items): the full set of each row, little-endian 64-bit hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.small_batches(batches, 256):
-            found = [shingles(t).tobytes() for t in common.text_bytes(batch.column("text"))]
-            arrays = [batch.column("doc_id").cast(pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["rep", "digest", "items"])
-
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "rep long, digest binary, items binary").dropDuplicates(["rep", "digest"])
-
-
-def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if 100 * small < percent * large:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (small + large - both)
-
-
-def distance(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 1 - both / (len(a) + len(b) - both)
-
+def overlaps(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
+    """Sizes of the intersections of all sets, or of the first ``split`` with the others, by incidence matrices."""
+    sizes = [len(x) for x in sets]
+    row = np.repeat(np.arange(len(sets)), sizes)
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    twice = np.bincount(column, minlength=1) > 1  # what one set holds alone meets nothing
+    keep = twice[column]
+    row, column = row[keep], (np.cumsum(twice) - 1)[column[keep]]
+    left = len(sets) if split is None else split
+    out = np.zeros((left, len(sets) if split is None else len(sets) - split), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = int(twice.sum())
+    for at in range(0, shared, WIDTH):
+        a, b = np.searchsorted(column, (at, at + WIDTH))
+        part = np.zeros((len(sets), min(WIDTH, shared - at)), dtype=np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        out += part[:left] @ (part if split is None else part[left:]).T
+    return out
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+def linked(sets: list[np.ndarray], split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all linked pairs, exactly: 100 * intersection >= PERCENT * union."""
+    both = overlaps(sets, split)
+    size = np.array([len(x) for x in sets], dtype=np.float32)
+    left, right = (size, size) if split is None else (size[:split], size[split:])
+    i, j = np.nonzero(100 * both >= PERCENT * (left[:, None] + right[None, :] - both))
+    return i, j if split is None else j + split
 
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        self.up[max(a, b)] = min(a, b)
 
+def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (least, member) that connect what the pairs (i, j) of n places connect."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            moved = np.flatnonzero(label != np.arange(n))
+            return label[moved], moved
+        label = new
 
-def node_links(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-    """A spanning forest of all links between the members, every pair not yet joined being compared."""
-    forest, out = Forest(len(members)), []
-    for i, (a, x) in enumerate(members):
-        for j in range(i):
-            if forest.root(i) != forest.root(j) and alike(x, members[j][1]):
-                forest.join(i, j)
-                out.append((members[j][0], a))
-    return out
 
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, list[dict]]]:
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[dict]]:
     """Runs of rows with equal keys; the rows come sorted by them."""
     now: tuple | None = None
     rows: list[dict] = []
@@ -149,92 +151,98 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
             key = tuple(row[k] for k in keys)
             if key != now:
                 if rows:
-                    yield now, rows
+                    yield rows
                 now, rows = key, []
-            row["items"] = np.frombuffer(row["items"], dtype=np.uint64)
             rows.append(row)
     if rows:
-        yield now, rows
+        yield rows
+
+
+def _forest(ids: list[int], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    least, member = spanning(i, j, len(ids))
+    name = np.array(ids, dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(name[least]), pa.array(name[member])], names=["a", "b"])
 
 
-def _linked(out: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def sketch_links(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) inside nodes (node, rep, sig) of at most LIMIT vertices, as spanning forests."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ("node",)):
+            sig = np.array([r["sig"] for r in rows], dtype=np.int32)
+            agree = np.zeros((len(sig), len(sig)), dtype=np.int16)
+            for k in range(COORDS):
+                agree += sig[:, k, None] == sig[None, :, k]
+            i, j = np.nonzero(agree >= SKETCH)
+            yield _forest([r["rep"] for r in rows], i, j)
+
+    return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
 
-def small_node_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside nodes (node, rep) of at most LIMIT members."""
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(grp, size, rep, packed) of rows (doc_id, text, grp, size): compressed texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, ("node",)):
-            yield _linked(node_links([(r["rep"], r["items"]) for r in rows]))
-
-    placed = nodes.join(sets.select("rep", "items"), "rep").select("node", "rep", "items")
-    return placed.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(run, "a long, b long")
-
-
-def crowd_links(crowds: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside nodes (node, rep) of any size that branching does not divide."""
-    order = F.xxhash64("rep", F.lit("leader"))
-    shape = crowds.groupBy("node").agg(F.count("*").alias("m"), F.min(F.struct(order.alias("o"), "rep")).alias("first"))
-    shape = shape.select("node", F.ceil(F.col("m") / LIMIT).cast("int").alias("chunks"), F.col("first.rep").alias("leader"))
-    dealt = crowds.join(shape, "node").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit("chunk")), F.col("chunks")).cast("int"))
-    own = dealt.select("node", "chunk", "rep", F.lit(False).alias("leads"))
-    lead = shape.select("node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("leader").alias("rep"), F.lit(True).alias("leads"))
-    held = sets.select("rep", "items")
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (node, chunk), rows in _groups(batches, ("node", "chunk")):
-            leader = next(r for r in rows if r["leads"])
-            rows = [leader, *(r for r in rows if not r["leads"] and r["rep"] != leader["rep"])]
-            links = node_links([(r["rep"], r["items"]) for r in rows])
-            at = {r["rep"]: i for i, r in enumerate(rows)}
-            forest = Forest(len(rows))
-            for a, b in links:
-                forest.join(at[a], at[b])
-            near = [distance(leader["items"], r["items"]) for r in rows]
-            out = [(node, chunk, r["rep"], near[i], forest.root(i) != 0, None, None) for i, r in enumerate(rows) if i or chunk == 0]
-            out += [(node, chunk, None, None, None, a, b) for a, b in links]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())
-            names = ("node", "chunk", "rep", "near", "rest", "a", "b")
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    told = (
-        own.unionByName(lead).join(held, "rep").repartition("node", "chunk").sortWithinPartitions("node", "chunk")
-        .mapInArrow(first, "node long, chunk int, rep long, near double, rest boolean, a long, b long")
-    )
-    told = common.checkpointed(told)
-    links = told.where("a is not null").select("a", "b")
-    placed = told.where("rep is not null").select("node", "chunk", "rep", "near", "rest")
-    rest = placed.where("rest")
-    if rest.limit(1).count() == 0:
-        return links
-    asks = rest.groupBy("node").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks")).join(shape.select("node", "chunks"), "node")
-    asks = common.checkpointed(asks)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        for batch in common.small_batches(batches):
+            packed = pa.array([zlib.compress(t, 1) for t in common.text_bytes(batch.column("text"))], pa.binary())
+            columns = [batch.column("grp"), batch.column("size"), batch.column("doc_id"), packed]
+            yield pa.RecordBatch.from_arrays(columns, names=["grp", "size", "rep", "packed"])
+
+    source = docs.select("grp", "size", F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return source.mapInArrow(run, "grp long, size long, rep long, packed binary")
+
+
+def _set(row: dict) -> np.ndarray:
+    return shingles(zlib.decompress(row["packed"]))
+
+
+def group_links(texts: DataFrame, *keys: str) -> DataFrame:
+    """Links inside each run of rows (keys..., rep, packed) of about LIMIT rows, as spanning forests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, keys):
+            yield _forest([r["rep"] for r in rows], *linked([_set(r) for r in rows]))
+
+    return texts.select(*keys, "rep", "packed").repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "a long, b long")
+
+
+def crowd_links(texts: DataFrame) -> DataFrame:
+    """Links of the groups of more than LIMIT vertices, from rows (grp, size, rep, packed)."""
+    texts = common.checkpointed(texts)
+    chunks = F.ceil(F.col("size") / LIMIT).cast("int")
+    chunk = lambda seed: F.pmod(F.xxhash64("rep", F.lit(seed)), chunks).cast("int")
+    order = F.struct(F.xxhash64("rep", F.lit("leader")), "rep")
+    heads = texts.groupBy("grp").agg(*(F.min(F.when(F.pmod(F.xxhash64("rep"), F.lit(LEADERS)) == k, order)).alias(f"h{k}") for k in range(LEADERS)))
+    heads = heads.select("grp", F.explode(F.array(*(F.col(f"h{k}.rep") for k in range(LEADERS)))).alias("rep")).where("rep is not null")
+    lead = texts.join(F.broadcast(heads) if heads.count() <= 10_000 else heads, ["grp", "rep"])
+    dealt = texts.select("grp", chunk("chunk").alias("chunk"), "rep", "packed")
+    led = lead.select("grp", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "rep", "packed")
+    first = common.checkpointed(group_links(dealt.unionByName(led), "grp", "chunk"))
+    # the largest component of each group is its main one; everything else asks
+    own = texts.select("grp", "size", "rep").join(components(first).withColumnRenamed("id", "rep"), "rep", "left")
+    own = common.checkpointed(own.select("grp", "size", "rep", F.coalesce("component", "rep").alias("component")).distinct())
+    main = own.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    main = main.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("m")).select("grp", F.col("m.component").alias("main"))
+    main = common.checkpointed(main)
+    rest = own.join(main, "grp").where("component <> main").select("grp", "rep")
+    blocks = rest.groupBy("grp").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks"))
+    rest, blocks = common.checkpointed(rest), common.checkpointed(blocks)
+    if blocks.limit(1).count() == 0:
+        return first
     block = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int")
-    query = rest.join(asks, "node").select("node", block.alias("block"), each("chunks").alias("chunk"), "rep", "near", F.lit(True).alias("asks"))
-    target = placed.join(asks, "node").select("node", each("blocks").alias("block"), "chunk", "rep", "near", F.lit(False).alias("asks"))
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = 1 - PERCENT / 100 + 1e-9
-        for _, rows in _groups(batches, ("node", "block", "chunk")):
-            forest, out = Forest(len(rows)), []
-            ask = [i for i, r in enumerate(rows) if r["asks"]]
-            for j, y in enumerate(rows):
-                for i in ask if not y["asks"] else ():
-                    x = rows[i]
-                    if x["rep"] == y["rep"]:
-                        forest.join(i, j)
-                    elif abs(x["near"] - y["near"]) <= reach and forest.root(i) != forest.root(j) and alike(x["items"], y["items"]):
-                        forest.join(i, j)
-                        out.append((x["rep"], y["rep"]))
-            yield _linked(out)
-
-    more = (
-        query.unionByName(target).join(held, "rep").repartition("node", "block", "chunk")
-        .sortWithinPartitions("node", "block", "chunk").mapInArrow(second, "a long, b long")
-    )
-    return links.unionByName(more)
+    held = texts.join(blocks, "grp")
+    asking = held.join(rest, ["grp", "rep"]).select("grp", block.alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(0).alias("side"), "rep", "packed")
+    asked = held.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk("chunk").alias("chunk"), F.lit(1).alias("side"), "rep", "packed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ("grp", "block", "chunk")):
+            split = sum(r["side"] == 0 for r in rows)
+            if 0 < split < len(rows):
+                yield _forest([r["rep"] for r in rows], *linked([_set(r) for r in rows], split))
+
+    keys = ("grp", "block", "chunk")
+    second = asking.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "side", "rep").mapInArrow(run, "a long, b long")
+    return first.unionByName(second)
 
 
 def _children(nodes: DataFrame) -> DataFrame:
@@ -245,37 +253,31 @@ def _children(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("child", F.explode(F.array_distinct(keys)))
 
 
-def grown(vertices: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Small nodes (node, rep), each set of members once, and the rows of crowds, from (rep, sig)."""
+def candidates(vertices: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of (rep, sig), as spanning forests of the nodes of all trees."""
     keys = F.array(*(F.xxhash64(F.lit(i), F.get("sig", F.lit(i))) for i in range(_ROOTS)))
     rows = vertices.select(F.explode(keys).alias("node"), "rep")
     sigs = vertices.select("rep", "sig")
-    small, crowds = [], []
+    out = []
     for depth in range(MAX_DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         sized = common.checkpointed(rows.join(sizes, "node"))
-        small.append(sized.where(F.col("size") <= LIMIT).select("node", "rep"))
+        # signatures are fetched only for vertices that share a node
+        out.append(sketch_links(sized.where(F.col("size") <= LIMIT).join(sigs, "rep").select("node", "rep", "sig")))
         big = sized.where(F.col("size") > LIMIT)
         if big.limit(1).count() == 0:
             break
-        if depth == MAX_DEPTH:
-            crowds.append(big.select("node", "rep"))
-            break
-        below = common.checkpointed(_children(big.join(sigs, "rep")).select("node", "size", "rep", "child"))
+        below = common.checkpointed(_children(big.join(sigs, "rep")).drop("sig"))
         held = below.groupBy("node", "child").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-        dense = held.groupBy("node").agg(F.max(F.col("n") / F.col("size")).alias("share")).where(F.col("share") >= DENSE).select("node")
-        dense = common.checkpointed(dense)
-        crowds.append(big.join(dense, "node", "left_semi").select("node", "rep"))
+        dense = held.groupBy("node").agg(F.max(F.col("n") / F.col("size")).alias("share"))
+        dense = common.checkpointed(dense.where((F.col("share") >= DENSE) | F.lit(depth == MAX_DEPTH)).select("node"))
+        first = big.groupBy("node").agg(F.min("rep").alias("a"))
+        out.append(big.select("node", "rep").join(first.join(dense, "node", "left_semi"), "node").select("a", F.col("rep").alias("b")))
         rows = below.join(dense, "node", "left_anti").select(F.col("child").alias("node"), "rep")
-    members = None
-    for part in small:
-        each = part.groupBy("node").agg(F.sort_array(F.collect_list("rep")).alias("members")).select("members")
-        members = each if members is None else members.unionByName(each)
-    once = members.distinct().select(F.xxhash64("members").alias("node"), F.explode("members").alias("rep"))
-    out = None
-    for part in crowds:
-        out = part if out is None else out.unionByName(part)
-    return common.checkpointed(once), None if out is None else common.checkpointed(out)
+    links = out[0]
+    for part in out[1:]:
+        links = links.unionByName(part)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -284,15 +286,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = rows.where("digest is not null and doc_id is not null")
     vertices = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("least"))
     vertices = common.checkpointed(vertices.select("digest", F.col("least.doc_id").alias("rep"), F.col("least.sig").alias("sig")))
-    nodes, crowds = grown(vertices.groupBy("rep").agg(F.min("sig").alias("sig")))
-    held = nodes.select("rep") if crowds is None else nodes.select("rep").unionByName(crowds.select("rep"))
-    needed = common.checkpointed(held.distinct().select(F.col("rep").alias("doc_id")))
-    if needed.count() <= common.BROADCAST_ROWS:
-        needed = F.broadcast(needed)
-    sets = common.checkpointed(full_sets(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")))
-    links = small_node_links(nodes, sets)
-    if crowds is not None:
-        links = links.unionByName(crowd_links(crowds, sets))
+    groups = components(candidates(vertices.select("rep", "sig")))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    groups = common.checkpointed(groups.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), "size"))
+    source = docs.select(F.col("doc_id").cast("long"), "text")
+    if usable.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        source = source.dropDuplicates()
+    texts = packed_texts(source.join(F.broadcast(groups) if groups.count() <= common.BROADCAST_ROWS else groups, "doc_id"))
+    links = group_links(texts.where(F.col("size") <= LIMIT), "grp")
+    if groups.where(F.col("size") > LIMIT).limit(1).count():
+        links = links.unionByName(crowd_links(texts.where(F.col("size") > LIMIT)))
     found = components(links)
     named = vertices.select("digest", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     named = common.checkpointed(named.select("digest", F.coalesce("component", "rep").alias("component")))
