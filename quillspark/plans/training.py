@@ -62,7 +62,7 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shuffled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seeded shuffle of the reference's order, on the labelled ids."""
+    """The seeded shuffle of the ordered ids, on the labelled ones."""
     return training.shuffled_split(_labels(spark, sf_dir).select("doc_id"), "doc_id")
 
 
