@@ -8,8 +8,7 @@ and every document is padded at both ends. Trusted text is every document labell
 3. Documents are read in packs. A pack asks for its distinct n-grams, shard by shard; the distinct n-grams of all packs are given
    their log-probability by joins, with the lower orders where an n-gram was never seen; the shards are joined with the
    packs' requests and each answer returns to its pack, where the documents are summed.
-4. A language's limit is q50 + SPREAD * (q90 - q50), quantiles of the log-perplexity of its trusted documents. A document above
-   the limit is rejected.
+4. A language's limit is the ``QUANTILE`` of the log-perplexity of its trusted documents. A document above the limit is rejected.
 
 What is gathered grows with the text: counts cover all trusted documents and requests all documents. Shards have at
 most 64 ** ORDER / SHARDS entries; no key's rows are collected without such a bound.
@@ -27,13 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
 
 ORDER, CLASSES, SHARDS = 4, 64, 64
-SPREAD = 15.0
+QUANTILE = 0.99
 #: Characters of a pack at most, if its last document does not pass it.
 PACK_CHARS = 32_000_000
 _SHARD = CLASSES**ORDER // SHARDS
@@ -269,7 +268,7 @@ def perplexities(docs: DataFrame, replies: DataFrame) -> DataFrame:
     return both.repartition("pack", "lang").sortWithinPartitions("pack", "lang", "kind").mapInArrow(summed, "doc_id long, lang string, n long, logp double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, spread: float = SPREAD) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, n_symbols, log_perplexity, limit, kept): one row per row of docs."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("\x00"))
     source = docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.col("text").cast("string"))
@@ -281,9 +280,8 @@ def classify(docs: DataFrame, labels: DataFrame, spread: float = SPREAD) -> Data
     rows = common.checkpointed(perplexities(source, answers(asked, scored)))
     value = -F.col("logp") / (F.col("n") + 1)
     rows = rows.select("doc_id", "lang", F.col("n").alias("n_symbols"), value.alias("log_perplexity"))
-    q = common.among(rows, good).groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.5, 0.9], 10000).alias("q"))
-    limit: Column = F.col("q")[0] + spread * (F.col("q")[1] - F.col("q")[0])
-    out = rows.join(F.broadcast(q) if q.count() <= 10_000 else q, "lang", "left").withColumn("limit", limit)
+    q = common.among(rows, good).groupBy("lang").agg(F.percentile_approx("log_perplexity", quantile, 10000).alias("limit"))
+    out = rows.join(F.broadcast(q) if q.count() <= 10_000 else q, "lang", "left")
     kept = F.col("log_perplexity").isNotNull() & F.coalesce(F.col("log_perplexity") <= F.col("limit"), F.lit(True))
     return out.select("doc_id", F.nullif("lang", F.lit("\x00")).alias("lang"), "n_symbols", "log_perplexity", "limit", kept.alias("kept"))
 

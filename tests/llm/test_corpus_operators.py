@@ -187,6 +187,21 @@ def test_perplexity_and_limits(spark, extra, messy, labels, empty, monkeypatch):
     assert kneser_ney.classify(empty, labels).count() == 0 and kneser_ney.classify(extra, labels.limit(0)).where("kept").count() > 0
 
 
+def test_repeated_words_are_above_the_limit(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(_clean(rng) for _ in range(80))) for i in range(300)]
+    rows += [(1000 + i, f"{w} " * 60) for i, w in enumerate(["Ered", "The", "Onorer."])]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r["kept"] for r in kneser_ney.classify(docs, labels).collect()}
+    assert not any(out[i] for i in out if i >= 1000) and sum(not out[i] for i in range(300)) <= 9
+
+
+def _clean(rng):
+    word = "".join(rng.choice(["er", "the", "on", "ing", "re", "an", "ti", "sh", "to", "es", "ha"]) for _ in range(rng.randint(1, 4)))
+    return (word.capitalize() if rng.random() < 0.1 else word) + "." * (rng.random() < 0.1)
+
+
 def test_codes_see_every_symbol():
     folded = kneser_ney.folded("aB é\n&")
     assert len(kneser_ney.codes(folded)) == len(folded) + 1 and folded.max() < 64 and folded.min() > 0
