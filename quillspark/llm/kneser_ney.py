@@ -8,7 +8,11 @@ and every document is padded at both ends. Trusted text is every document labell
 3. Documents are read in packs. A pack asks for its distinct n-grams, shard by shard; the distinct n-grams of all packs are given
    their log-probability by joins, with the lower orders where an n-gram was never seen; the shards are joined with the
    packs' requests and each answer returns to its pack, where the documents are summed.
-4. A language's limit is the ``QUANTILE`` of the log-perplexity of its trusted documents. A document above the limit is rejected.
+   Each document has two log-perplexities: of the model of all trusted text, and of the model without its own fold (``FOLDS``
+   by a hash of the text, so copies share one), which is a model of its own in all tables.
+4. A language's limit is the ``QUANTILE`` of the log-perplexity of its trusted documents, each by the model without its fold. A
+   language with fewer than ``LEAST_TRUSTED`` of them, whose own quantile is not determined, has at least its median times the pooled
+   limit, which is that quantile of the ratio to the median over all languages. A document above the limit is rejected.
 
 What is gathered grows with the text: counts cover all trusted documents and requests all documents. Shards have at
 most 64 ** ORDER / SHARDS entries; no key's rows are collected without such a bound.
@@ -33,6 +37,7 @@ from quillspark.llm import common
 
 ORDER, CLASSES, SHARDS = 4, 64, 64
 QUANTILE = 0.99
+FOLDS, LEAST_TRUSTED = 4, 100
 #: Characters of a pack at most, if its last document does not pass it.
 PACK_CHARS = 32_000_000
 _SHARD = CLASSES**ORDER // SHARDS
@@ -73,31 +78,44 @@ def codes(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+def fold_of(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) % FOLDS
+
+
+def keys_of(lang: str, text: str) -> tuple[str, str]:
+    """The model of all trusted text of the language, and the one without the text's fold."""
+    return f"-{lang}", f"{fold_of(text)}{lang}"
+
+
 def counted(trusted: DataFrame) -> DataFrame:
-    """(lang, code, n) over all trusted documents (lang, text)."""
+    """(lang, code, n) over the trusted documents (lang, text) of each model; lang is the model's key from here on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[tuple[str, int], list[np.ndarray]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
+            for (lang, fold), parts in held.items():
                 code, n = np.unique(np.concatenate(parts), return_counts=True)
-                arrays = [pa.array([lang] * len(code)), pa.array(code, pa.int32()), pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "code", "n"])
+                arrays = [pa.array([lang] * len(code)), pa.array([fold] * len(code), pa.int32()), pa.array(code, pa.int32()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "fold", "code", "n"])
             held.clear()
 
         for batch in common.small_batches(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if text:
-                    held.setdefault(lang, []).append(codes(folded(text)))
+                    held.setdefault((lang, fold_of(text)), []).append(codes(folded(text)))
                     size += len(text)
             if size > PACK_CHARS // 2:
                 yield from flush()
                 size = 0
         yield from flush()
 
-    return trusted.mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    grams = trusted.mapInArrow(run, "lang string, fold int, code int, n long").groupBy("lang", "code")
+    sums = grams.agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("fold") != i, F.col("n"))).alias(f"n{i}") for i in range(FOLDS)))
+    models = [("-", "n"), *((str(i), f"n{i}") for i in range(FOLDS))]
+    each = F.explode(F.array(*(F.struct(F.concat(F.lit(k), "lang").alias("lang"), F.col(n).alias("n")) for k, n in models)))
+    return sums.select("code", each.alias("of")).select("of.lang", "code", "of.n").where("n > 0")
 
 
 def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -174,9 +192,13 @@ def requests(docs: DataFrame) -> DataFrame:
         for pack, docs in _packs(batches):
             found: dict[str, np.ndarray] = {}
             for lang in dict.fromkeys(d[1] for d in docs):
-                parts = [codes(folded(t)) for _, own, t in docs if own == lang and t]
+                parts: dict[str, list[np.ndarray]] = {}
+                for _, own, t in docs:
+                    if own == lang and t:
+                        parts.setdefault(keys_of(lang, t)[1], []).append(codes(folded(t)))
+                found |= {k: np.unique(np.concatenate(v)) for k, v in parts.items()}
                 if parts:
-                    found[lang] = np.unique(np.concatenate(parts))
+                    found[f"-{lang}"] = np.unique(np.concatenate([found[k] for k in parts]))
             out = []
             for lang, code in found.items():
                 ends = np.searchsorted(code, np.arange(SHARDS + 1) * _SHARD)
@@ -223,16 +245,17 @@ def answers(asked: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, replies: DataFrame) -> DataFrame:
-    """(doc_id, lang, n, logp) for each document; the answers of a pack meet its documents."""
+    """(doc_id, lang, n, logp, unseen) for each document, by its two models; the answers of a pack meet its documents."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, held in _packs(batches):
             for lang in dict.fromkeys(d[1] for d in held):
-                own = [(i, folded(t)) for i, of, t in held if of == lang]
+                own = [(i, folded(t), fold_of(t)) for i, of, t in held if of == lang]
                 ids = pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64())], names=["doc_id", "n"]
+                    [pa.array([x[0] for x in own], pa.int64()), pa.array([len(x[1]) for x in own], pa.int64()), pa.array([x[2] for x in own], pa.int8())],
+                    names=["doc_id", "n", "fold"],
                 )
-                symbols = zlib.compress(b"".join(s.tobytes() for _, s in own), 1)
+                symbols = zlib.compress(b"".join(x[1].tobytes() for x in own), 1)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, ids.schema) as writer:
                     writer.write_batch(ids)
@@ -240,32 +263,45 @@ def perplexities(docs: DataFrame, replies: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "kind", "codes", "logps"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, now = np.zeros(0, np.float32), None
+        tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        now = None
+
+        def total(model: str, code: np.ndarray) -> float:
+            known, logp = tables.get(model, (code[:0], np.zeros(0)))
+            at = np.searchsorted(known, code)
+            if not len(known) or at.max() == len(known) or not np.array_equal(known[at], code):
+                raise RuntimeError("a pack lacks answers: its documents were read in another order")
+            return float(logp[at].sum(dtype=np.float64))
+
         for batch in common.small_batches(batches, 64):
             for row in batch.to_pylist():
+                if now != (row["pack"], row["lang"]):
+                    now, tables, parts = (row["pack"], row["lang"]), {}, {}
                 if row["kind"] == 0:
-                    if now != (row["pack"], row["lang"]):
-                        now, table = (row["pack"], row["lang"]), np.full(CLASSES**ORDER, np.nan, dtype=np.float32)
-                    table[np.frombuffer(row["codes"], "<i4")] = np.frombuffer(row["logps"], "<f4")
+                    parts.setdefault(row["model"], []).append((np.frombuffer(row["codes"], "<i4"), np.frombuffer(row["logps"], "<f4")))
                     continue
+                for key, own in parts.items():
+                    own.sort(key=lambda x: x[0][0])
+                    tables[key] = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
                 ids = pa.ipc.open_stream(row["codes"]).read_all()
                 symbols = np.frombuffer(zlib.decompress(row["logps"]), np.uint8)
                 sizes = ids.column("n").to_numpy()
                 ends = np.cumsum(sizes)
-                logp = np.full(len(sizes), np.nan)
-                for i, (n, end) in enumerate(zip(sizes, ends, strict=True)):
+                logp, unseen = [None] * len(sizes), [None] * len(sizes)
+                for i, (n, end, fold) in enumerate(zip(sizes, ends, ids.column("fold").to_pylist(), strict=True)):
                     if n:
-                        if now != (row["pack"], row["lang"]):
-                            raise RuntimeError("a pack has no answers: its documents were read in another order")
-                        logp[i] = table[codes(symbols[end - n : end])].sum(dtype=np.float64)
-                        if np.isnan(logp[i]):
-                            raise RuntimeError("a pack lacks answers: its documents were read in another order")
-                columns = [pa.array(ids.column("doc_id").to_pylist(), pa.int64()), pa.array([row["lang"]] * len(sizes), pa.string()), pa.array(sizes), pa.array([None if np.isnan(x) else x for x in logp], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "n", "logp"])
+                        code = codes(symbols[end - n : end])
+                        logp[i], unseen[i] = total("-", code), total(str(fold), code)
+                columns = [pa.array(ids.column("doc_id").to_pylist(), pa.int64()), pa.array([row["lang"]] * len(sizes), pa.string()), pa.array(sizes), pa.array(logp, pa.float64()), pa.array(unseen, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "n", "logp", "unseen"])
 
     schema = "pack long, lang string, kind int, codes binary, logps binary"
-    both = replies.select("pack", "lang", F.lit(0).alias("kind"), "codes", "logps").unionByName(docs.mapInArrow(packed, schema))
-    return both.repartition("pack", "lang").sortWithinPartitions("pack", "lang", "kind").mapInArrow(summed, "doc_id long, lang string, n long, logp double")
+    lang, of = F.substring("lang", 2, 2**31 - 1).alias("lang"), F.substring("lang", 1, 1).alias("model")
+    replied = replies.select("pack", lang, F.lit(0).alias("kind"), "codes", "logps", of)
+    both = replied.unionByName(docs.mapInArrow(packed, schema).withColumn("model", F.lit(None).cast("string")))
+    sums = "doc_id long, lang string, n long, logp double, unseen double"
+    return both.repartition("pack", "lang").sortWithinPartitions("pack", "lang", "kind").mapInArrow(summed, sums)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -278,10 +314,17 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     asked = common.checkpointed(requests(source))
     scored = resolved(_distinct(asked), probs, weights)
     rows = common.checkpointed(perplexities(source, answers(asked, scored)))
-    value = -F.col("logp") / (F.col("n") + 1)
-    rows = rows.select("doc_id", "lang", F.col("n").alias("n_symbols"), value.alias("log_perplexity"))
-    q = common.among(rows, good).groupBy("lang").agg(F.percentile_approx("log_perplexity", quantile, 10000).alias("limit"))
-    out = rows.join(F.broadcast(q) if q.count() <= 10_000 else q, "lang", "left")
+    value = lambda c: -F.col(c) / (F.col("n") + 1)
+    rows = rows.select("doc_id", "lang", F.col("n").alias("n_symbols"), value("logp").alias("log_perplexity"), value("unseen").alias("_unseen"))
+    unseen = common.among(rows, good).where("_unseen is not null").select("lang", "_unseen")
+    own = F.percentile_approx("_unseen", [0.5, quantile], 10000)
+    q = common.checkpointed(unseen.groupBy("lang").agg(own.alias("q"), F.count("*").alias("n")).select("lang", F.col("q")[0].alias("mid"), F.col("q")[1].alias("top"), "n"))
+    few = q.count() <= 10_000
+    ratio = unseen.join(F.broadcast(q) if few else q, "lang").select((F.col("_unseen") / F.col("mid")).alias("ratio"))
+    pooled = ratio.agg(F.percentile_approx("ratio", quantile, 10000)).first()[0]
+    limit = F.when(F.col("n") >= LEAST_TRUSTED, F.col("top")).otherwise(F.greatest("top", F.col("mid") * F.lit(pooled)))
+    q = q.select("lang", limit.alias("limit"))
+    out = rows.join(F.broadcast(q) if few else q, "lang", "left")
     kept = F.col("log_perplexity").isNotNull() & F.coalesce(F.col("log_perplexity") <= F.col("limit"), F.lit(True))
     return out.select("doc_id", F.nullif("lang", F.lit("\x00")).alias("lang"), "n_symbols", "log_perplexity", "limit", kept.alias("kept"))
 

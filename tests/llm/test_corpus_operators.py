@@ -197,6 +197,15 @@ def test_repeated_words_are_above_the_limit(spark):
     assert not any(out[i] for i in out if i >= 1000) and sum(not out[i] for i in range(300)) <= 9
 
 
+def test_few_trusted_documents_do_not_reject_the_unseen(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(_clean(rng) for _ in range(80)), "fr" if i < 60 else "en") for i in range(260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in (0, 1, 2, *range(60, 260))], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r["kept"] for r in kneser_ney.classify(docs, labels).collect()}
+    assert sum(out[i] for i in range(3, 60)) >= 50
+
+
 def _clean(rng):
     word = "".join(rng.choice(["er", "the", "on", "ing", "re", "an", "ti", "sh", "to", "es", "ha"]) for _ in range(rng.randint(1, 4)))
     return (word.capitalize() if rng.random() < 0.1 else word) + "." * (rng.random() < 0.1)
