@@ -1,9 +1,9 @@
 """License scans with DataFrame functions only: a positional index of rare licence words.
 
-A text's words (A-Z lower-cased) are looked up in an index of the templates' words. Of those a file holds, its
-``TOP_WORDS`` of highest inverse document frequency, counted over all documents, are used: each occurrence at place p
-meets the word's postings (template, place q), and p - q is the place where the template would begin. A template's
-coverage is the largest share, weighed by that frequency, of its postings of these words that agree on one beginning.
+A text's words (A-Z lower-cased) are looked up in an index of the templates' words, those of ``COMMON`` apart. Each
+occurrence at place p meets the word's postings (template, place q), and p - q is the place where the template would
+begin. A template's coverage is the largest share of its postings, weighed by the inverse document frequency counted over
+all documents, that agree on one beginning; every template of a file is measured by all its words.
 A template is a label if its coverage reaches ``COVERED`` and all its mandatory key phrases stand in the text.
 
 Index and frequencies are bounded by the templates, so both travel in the plan; one pass counts, one narrow pass scans.
@@ -50,7 +50,7 @@ TEMPLATES = {
 }
 #: Words too common in running text to be looked up.
 COMMON = frozenset("a all an and are as at by can following for free in is it may met of on or other that the this to under use version with you 0 2 3 4".split())
-TOP_WORDS, COVERED = 8, 0.6
+COVERED = 0.6
 
 BREAK = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 #: The same words before lower-casing.
@@ -114,27 +114,17 @@ def scan(docs: DataFrame, idf: dict[str, float], text: str = "text") -> DataFram
     labels = F.array(*(F.when(F.size(f"_{label}") > 0, F.lit(label)) for _, label in BASE))
     out = out.withColumn("places", F.concat(*(F.col(f"_{label}") for _, label in BASE)))
     out = out.withColumn("base", F.array_sort(F.array_distinct(F.filter(labels, lambda x: x.isNotNull()))))
-    # looked-up words with their places, cut down to the file's rarest words
+    # looked-up words with their places
     table = _map(idf)
     hits = F.filter(
         F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda h: h["word"].isin(*idf)
     )
-    rare = F.slice(
-        F.transform(
-            F.array_sort(
-                F.transform(F.array_distinct(F.transform("_hits", lambda h: h["word"])), lambda x: F.struct((-table[x]).alias("idf"), x.alias("word")))
-            ),
-            lambda s: s["word"],
-        ),
-        1,
-        TOP_WORDS,
-    )
-    out = out.withColumn("_hits", hits).withColumn("_rare", rare)
+    out = out.withColumn("_hits", hits)
     out = out.withColumn("_joined", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))
     found = []
     for name, places in postings().items():
         own = _map({x: ",".join(map(str, p)) for x, p in places.items()})
-        use = F.filter("_hits", lambda h: h["word"].isin(*places) & F.array_contains("_rare", h["word"]))
+        use = F.filter("_hits", lambda h: h["word"].isin(*places))
         begins = F.array_sort(
             F.flatten(
                 F.transform(
@@ -161,7 +151,7 @@ def scan(docs: DataFrame, idf: dict[str, float], text: str = "text") -> DataFram
     out = out.withColumn("added", F.transform(F.filter("_found", lambda x: x["share"] >= COVERED), lambda x: x["label"]))
     base_score = F.when(F.size("places") > 0, 1.0).otherwise(0.0)
     out = out.withColumn("score", F.greatest(base_score, F.coalesce(F.array_max(F.transform("_found", lambda x: x["share"])), F.lit(0.0))))
-    return out.drop("_w", "_hits", "_rare", "_joined", "_found", *(f"_{label}" for _, label in BASE))
+    return out.drop("_w", "_hits", "_joined", "_found", *(f"_{label}" for _, label in BASE))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,6 +163,15 @@ def test_licence_base_places(spark, messy):
     assert added[1004] == ["apache-2.0"] and added[1006] == []
 
 
+def test_every_notice_of_a_file_is_found(spark):
+    names = ("mit-notice", "bsd-notice", "gpl-notice", "apache-2.0")
+    sets = [[a for i, a in enumerate(names) if m >> i & 1] for m in range(1, 16)]
+    rows = [(k, " and so on. ".join(license_scan.TEMPLATES[a][0] for a in s)) for k, s in enumerate(sets)]
+    docs = spark.createDataFrame(rows + [(100 + i, f"plain text {i}") for i in range(200)], "doc_id long, text string")
+    out = {r["doc_id"]: r["added"] for r in license_scan.scan(docs, license_scan.frequencies(docs)).collect()}
+    assert all(set(out[k]) == set(s) for k, s in enumerate(sets)) and not any(out[100 + i] for i in range(200))
+
+
 def test_toxic_words_and_pairs(spark):
     import random
 
