@@ -4,12 +4,11 @@ A text is cut into segments (spaces, then a run without spaces); no piece of the
 each segment the agenda of byte-pair merging is processed: the candidate of best rank, leftmost first, is taken from the
 agenda; a keyed hash of (seed, variant, segment, step, place, piece) decides whether it is skipped, otherwise its two
 symbols merge and their new neighbours become candidates. What is left is the segmentation; characters without a piece
-become byte pieces. ``variant`` is a keyed hash of the document's id, so documents differ in how they cut the same word.
-With dropout 0 the ids are those of the plain encoder.
+become byte pieces. ``variant`` is a keyed hash of the document's id and the segment's number in its text, so each occurrence of
+a word is cut on its own. With dropout 0 the ids are those of the plain encoder.
 
-A segment's ids depend on (seed, variant, segment) alone, so a worker remembers them. The segments that a batch brings anew are
-processed side by side as arrays, one step of every segment's agenda at a time; segments over ``WIDE`` symbols are
-processed one by one with a heap.
+The segments of a batch are processed side by side as arrays, one step of every segment's agenda at a time; segments over
+``WIDE`` symbols are processed one by one with a heap. Nothing is remembered between occurrences.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a null doc_id hashes as an empty string; the vocabulary's
 mark for a space is written as bytes where a text holds it itself; repeated rows get equal ids; an empty table gives no
@@ -22,6 +21,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import common
 
-SEED, DROPOUT, VARIANTS = 20240607, 0.1, 4
-WIDE, CACHE_ENTRIES = 40, 600_000
+SEED, DROPOUT = 20240607, 0.1
+WIDE, _STRIDE = 40, 0x9E3779B97F4A7C15
 SPACE = "▁"
 _SEGMENT = re.compile(r" *[^ ]+| +")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -119,8 +119,6 @@ class Encoder:
     def __init__(self, path: str, seed: int, dropout: float):
         self.vocabulary = Vocabulary(path)
         self.seed, self.limit = seed, np.uint64(round(dropout * 2**32))
-        #: by variant: a segment without its first space -> ids
-        self.known: dict[int, dict[str, bytes]] = {}
 
     def symbols(self, segment: str) -> tuple[list[int], list[str]]:
         """Vocabulary ids, -1 for a character without one, and the characters; only spaces become the space mark."""
@@ -172,8 +170,8 @@ class Encoder:
         rest = [i for i in range(n) if not gone[i]]
         return self._ids([ids[i] for i in rest], rest, chars)
 
-    def together(self, wanted: list[tuple[int, str]]) -> None:
-        """Learns segments of like length, one agenda step of each at a time."""
+    def together(self, wanted: list[tuple[int, str]]) -> list[bytes]:
+        """Ids of segments of like length, one agenda step of each at a time."""
         v, n = self.vocabulary, len(wanted)
         sizes = np.fromiter((len(s) for _, s in wanted), dtype=np.int64, count=n)
         width = int(sizes.max()) + 1
@@ -217,42 +215,48 @@ class Encoder:
         out, counts = ids[live], live.sum(axis=1)
         ends = np.cumsum(counts)
         raw, plain = out.astype("<u2").tobytes(), np.add.reduceat(out < 0, ends - counts) == 0
-        for w, end, count, ok in zip(wanted, (2 * ends).tolist(), (2 * counts).tolist(), plain.tolist(), strict=True):
-            if ok:
-                self.known[w[0]][w[1][1:]] = raw[end - count : end]
+        found = [raw[end - count : end] if ok else b"" for end, count, ok in zip((2 * ends).tolist(), (2 * counts).tolist(), plain.tolist(), strict=True)]
         for i in np.flatnonzero(~plain):
             at = np.flatnonzero(live[i])
-            variant, segment = wanted[i]
-            self.known[variant][segment[1:]] = self._ids(ids[i, at].tolist(), at.tolist(), list(segment))
+            found[i] = self._ids(ids[i, at].tolist(), at.tolist(), list(wanted[i][1]))
+        return found
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """Segments without their first space."""
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return [s[1:] for s in _SEGMENT.findall(" " + text)]
+        return text.split(" ")
+
+    def cut(self, segments: list[tuple[int, str]]) -> list[bytes]:
+        """Ids of each (variant, segment without its first space)."""
+        out = [b""] * len(segments)
+        groups: dict[int, list[int]] = {}
+        for i, (variant, part) in enumerate(segments):
+            if len(part) < WIDE:
+                groups.setdefault(len(part) // 2, []).append(i)
+            else:
+                out[i] = self.alone(variant, " " + part)
+        for group in groups.values():
+            for at in range(0, len(group), 8192):
+                some = group[at : at + 8192]
+                for i, ids in zip(some, self.together([(segments[i][0], " " + segments[i][1]) for i in some]), strict=True):
+                    out[i] = ids
+        return out
 
     def encode(self, texts: list[tuple[int, str]]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of (variant, text)."""
-        if sum(map(len, self.known.values())) > CACHE_ENTRIES:
-            self.known.clear()
-        cut: list[tuple[int, list[str]]] = []
-        new: dict[int, set[str]] = {}
-        for variant, text in texts:
-            if not text:
-                parts = []
-            elif "  " in text or text[0] == " " or text[-1] == " ":
-                parts = [s[1:] for s in _SEGMENT.findall(" " + text)]
-            else:
-                parts = text.split(" ")
-            cut.append((variant, parts))
-            new.setdefault(variant, set()).update(parts)
-        wanted: dict[int, list[tuple[int, str]]] = {}
-        for variant, parts in new.items():
-            known = self.known.setdefault(variant, {})
-            for part in parts:
-                if part not in known:
-                    if len(part) < WIDE:
-                        wanted.setdefault(len(part) // 2, []).append((variant, " " + part))
-                    else:
-                        known[part] = self.alone(variant, " " + part)
-        for group in wanted.values():
-            for at in range(0, len(group), 8192):
-                self.together(group[at : at + 8192])
-        return [b"".join(map(self.known[variant].__getitem__, parts)) if parts else b"" for variant, parts in cut]
+        return self._joined([[(variant, part) for part in self.parts(text)] for variant, text in texts])
+
+    def encode_each(self, texts: list[tuple[int, str]]) -> list[bytes]:
+        """The same of (document's hash, text), where each segment's variant also depends on its number."""
+        return self._joined([[((own + k * _STRIDE) % 2**64, part) for k, part in enumerate(self.parts(text))] for own, text in texts])
+
+    def _joined(self, documents: list[list[tuple[int, str]]]) -> list[bytes]:
+        ids = iter(self.cut([x for document in documents for x in document]))
+        return [b"".join(islice(ids, len(document))) for document in documents]
 
 
 @cache
@@ -260,19 +264,19 @@ def _encoder(path: str, seed: int, dropout: float) -> Encoder:
     return Encoder(path, seed, dropout)
 
 
-def variant_of(doc_id: object, seed: int = SEED, variants: int = VARIANTS) -> int:
-    return xxhash.xxh3_64_intdigest("" if doc_id is None else str(doc_id), seed=seed) % variants
+def variant_of(doc_id: object, seed: int = SEED) -> int:
+    return xxhash.xxh3_64_intdigest("" if doc_id is None else str(doc_id), seed=seed)
 
 
-def encode(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """Adds ``ids``: little-endian unsigned 16-bit piece ids of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, seed, dropout)
-        for batch in common.small_batches(batches):
-            names = [variant_of(i, seed, variants) for i in batch.column("doc_id").to_pylist()]
+        for batch in common.small_batches(batches, 256):
+            names = [variant_of(i, seed) for i in batch.column("doc_id").to_pylist()]
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = pa.array(encoder.encode(list(zip(names, texts, strict=True))), pa.binary())
+            ids = pa.array(encoder.encode_each(list(zip(names, texts, strict=True))), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

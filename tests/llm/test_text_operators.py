@@ -141,6 +141,17 @@ def test_no_dropout_is_the_plain_encoder_and_both_ways_agree(messy):
         assert batched.encode([(v % 3, t)])[0] == b"".join(single.alone(v % 3, s) for s in parts)
 
 
+def test_each_occurrence_is_cut_on_its_own(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(i, "international cooperation") for i in range(300)] + [(900, "international " * 300)], "doc_id long, text string")
+    out = {r["doc_id"]: bytes(r["ids"]) for r in merge_dropout.encode(docs, path, dropout=0.3).collect()}
+    assert len({out[i] for i in range(300)}) > 8
+    encoder = merge_dropout.Encoder(path, merge_dropout.SEED, 0.3)
+    own, step = merge_dropout.variant_of(900), merge_dropout._STRIDE
+    single = [encoder.alone((own + k * step) % 2**64, " international") for k in range(300)]
+    assert out[900].startswith(b"".join(single)) and len(set(single)) > 4
+
+
 def test_licence_base_places(spark, messy):
     more = [
         (1, "MIT License. mit-license (the Apache\nLICENSE) x"),
