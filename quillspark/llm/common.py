@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A labelled id list is broadcast only up to this many rows (8 bytes each); beyond it a shuffle join is used.
 BROADCAST_ROWS = 2_000_000
+#: Narrow rows that one task writes at least, where their number is known.
+ROWS_PER_TASK = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,13 +33,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, written to the checkpoint folder. ``rows`` bounds its rows: what a shuffle made of them is written by no more tasks than they need.
+
+    Give ``rows`` only where the last step is a join or an aggregate, as the tasks of a step before it would be merged too.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))).checkpoint(eager=True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of results of ``checkpointed`` that nothing reads any more."""
+    for df in frames:
+        jvm, plan = df.sparkSession._jvm, df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() != "LogicalRDD":
+            raise ValueError("only a checkpointed table itself can be released")
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            path = jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -1,23 +1,24 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 A document's set is its distinct five-word shingles. Equal sets are one vertex. Every vertex has a signature of minwise
-coordinates; a tree's root branches it by two of them, so a node holds the vertices that agree on the chosen token. A
-larger node branches again, by two more coordinates that a hash of its path selects. ``TREES`` independent trees are
-grown: with 2 * TREES root coordinates a pair at the threshold 0.85 meets in none of them with probability
-0.15 ** 8 = 3e-7, and in a node that branches, it parts with probability 0.15 ** 2 a level.
+coordinates; a tree's root branches it by two of them, so a node holds the vertices that agree on the chosen token.
+``TREES`` independent trees are grown: with 2 * TREES root coordinates a pair at the threshold 0.85 meets in none of them
+with probability 0.15 ** 8 = 3e-7 (0.80: 3e-6). A node of more than ``LIMIT`` vertices branches again, by the two coordinates on which
+its vertices agree least, so common passages do not hold it together; a pair parts there with probability 0.15 ** 2 or a little more.
 
-Nodes make candidates from signatures alone. In a node of at most ``LIMIT`` vertices every two signatures are compared;
-those that agree in ``SKETCH`` of the coordinates are a candidate (a pair at the threshold has fewer with probability
-about 1e-5). A node that branching would not divide (a child would keep ``DENSE`` of it) is a crowd, and is a candidate
-as a whole. The candidates' connected components are the groups; a text travels once, compressed, to its group, where links are
-confirmed on the full sets: all pairs at once by a product of incidence matrices.
+A node of at most ``LIMIT`` vertices is compared exhaustively. Signatures first: pairs that agree in ``SKETCH`` coordinates are
+candidates (a pair at the threshold has fewer with probability about 1e-5; 1e-4 at 0.80), unless they met in the node of an earlier
+root. A node's candidates fall into parts; a text travels, compressed, to each part that holds it, and all pairs of
+the part are confirmed on the full sets by a product of incidence matrices, in whole numbers. So a text travels at most once a node, and
+chains of weak candidates do not gather.
 
-A group of more than ``LIMIT`` vertices is dealt into chunks, each with the group's first vertices as leaders. What the
-chunks do not connect to the group's main component is then compared, as blocks of queries, with every chunk: a link has
-both ends in the main component or one end among the queries, so none is lost. Tasks give spanning forests, so links never
-grow with a group's square, and two blocks are all that a task holds.
+A large node whose vertices agree with its commonest values in ``DENSE`` of the coordinates on average is a crowd, which branching would not divide.
+Crowds that share vertices are one. A crowd is dealt into chunks, each with the same few leaders. What the chunks do not
+connect to the crowd's main component is then compared in blocks with the rest and, unless its exact distances to the leaders prove it too
+far (Jaccard distance is a metric), with the main component's chunks. A link has both ends in the main component or one
+end among the rest, so none is lost. Tasks give spanning forests, so links never grow with a group's square.
 
-The ids of documents in groups are broadcast up to common.BROADCAST_ROWS, and joined by a shuffle beyond.
+The ids of documents in parts are broadcast up to common.BROADCAST_ROWS, and joined by a shuffle beyond.
 
 Defined results: a null or empty text, or one of white space, has the empty set and links with nothing; a null doc_id
 keeps its row, with a null component, and links with nothing; rows that share a doc_id are one document; an empty table
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
@@ -106,7 +107,7 @@ def overlaps(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
     keep = twice[column]
     row, column = row[keep], (np.cumsum(twice) - 1)[column[keep]]
     left = len(sets) if split is None else split
-    out = np.zeros((left, len(sets) if split is None else len(sets) - split), dtype=np.float32)
+    out = np.zeros((left, len(sets) if split is None else len(sets) - split), dtype=np.int64)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     shared = int(twice.sum())
@@ -114,17 +115,17 @@ def overlaps(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
         a, b = np.searchsorted(column, (at, at + WIDTH))
         part = np.zeros((len(sets), min(WIDTH, shared - at)), dtype=np.float32)
         part[row[a:b], column[a:b] - at] = 1
-        out += part[:left] @ (part if split is None else part[left:]).T
+        out += (part[:left] @ (part if split is None else part[left:]).T).astype(np.int64)  # each product is exact
     return out
 
 
-def linked(sets: list[np.ndarray], split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all linked pairs, exactly: 100 * intersection >= PERCENT * union."""
-    both = overlaps(sets, split)
-    size = np.array([len(x) for x in sets], dtype=np.float32)
-    left, right = (size, size) if split is None else (size[:split], size[split:])
-    i, j = np.nonzero(100 * both >= PERCENT * (left[:, None] + right[None, :] - both))
-    return i, j if split is None else j + split
+def linked(both: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all linked pairs, exactly: 100 * intersection >= percent * union, from intersections and sizes."""
+    return np.nonzero(100 * both >= percent * (left[:, None] + right[None, :] - both))
+
+
+def sizes_of(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([len(x) for x in sets], dtype=np.int64)
 
 
 def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +147,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
     """Runs of rows with equal keys; the rows come sorted by them."""
     now: tuple | None = None
     rows: list[dict] = []
-    for batch in batches:
+    for batch in common.small_batches(batches, 256):
         for row in batch.to_pylist():
             key = tuple(row[k] for k in keys)
             if key != now:
@@ -164,141 +165,232 @@ def _forest(ids: list[int], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(name[least]), pa.array(name[member])], names=["a", "b"])
 
 
-def sketch_links(nodes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) inside nodes (node, rep, sig) of at most LIMIT vertices, as spanning forests."""
+def sketch_parts(nodes: DataFrame) -> DataFrame:
+    """(part, rep) of rows (node, upto, handled, rep, sig) of small nodes: the parts into which a node's candidates fall.
+
+    A pair that agrees in an earlier root coordinate (below ``upto``) whose node was small (a bit of ``handled``) met there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, ("node",)):
             sig = np.array([r["sig"] for r in rows], dtype=np.int32)
             agree = np.zeros((len(sig), len(sig)), dtype=np.int16)
+            met = np.zeros((len(sig), len(sig)), dtype=bool)
+            mask, upto = np.array([r["handled"] for r in rows], dtype=np.int64), rows[0]["upto"]
             for k in range(COORDS):
-                agree += sig[:, k, None] == sig[None, :, k]
-            i, j = np.nonzero(agree >= SKETCH)
-            yield _forest([r["rep"] for r in rows], i, j)
-
-    return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+                same = sig[:, k, None] == sig[None, :, k]
+                agree += same
+                if k < upto:
+                    met |= same & (mask[:, None] >> k & 1 > 0)
+            i, j = np.nonzero((agree >= SKETCH) & ~met)
+            least, member = spanning(i, j, len(sig))
+            held = np.concatenate([np.unique(least), member])
+            root = np.concatenate([np.unique(least), least])
+            name = np.array([xxhash.xxh3_64_intdigest(f"{rows[0]['node']},{rows[r]['rep']}".encode()) for r in root], dtype=np.uint64)
+            reps = np.array([r["rep"] for r in rows], dtype=np.int64)[held]
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(reps)], names=["part", "rep"])
+
+    dealt = nodes.select("node", "upto", "handled", "rep", "sig").repartition("node").sortWithinPartitions("node")
+    return dealt.mapInArrow(run, "part long, rep long")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(grp, size, rep, packed) of rows (doc_id, text, grp, size): compressed texts."""
+    """(of, rep, packed) of rows (doc_id, text, of): compressed texts; ``of`` is kept as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches):
             packed = pa.array([zlib.compress(t, 1) for t in common.text_bytes(batch.column("text"))], pa.binary())
-            columns = [batch.column("grp"), batch.column("size"), batch.column("doc_id"), packed]
-            yield pa.RecordBatch.from_arrays(columns, names=["grp", "size", "rep", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("of"), batch.column("doc_id"), packed], names=["of", "rep", "packed"])
 
-    source = docs.select("grp", "size", F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "grp long, size long, rep long, packed binary")
+    source = docs.select("of", F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return source.mapInArrow(run, f"of {docs.schema['of'].dataType.simpleString()}, rep long, packed binary")
 
 
 def _set(row: dict) -> np.ndarray:
     return shingles(zlib.decompress(row["packed"]))
 
 
-def group_links(texts: DataFrame, *keys: str) -> DataFrame:
-    """Links inside each run of rows (keys..., rep, packed) of about LIMIT rows, as spanning forests."""
+def part_links(texts: DataFrame, percent: int) -> DataFrame:
+    """Links inside each part of rows (part, rep, packed), at most LIMIT rows a part, as spanning forests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, keys):
-            yield _forest([r["rep"] for r in rows], *linked([_set(r) for r in rows]))
+        for rows in _runs(batches, ("part",)):
+            sets = [_set(r) for r in rows]
+            size = sizes_of(sets)
+            yield _forest([r["rep"] for r in rows], *linked(overlaps(sets), size, size, percent))
 
-    return texts.select(*keys, "rep", "packed").repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "a long, b long")
+    return texts.repartition("part").sortWithinPartitions("part", "rep").mapInArrow(run, "a long, b long")
 
 
-def crowd_links(texts: DataFrame) -> DataFrame:
-    """Links of the groups of more than LIMIT vertices, from rows (grp, size, rep, packed)."""
+def _dealt(salt: str, into: Column) -> Column:
+    return F.pmod(F.xxhash64("rep", F.lit(salt)), into).cast("int")
+
+
+def crowd_links(texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the crowds, from rows (grp, size, rep, packed)."""
     texts = common.checkpointed(texts)
+    n = texts.count()
     chunks = F.ceil(F.col("size") / LIMIT).cast("int")
-    chunk = lambda seed: F.pmod(F.xxhash64("rep", F.lit(seed)), chunks).cast("int")
     order = F.struct(F.xxhash64("rep", F.lit("leader")), "rep")
     heads = texts.groupBy("grp").agg(*(F.min(F.when(F.pmod(F.xxhash64("rep"), F.lit(LEADERS)) == k, order)).alias(f"h{k}") for k in range(LEADERS)))
-    heads = heads.select("grp", F.explode(F.array(*(F.col(f"h{k}.rep") for k in range(LEADERS)))).alias("rep")).where("rep is not null")
+    heads = heads.select("grp", F.explode(F.array(*(F.struct(F.col(f"h{k}.rep").alias("rep"), F.lit(k).alias("lead")) for k in range(LEADERS)))).alias("h"))
+    heads = common.checkpointed(heads.select("grp", "h.rep", "h.lead").where("rep is not null"), n)
     lead = texts.join(F.broadcast(heads) if heads.count() <= 10_000 else heads, ["grp", "rep"])
-    dealt = texts.select("grp", chunk("chunk").alias("chunk"), "rep", "packed")
-    led = lead.select("grp", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "rep", "packed")
-    first = common.checkpointed(group_links(dealt.unionByName(led), "grp", "chunk"))
-    # the largest component of each group is its main one; everything else asks
-    own = texts.select("grp", "size", "rep").join(components(first).withColumnRenamed("id", "rep"), "rep", "left")
-    own = common.checkpointed(own.select("grp", "size", "rep", F.coalesce("component", "rep").alias("component")).distinct())
-    main = own.groupBy("grp", "component").agg(F.count("*").alias("n"))
-    main = main.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("m")).select("grp", F.col("m.component").alias("main"))
-    main = common.checkpointed(main)
-    rest = own.join(main, "grp").where("component <> main").select("grp", "rep")
-    blocks = rest.groupBy("grp").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks"))
-    rest, blocks = common.checkpointed(rest), common.checkpointed(blocks)
-    if blocks.limit(1).count() == 0:
-        return first
-    block = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int")
-    held = texts.join(blocks, "grp")
-    asking = held.join(rest, ["grp", "rep"]).select("grp", block.alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(0).alias("side"), "rep", "packed")
-    asked = held.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk("chunk").alias("chunk"), F.lit(1).alias("side"), "rep", "packed")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ("grp", "block", "chunk")):
-            split = sum(r["side"] == 0 for r in rows)
+    dealt = texts.select("grp", _dealt("chunk", chunks).alias("chunk"), "rep", F.lit(None).cast("int").alias("lead"), "packed")
+    led = lead.select("grp", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "rep", "lead", "packed")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ("grp", "chunk")):
+            sets = [_set(r) for r in rows]
+            size, both = sizes_of(sets), overlaps(sets)
+            forest = _forest([r["rep"] for r in rows], *linked(both, size, size, percent))
+            far = np.full((len(rows), LEADERS), np.nan)
+            for k, r in enumerate(rows):
+                if r["lead"] is not None:
+                    distance = 1 - both[:, k] / np.maximum(size + size[k] - both[:, k], 1)
+                    far[:, r["lead"]] = np.where(np.arange(len(rows)) == k, 0.0, distance)
+            own = [k for k, r in enumerate(rows) if r["lead"] is None]
+            ids = pa.array([rows[k]["rep"] for k in own], pa.int64())
+            none, lists = pa.nulls(forest.num_rows, pa.list_(pa.float64())), pa.array(far[own].tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([forest.column("a"), forest.column("b"), none], names=["a", "b", "far"])
+            yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(own), pa.int64()), lists], names=["a", "b", "far"])
+
+    keys = ("grp", "chunk")
+    found = dealt.unionByName(led).repartition(*keys).sortWithinPartitions(*keys, F.col("lead").isNull(), "rep")
+    found = common.checkpointed(found.mapInArrow(first, "a long, b long, far array<double>"))
+    links = found.where("b is not null").select("a", "b")
+    # the largest component of each crowd is its main one; everything else asks
+    named = components(links, (LEADERS + 1) * n).withColumnRenamed("id", "rep")
+    far = found.where("b is null").select(F.col("a").alias("rep"), "far").dropDuplicates(["rep"])
+    own = texts.select("grp", "rep").distinct().join(named, "rep", "left").join(far, "rep", "left")
+    own = common.checkpointed(own.select("grp", "rep", F.coalesce("component", "rep").alias("component"), "far"), n)
+    each = own.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    main = each.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("m")).select("grp", F.col("m.component").alias("main"))
+    main = common.checkpointed(main, n)
+    # distances to the leaders within the main component
+    at = [F.col("far")[k] for k in range(LEADERS)]
+    reach = own.join(main, "grp").where("component = main").groupBy("grp").agg(*(f(F.nanvl(at[k], F.lit(None).cast("double"))).alias(f"{t}{k}") for k in range(LEADERS) for f, t in ((F.min, "lo"), (F.max, "hi"))))
+    slack = 1 - percent / 100 + 1e-9
+    apart = F.lit(False)
+    for k in range(LEADERS):
+        apart = apart | F.coalesce(~F.isnan(at[k]) & ((at[k] > F.col(f"hi{k}") + slack) | (at[k] < F.col(f"lo{k}") - slack)), F.lit(False))
+    rest = own.join(main, "grp").where("component <> main").join(reach, "grp").select("grp", "rep", (~apart).alias("near"))
+    rest = common.checkpointed(rest, n)
+    if rest.limit(1).count() == 0:
+        return links
+    blocks = common.checkpointed(rest.groupBy("grp").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("rest"), F.ceil(F.count_if("near") / LIMIT).cast("int").alias("near")), n)
+    few = blocks.count() <= 10_000
+    held = texts.join((F.broadcast(blocks) if few else blocks).withColumnRenamed("near", "nears"), "grp")
+    asking = held.join(rest, ["grp", "rep"])
+    answering = held.join(rest.select("grp", "rep"), ["grp", "rep"], "left_anti").where("nears > 0")
+    side = lambda df, kind, x, y, left: df.select("grp", F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), F.lit(left).alias("left"), "rep", "packed")
+    every = lambda last: F.explode(F.sequence(F.lit(0), last - 1))
+    near = asking.where("near").withColumn("_x", _dealt("near", F.col("nears")))
+    mine = asking.withColumn("_x", _dealt("rest", F.col("rest")))
+    tables = [
+        side(near, 0, F.col("_x"), every(chunks), True),
+        side(answering.withColumn("_y", _dealt("chunk", chunks)), 0, every(F.col("nears")), F.col("_y"), False),
+        side(mine, 1, F.col("_x"), F.explode(F.sequence("_x", F.col("rest") - 1)), True),
+        side(mine, 1, F.explode(F.sequence(F.lit(0), "_x")), F.col("_x"), False),
+    ]
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ("grp", "kind", "x", "y")):
+            split = sum(r["left"] for r in rows)
             if 0 < split < len(rows):
-                yield _forest([r["rep"] for r in rows], *linked([_set(r) for r in rows], split))
+                sets = [_set(r) for r in rows]
+                size = sizes_of(sets)
+                i, j = linked(overlaps(sets, split), size[:split], size[split:], percent)
+                yield _forest([r["rep"] for r in rows], i, j + split)
 
-    keys = ("grp", "block", "chunk")
-    second = asking.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "side", "rep").mapInArrow(run, "a long, b long")
-    return first.unionByName(second)
+    keys = ("grp", "kind", "x", "y")
+    both = tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3])
+    both = both.repartition(*keys).sortWithinPartitions(*keys, F.col("left").desc(), "rep")
+    return links.unionByName(both.mapInArrow(second, "a long, b long"))
 
 
-def _children(nodes: DataFrame) -> DataFrame:
-    """(node, rep, sig, child) with BRANCH children of each row."""
-    pool = COORDS - _ROOTS
-    picks = [(F.pmod(F.xxhash64("node", F.lit(j)), F.lit(pool)) + _ROOTS).cast("int") for j in range(BRANCH)]
-    keys = F.array(*(F.xxhash64("node", p, F.get("sig", p)) for p in picks))
-    return nodes.withColumn("child", F.explode(F.array_distinct(keys)))
+def _splits(big: DataFrame, rows: int) -> DataFrame:
+    """(node, share, p0, p1) of rows (node, size, sig): mean share of the commonest values, and the two coordinates with the least."""
+    votes = big.select("node", "size", F.posexplode("sig").alias("at", "value")).groupBy("node", "at", "value").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    most = votes.groupBy("node", "at").agg((F.max("n") / F.max("size")).alias("share"))
+    node = most.groupBy("node").agg(F.avg("share").alias("share"), F.sort_array(F.collect_list(F.struct("share", "at"))).alias("by"))
+    return common.checkpointed(node.select("node", "share", *(F.col("by")[k]["at"].alias(f"p{k}") for k in range(BRANCH))), rows)
 
 
-def candidates(vertices: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of (rep, sig), as spanning forests of the nodes of all trees."""
+def grown(vertices: DataFrame, n: int) -> tuple[list[DataFrame], DataFrame | None, list[DataFrame]]:
+    """All trees over (rep, sig): the parts (part, rep) of each level, the crowds' (node, rep) if any, and what to release once they are read."""
     keys = F.array(*(F.xxhash64(F.lit(i), F.get("sig", F.lit(i))) for i in range(_ROOTS)))
-    rows = vertices.select(F.explode(keys).alias("node"), "rep")
-    sigs = vertices.select("rep", "sig")
-    out = []
+    rooted = vertices.select(F.posexplode(keys).alias("upto", "node"), "rep")
+    sizes = rooted.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    shared = rooted.join(sizes, "node").groupBy("rep").agg(F.collect_list(F.struct("node", "upto", "size")).alias("nodes"))
+    # signatures are fetched only for vertices that share a node
+    held = common.checkpointed(shared.join(vertices, "rep"), n)
+    small = F.aggregate("nodes", F.lit(0), lambda acc, x: acc + F.when(x["size"] <= LIMIT, F.call_function("shiftleft", F.lit(1), x["upto"])).otherwise(0))
+    level = held.select(F.explode("nodes").alias("at"), "rep", "sig", small.alias("handled"))
+    level = level.select("at.node", "at.upto", "at.size", "handled", "rep", "sig")
+    parts, crowds, spare = [], None, [held]
     for depth in range(MAX_DEPTH + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = common.checkpointed(rows.join(sizes, "node"))
-        # signatures are fetched only for vertices that share a node
-        out.append(sketch_links(sized.where(F.col("size") <= LIMIT).join(sigs, "rep").select("node", "rep", "sig")))
-        big = sized.where(F.col("size") > LIMIT)
-        if big.limit(1).count() == 0:
+        parts.append(sketch_parts(level.where(F.col("size") <= LIMIT)))
+        big = level.where(F.col("size") > LIMIT)
+        m = big.count()
+        if m == 0:
             break
-        below = common.checkpointed(_children(big.join(sigs, "rep")).drop("sig"))
-        held = below.groupBy("node", "child").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-        dense = held.groupBy("node").agg(F.max(F.col("n") / F.col("size")).alias("share"))
-        dense = common.checkpointed(dense.where((F.col("share") >= DENSE) | F.lit(depth == MAX_DEPTH)).select("node"))
-        first = big.groupBy("node").agg(F.min("rep").alias("a"))
-        out.append(big.select("node", "rep").join(first.join(dense, "node", "left_semi"), "node").select("a", F.col("rep").alias("b")))
-        rows = below.join(dense, "node", "left_anti").select(F.col("child").alias("node"), "rep")
-    links = out[0]
-    for part in out[1:]:
-        links = links.unionByName(part)
-    return links
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per row of docs."""
+        big = common.checkpointed(big, m)
+        splits = _splits(big, m)
+        crowd = (F.col("share") >= DENSE) | F.lit(depth == MAX_DEPTH)
+        dense = big.join(splits.where(crowd), "node", "left_semi").select("node", "rep")
+        crowds = dense if crowds is None else crowds.unionByName(dense)
+        branched = big.join(splits.where(~crowd), "node")
+        pick = lambda k: F.xxhash64("node", f"p{k}", F.get("sig", F.col(f"p{k}")))
+        below = branched.select(F.explode(F.array_distinct(F.array(*map(pick, range(BRANCH))))).alias("node"), "handled", "rep", "sig")
+        below = common.checkpointed(below, BRANCH * m)
+        sizes = below.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        level = below.join(sizes, "node").withColumn("upto", F.lit(_ROOTS))
+        spare += [big, splits, below]
+    return parts, crowds, spare
+
+
+def crowds_of(rows: DataFrame, n: int) -> DataFrame:
+    """(rep, grp, size) of the crowds' rows (node, rep): crowds that share vertices are one group."""
+    each = common.checkpointed(rows.groupBy("rep").agg(F.collect_set("node").alias("nodes")), n)
+    first = F.array_min("nodes")
+    touching = each.where(F.size("nodes") > 1).select(first.alias("a"), F.explode("nodes").alias("b")).distinct()
+    named = components(touching, n)
+    own = each.select("rep", first.alias("id")).join(named, "id", "left").select("rep", F.coalesce("component", "id").alias("grp"))
+    own = common.checkpointed(own, n)
+    sizes = own.groupBy("grp").agg(F.count("*").alias("size"))
+    return common.checkpointed(own.join(sizes, "grp").select(F.col("rep").alias("doc_id"), "grp", "size"), n)
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row per row of docs. SKETCH and TREES suit a percent of 80 or more."""
     rows = common.checkpointed(signed(docs))
+    n = rows.count()
     usable = rows.where("digest is not null and doc_id is not null")
     vertices = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("least"))
-    vertices = common.checkpointed(vertices.select("digest", F.col("least.doc_id").alias("rep"), F.col("least.sig").alias("sig")))
-    groups = components(candidates(vertices.select("rep", "sig")))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    groups = common.checkpointed(groups.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), "size"))
+    vertices = common.checkpointed(vertices.select("digest", F.col("least.doc_id").alias("rep"), F.col("least.sig").alias("sig")), n)
+    parts, crowds, spare = grown(vertices.select("rep", "sig"), n)
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    every = common.checkpointed(every.groupBy("rep").agg(F.collect_set("part").alias("of")).withColumnRenamed("rep", "doc_id"), n)
+    grouped = crowds_of(crowds, n) if crowds is not None else None
+    common.release(*spare)
     source = docs.select(F.col("doc_id").cast("long"), "text")
     if usable.groupBy("doc_id").count().where("count > 1").limit(1).count():
         source = source.dropDuplicates()
-    texts = packed_texts(source.join(F.broadcast(groups) if groups.count() <= common.BROADCAST_ROWS else groups, "doc_id"))
-    links = group_links(texts.where(F.col("size") <= LIMIT), "grp")
-    if groups.where(F.col("size") > LIMIT).limit(1).count():
-        links = links.unionByName(crowd_links(texts.where(F.col("size") > LIMIT)))
-    found = components(links)
+    small = lambda ids: F.broadcast(ids) if ids.count() <= common.BROADCAST_ROWS else ids
+    bound = every.agg(F.sum(F.size("of"))).first()[0] or 0
+    texts = packed_texts(source.join(small(every), "doc_id"))
+    links = part_links(texts.select(F.explode("of").alias("part"), "rep", "packed"), percent)
+    if grouped is not None:
+        bound += 3 * (LEADERS + 1) * grouped.count()
+        held = source.join(small(grouped), "doc_id").select("doc_id", "text", F.struct("grp", "size").alias("of"))
+        links = links.unionByName(crowd_links(packed_texts(held).select("of.*", "rep", "packed"), percent))
+    found = components(links, bound)
     named = vertices.select("digest", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    named = common.checkpointed(named.select("digest", F.coalesce("component", "rep").alias("component")))
+    named = common.checkpointed(named.select("digest", F.coalesce("component", "rep").alias("component")), n)
+    common.release(vertices, every)
     out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
