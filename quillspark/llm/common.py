@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A labelled id list is broadcast only up to this many rows (8 bytes each); beyond it a shuffle join is used.
 BROADCAST_ROWS = 2_000_000
 #: Narrow rows that one task writes at least, where their number is known.
-ROWS_PER_TASK = 200_000
+ROWS_PER_TASK = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -44,7 +44,7 @@ TREES, BRANCH, COORDS = 4, 2, 32
 LIMIT, DENSE, MAX_DEPTH = 256, 0.8, 12
 #: Coordinates, of COORDS, in which a candidate's signatures agree at least.
 SKETCH = 17
-LEADERS = 4
+LEADERS, REFERENCES = 4, 3
 #: Columns of an incidence matrix that are multiplied at once.
 WIDTH = 32768
 _ROOTS = TREES * BRANCH
@@ -310,11 +310,22 @@ def crowd_links(texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _splits(big: DataFrame, rows: int) -> DataFrame:
-    """(node, share, p0, p1) of rows (node, size, sig): mean share of the commonest values, and the two coordinates with the least."""
-    votes = big.select("node", "size", F.posexplode("sig").alias("at", "value")).groupBy("node", "at", "value").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    most = votes.groupBy("node", "at").agg((F.max("n") / F.max("size")).alias("share"))
-    node = most.groupBy("node").agg(F.avg("share").alias("share"), F.sort_array(F.collect_list(F.struct("share", "at"))).alias("by"))
-    return common.checkpointed(node.select("node", "share", *(F.col("by")[k]["at"].alias(f"p{k}") for k in range(BRANCH))), rows)
+    """(node, share, p0, p1) of rows (node, rep, sig): mean share of the commonest values, and the two coordinates with the least.
+
+    A value's share is counted for those of REFERENCES members, chosen by hash; one row a node and task is shuffled.
+    """
+    some = [F.min(F.struct(F.xxhash64("rep", F.lit(f"reference {r}")), "sig")).alias(f"m{r}") for r in range(REFERENCES)]
+    heads = big.groupBy("node").agg(*some).select("node", *(F.col(f"m{r}.sig").alias(f"ref{r}") for r in range(REFERENCES)))
+    heads = common.checkpointed(heads, rows)
+    met = big.join(F.broadcast(heads) if heads.count() <= 10_000 else heads, "node")
+    same = [F.count_if(F.col("sig")[k] == F.col(f"ref{r}")[k]).alias(f"s{r}_{k}") for r in range(REFERENCES) for k in range(COORDS)]
+    counts = met.groupBy("node").agg(F.count("*").alias("n"), *same)
+    most = [F.greatest(*(F.col(f"s{r}_{k}") for r in range(REFERENCES))) / F.col("n") for k in range(COORDS)]
+    by = F.sort_array(F.array(*(F.struct(x.alias("share"), F.lit(k).alias("at")) for k, x in enumerate(most))))
+    node = counts.select("node", (sum(most[1:], most[0]) / COORDS).alias("share"), by.alias("by"))
+    out = common.checkpointed(node.select("node", "share", *(F.col("by")[k]["at"].alias(f"p{k}") for k in range(BRANCH))), rows)
+    common.release(heads)
+    return out
 
 
 def grown(vertices: DataFrame, n: int) -> tuple[list[DataFrame], DataFrame | None, list[DataFrame]]:
