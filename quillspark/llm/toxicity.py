@@ -1,18 +1,19 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are a text's distinct words (letters only, Unicode lower-cased) and word openings of four and five letters, hashed to 2**24 numbers; those
-that at least ``MIN_TEXTS`` sampled texts hold, with clearly different shares in the two classes, are the features; the rest
-weigh nothing, so that a long text does not gather noise. The score is
-sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>), so a pair, such as an insult with a group's name, can weigh more or less
-than its two parts. The machine is fitted on a bounded sample of labelled rows (``SAMPLE_PER_CLASS`` whole texts of each
-class, chosen by hash); documents with crc32(doc_id) mod 3 = 1 are never learned from. Label, language, source and id
-are not inputs of a score.
+Terms are a text's distinct words (letters only, Unicode lower-cased) and word openings of four and five letters, hashed to 2**24 numbers.
+Features are all terms that at least ``MIN_TEXTS`` sampled texts hold, however alike their shares in the two classes: a term that
+matters only beside another one, such as a group's name beside an insult, has to be there to be learned. The score is
+sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>). Weights and whole factor vectors are shrunk towards zero in training (L1 for
+weights, its grouped form for vectors), so that terms that add nothing weigh little. The machine is fitted on a bounded sample of labelled rows
+(``SAMPLE_PER_CLASS`` whole texts of each class, chosen by hash); documents with crc32(doc_id) mod 3 = 1 are never
+learned from. Label, language, source and id are not inputs of a score.
 
 Cost: one narrow scoring pass in Arrow batches; the sample's ids are the only thing broadcast and the model, bounded by
 the sample, travels in the closure.
 
 Defined results: a null or empty text scores as a text without known terms; repeated rows get equal scores; without
-labels of both classes the score is 0; an empty table gives no rows; other columns are ignored.
+labels of both classes the score is 0; an empty table gives no rows; other columns are ignored; a null doc_id is never learned from and
+is not held out.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ from quillspark.llm import common
 
 SAMPLE_PER_CLASS = 3000
 HASH_BITS, MIN_TEXTS, FACTORS = 24, 4, 4
-LEAST_Z, MOST_TERMS = 4.0, 20_000
-EPOCHS, LEAST_STEPS, BATCH, RATE, SHRINK = 12, 2500, 128, 0.1, 1e-4
+EPOCHS, AVERAGED, LEAST_STEPS, BATCH = 12, 4, 2000, 64
+#: Learning rates of weights and factors, and how much a text's gradient must outweigh to move them from zero.
+RATE, FACTOR_RATE, SHRINK, FACTOR_SHRINK, START = 0.3, 0.05, 0.03, 0.3, 0.05
 TOXIC_AT = 0.7
 FOLDS, HELD_OUT_FOLD = 3, 1
 
@@ -60,69 +62,86 @@ class Machine:
     linear: np.ndarray
     factors: np.ndarray
 
-    def lookup(self) -> dict[int, int]:
-        return {int(t): i for i, t in enumerate(self.numbers)}
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """Places of the known ones of distinct terms."""
+        at = np.searchsorted(self.numbers, terms)
+        at = np.minimum(at, max(len(self.numbers) - 1, 0))
+        return at[self.numbers[at] == terms] if len(self.numbers) else at[:0]
 
-    def score(self, index: np.ndarray) -> float:
-        v = self.factors[index]
+    def score(self, terms: np.ndarray) -> float:
+        at = self.places(terms)
+        v = self.factors[at].astype(np.float64)
         s = v.sum(axis=0)
-        z = self.bias + float(self.linear[index].sum()) + 0.5 * float((s * s).sum() - (v * v).sum())
+        z = self.bias + float(self.linear[at].sum(dtype=np.float64)) + 0.5 * float((s * s).sum() - (v * v).sum())
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def chosen(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Terms of enough texts whose shares in the two classes differ by LEAST_Z standard errors, the MOST_TERMS clearest."""
-    numbers, place = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
-    label = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
-    n = np.bincount([r[0] for r in rows], minlength=2)
-    held = np.stack([np.bincount(place[label == y], minlength=len(numbers)) for y in (0, 1)])
-    share = held.sum(axis=0) / n.sum()
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
-    z = np.abs(held[1] / n[1] - held[0] / n[0]) / error
-    keep = np.flatnonzero((held.sum(axis=0) >= MIN_TEXTS) & (z >= LEAST_Z))
-    return numbers[np.sort(keep[np.argsort(-z[keep], kind="stable")][:MOST_TERMS])]
+class _Batch:
+    """Some rows: their features side by side, and how to sum over a row's features and over a feature's rows."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray]]):
+        self.label = np.array([y for y, _ in rows], dtype=float)
+        sizes = np.array([len(x) for _, x in rows])
+        self.flat = np.concatenate([x for _, x in rows])
+        self.row = np.repeat(np.arange(len(rows)), sizes)
+        self.used, self.place = np.unique(self.flat, return_inverse=True)
+        self.order = np.argsort(self.place, kind="stable")
+        self.starts = np.searchsorted(self.place[self.order], np.arange(len(self.used)))
+        self.filled = np.flatnonzero(sizes)
+        self.begins = (np.cumsum(sizes) - sizes)[self.filled]
+
+    def by_row(self, x: np.ndarray) -> np.ndarray:
+        """Sums along the last axis, over each row's features."""
+        out = np.zeros((*x.shape[:-1], len(self.label)), dtype=x.dtype)
+        if x.shape[-1]:
+            out[..., self.filled] = np.add.reduceat(x, self.begins, axis=-1)
+        return out
+
+    def by_feature(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[..., self.order], self.starts, axis=-1) if x.shape[-1] else x
 
 
 def fit(rows: list[tuple[int, np.ndarray]], seed: int = 7) -> Machine | None:
-    """Adam with soft shrinkage of the linear part on (label, hashed terms)."""
+    """Adaptive gradient steps on (label, hashed terms), each followed by the shrinking of what it touched.
+
+    The machine is the mean of what the last AVERAGED epochs end with.
+    """
     if {r[0] for r in rows} != {0, 1}:
         return None
-    numbers = chosen(rows)
-    index = []
-    for _, t in rows:
-        at = np.clip(np.searchsorted(numbers, t), 0, max(len(numbers) - 1, 0))
-        index.append(at[numbers[at] == t] if len(numbers) else np.zeros(0, np.int64))
-    label = np.array([r[0] for r in rows], dtype=float)
+    numbers, texts = np.unique(np.concatenate([r[1] for r in rows]), return_counts=True)
     rng = np.random.default_rng(seed)
-    n = len(numbers)
-    w0, w, v = 0.0, np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
-    seen_w, seen_v, seen_0 = np.full(n, 1e-8), np.full((n, FACTORS), 1e-8), 1e-8
-    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(rows)))
+    n = int((texts >= MIN_TEXTS).sum())
+    machine = Machine(numbers[texts >= MIN_TEXTS], 0.0, np.zeros(n, np.float32), np.zeros((n, FACTORS), np.float32))
+    known = [(y, machine.places(t)) for y, t in rows]
+    order = rng.permutation(len(known))
+    batches = [_Batch([known[i] for i in order[at : at + BATCH]]) for at in range(0, len(order), BATCH)]
+    w0, w, v = 0.0, np.zeros(n, np.float32), rng.normal(0, START, (FACTORS, n)).astype(np.float32)
+    seen_0, seen_w, seen_v = 1e-3, np.full(n, 1e-3, np.float32), np.full(n, 1e-3, np.float32)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // len(batches)))
     for epoch in range(epochs):
-        rate = RATE / (1 + 3 * epoch / epochs)
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), BATCH):
-            part = order[at : at + BATCH]
-            sizes = [len(index[i]) for i in part]
-            flat = np.concatenate([index[i] for i in part])
-            row = np.repeat(np.arange(len(part)), sizes)
-            vf = v[flat]
-            s = np.stack([np.bincount(row, weights=vf[:, k], minlength=len(part)) for k in range(FACTORS)], axis=1)
-            q = np.bincount(row, weights=(vf * vf).sum(axis=1), minlength=len(part))
-            z = w0 + np.bincount(row, weights=w[flat], minlength=len(part)) + 0.5 * ((s * s).sum(axis=1) - q)
-            error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - label[part]
-            used, place = np.unique(flat, return_inverse=True)
-            e = error[row]
-            gw = np.bincount(place, weights=e, minlength=len(used))
-            gv = np.stack([np.bincount(place, weights=e * (s[row, k] - vf[:, k]), minlength=len(used)) for k in range(FACTORS)], axis=1)
-            seen_w[used] += gw**2
-            seen_v[used] += gv**2
-            seen_0 += error.sum() ** 2
-            w[used] -= rate * gw / np.sqrt(seen_w[used])
-            w[used] = np.sign(w[used]) * np.maximum(np.abs(w[used]) - SHRINK, 0)
-            v[used] -= 0.2 * rate * (gv / np.sqrt(seen_v[used]) + 0.5 * v[used])
-            w0 -= rate * error.sum() / np.sqrt(seen_0)
-    return Machine(numbers, w0, w, v)
+        for k in rng.permutation(len(batches)):
+            b = batches[k]
+            vf = v[:, b.flat]
+            s = b.by_row(vf)
+            z = w0 + b.by_row(w[b.flat]) + 0.5 * ((s * s).sum(axis=0) - b.by_row((vf * vf).sum(axis=0)))
+            error = ((1 / (1 + np.exp(-np.clip(z, -80, 80))) - b.label) / len(b.label)).astype(np.float32)
+            e = error[b.row]
+            gw, gv = b.by_feature(e), b.by_feature(e * (s[:, b.row] - vf))
+            seen_w[b.used] += gw**2
+            seen_v[b.used] += (gv**2).mean(axis=0)
+            seen_0 += float(error.sum()) ** 2
+            rate, factor_rate = RATE / np.sqrt(seen_w[b.used]), FACTOR_RATE / np.sqrt(seen_v[b.used])
+            moved = w[b.used] - rate * gw
+            w[b.used] = np.sign(moved) * np.maximum(np.abs(moved) - rate * (SHRINK / len(b.label)), 0)
+            moved = v[:, b.used] - factor_rate * gv
+            size = np.maximum(np.sqrt((moved * moved).sum(axis=0)), 1e-12)
+            v[:, b.used] = moved * np.maximum(1 - factor_rate * (FACTOR_SHRINK / len(b.label)) / size, 0)
+            w0 -= RATE * float(error.sum()) / seen_0**0.5
+        if epoch >= epochs - AVERAGED:
+            machine.bias += w0 / AVERAGED
+            machine.linear += w / AVERAGED
+            machine.factors += v.T / AVERAGED
+    return machine
 
 
 def fold(doc_id: Column) -> Column:
@@ -150,12 +169,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
-        known = machine.lookup() if machine else {}
         for batch in common.small_batches(batches):
             scores = []
             for text in batch.column("text").to_pylist():
-                own = sorted(known[t] for t in terms(text or "", cache) if t in known) if machine else []
-                scores.append(machine.score(np.array(own, dtype=np.int64)) if machine else 0.0)
+                own = terms(text or "", cache) if machine else ()
+                scores.append(machine.score(np.array(sorted(own), dtype=np.int64)) if machine else 0.0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "score"]
             )

@@ -204,6 +204,44 @@ def test_toxic_words_and_pairs(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in out.values())
 
 
+def _pairs(n, seed, a=11, b=12):
+    """Rows whose label is 1 if both or neither of two terms are there: each term alone is equally frequent in both classes."""
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        first = rng.random() < 0.5
+        second = first if i % 2 else not first
+        rows.append((i % 2, np.array(sorted({*rng.sample(range(100, 400), 30), *[a] * first, *[b] * second}), dtype=np.int64)))
+    return rows
+
+
+def test_a_pair_that_no_additive_model_can_solve():
+    machine = toxicity.fit(_pairs(800, 1))
+    additive = toxicity.Machine(machine.numbers, machine.bias, machine.linear, machine.factors * 0)
+    right = {m: np.mean([(k.score(t) >= 0.7) == y for y, t in _pairs(400, 2)]) for m, k in (("whole", machine), ("additive", additive))}
+    assert right["whole"] > 0.9 and right["additive"] < 0.6
+
+
+def test_toxicity_query_against_all_pairs(spark, extra, messy, labels, empty, tmp_path):
+    extra.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = Counter((r["doc_id"], r["held_out"], round(r["score"], 4), r["predicted"]) for r in toxicity.op7_toxicity(spark, str(tmp_path)).collect())
+    machine = toxicity.train(extra, labels)
+    place = {int(t): i for i, t in enumerate(machine.numbers)}
+    want = Counter()
+    for doc_id, text, *_ in messy:
+        own = [place[t] for t in toxicity.terms(text or "", {}) if t in place]
+        z = machine.bias + sum(float(machine.linear[i]) for i in own)
+        z += sum(float(machine.factors[i].astype(float) @ machine.factors[j].astype(float)) for k, i in enumerate(own) for j in own[:k])
+        score = 1 / (1 + np.exp(-z))
+        held = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1
+        want[doc_id, held, round(float(score), 4), int(score >= 0.7)] += 1
+    assert sum((out - want).values()) <= 1 and out.total() == want.total()  # a score may stand at a rounding's edge
+    assert toxicity.train(empty, labels) is None and all(r["score"] == 0 for r in toxicity.score(extra, None).collect())
+
+
 def test_toxicity_never_learns_from_the_held_out_fold(spark):
     docs = spark.createDataFrame([(i, f"word{i % 5} other") for i in range(60)], "doc_id long, text string")
     fold = lambda i: binascii.crc32(str(i).encode()) % 3
