@@ -221,7 +221,8 @@ def test_a_pair_that_no_additive_model_can_solve():
     machine = toxicity.fit(_pairs(800, 1))
     additive = toxicity.Machine(machine.numbers, machine.bias, machine.linear, machine.factors * 0)
     right = {m: np.mean([(k.score(t) >= 0.7) == y for y, t in _pairs(400, 2)]) for m, k in (("whole", machine), ("additive", additive))}
-    assert right["whole"] > 0.9 and right["additive"] < 0.6
+    # three quarters are the most that a sum can get
+    assert right["whole"] > 0.9 and right["additive"] < 0.8
 
 
 def test_toxicity_query_against_all_pairs(spark, extra, messy, labels, empty, tmp_path):
