@@ -346,7 +346,7 @@ def grown(vertices: DataFrame, n: int) -> tuple[list[DataFrame], DataFrame | Non
         m = big.count()
         if m == 0:
             break
-        big = common.checkpointed(big, m)
+        big = common.checkpointed(big)
         splits = _splits(big, m)
         crowd = (F.col("share") >= DENSE) | F.lit(depth == MAX_DEPTH)
         dense = big.join(splits.where(crowd), "node", "left_semi").select("node", "rep")
@@ -354,7 +354,7 @@ def grown(vertices: DataFrame, n: int) -> tuple[list[DataFrame], DataFrame | Non
         branched = big.join(splits.where(~crowd), "node")
         pick = lambda k: F.xxhash64("node", f"p{k}", F.get("sig", F.col(f"p{k}")))
         below = branched.select(F.explode(F.array_distinct(F.array(*map(pick, range(BRANCH))))).alias("node"), "handled", "rep", "sig")
-        below = common.checkpointed(below, BRANCH * m)
+        below = common.checkpointed(below)
         sizes = below.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         level = below.join(sizes, "node").withColumn("upto", F.lit(_ROOTS))
         spare += [big, splits, below]
