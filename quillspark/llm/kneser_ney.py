@@ -1,94 +1,91 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and perplexity limits by language.
 
-Symbols are characters folded into 64 classes (small letters apart, the rest by kind), n-grams have ``ORDER`` symbols,
-and every document is padded at both ends. Trusted text is every document labelled quality 1.
+Symbols are characters as they are (code points of 16 bits; the few beyond share a private range), n-grams have ``ORDER`` of them in
+a 64-bit code, and every document is padded at both ends. Trusted text is every document labelled quality 1.
 
 1. Each task counts its trusted n-grams by language; the counts are summed in a table sharded by n-gram.
 2. Continuation counts, discounts, context totals and probabilities come from joins of these sharded tables.
-3. Documents are read in packs. A pack asks for its distinct n-grams, shard by shard; the distinct n-grams of all packs are given
-   their log-probability by joins, with the lower orders where an n-gram was never seen; the shards are joined with the
-   packs' requests and each answer returns to its pack, where the documents are summed.
-   Each document has two log-perplexities: of the model of all trusted text, and of the model without its own fold (``FOLDS``
-   by a hash of the text, so copies share one), which is a model of its own in all tables.
-4. A language's limit is the ``QUANTILE`` of the log-perplexity of its trusted documents, each by the model without its fold. A
+3. Documents are packed once; the packs, compressed, are written and read again from there, so the order of the input does not matter. A pack asks
+   for its distinct n-grams, shard by shard; the distinct n-grams of all packs are given their log-probability by joins,
+   with the lower orders where an n-gram was never seen; the shards are joined with the packs' requests and each answer
+   returns to its pack, where the documents are summed.
+   A trusted document is scored by the model without its own fold (``FOLDS`` by a hash of the text, so copies share one), which
+   is a model of its own in all tables; every other document by the model of all trusted text.
+4. A language's limit is the ``QUANTILE`` of the log-perplexity of its trusted documents. A
    language with fewer than ``LEAST_TRUSTED`` of them, whose own quantile is not determined, has at least its median times the pooled
    limit, which is that quantile of the ratio to the median over all languages. A document above the limit is rejected.
 
-What is gathered grows with the text: counts cover all trusted documents and requests all documents. Shards have at
-most 64 ** ORDER / SHARDS entries; no key's rows are collected without such a bound.
+What is gathered grows with the text: counts cover all trusted documents and requests all documents. A shard holds one in
+``SHARDS`` of a language's distinct n-grams; no other key's rows are collected.
 
 Defined results: a null or empty text has no perplexity and is rejected; a null language is a language of its own; a language
-without trusted documents is not judged and its documents with text stay; repeated rows get equal results; an empty table
-gives no rows; other columns are ignored.
+without trusted documents is not judged and its documents with text stay; repeated rows get equal results, and rows that share a doc_id are
+trusted together; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
 
-ORDER, CLASSES, SHARDS = 4, 64, 64
+ORDER, BITS, SHARDS = 4, 16, 64
 QUANTILE = 0.99
 FOLDS, LEAST_TRUSTED = 4, 100
 #: Characters of a pack at most, if its last document does not pass it.
-PACK_CHARS = 32_000_000
-_SHARD = CLASSES**ORDER // SHARDS
-
-
-def _classes() -> np.ndarray:
-    """Class of each code point below 0x3000; 0 is the padding."""
-    table = np.array([52 + c % 12 for c in range(0x3000)], dtype=np.uint8)
-    for i in range(26):
-        table[ord("a") + i] = 1 + i
-        table[ord("A") + i] = 27 + i % 4
-    table[48:58] = 31
-    table[ord(" ")] = 32
-    table[[9, 11, 12, 13]] = 33
-    table[10] = 34
-    marks = ".,!?'\"-;:()|&*#%$@_/<>=+"
-    for k, c in enumerate(marks):
-        table[ord(c)] = 35 + min(k, 16)
-    return table
-
-
-_TABLE = _classes()
+PACK_CHARS = 8_000_000
+#: Where code points beyond 16 bits are put, and how many places they share.
+_PRIVATE, _PLACES = 0xE000, 0x1900
 
 
 def folded(text: str) -> np.ndarray:
+    """16-bit symbols of the text; 0 is the padding."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], 52 + points % 12).astype(np.uint8)
+    return np.where((points > 0) & (points < 0x10000), points, _PRIVATE + points % _PLACES).astype(np.uint16)
 
 
 def codes(symbols: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each symbol and at the end's padding."""
-    pad = np.zeros(ORDER - 1, np.int32)
-    s = np.concatenate([pad, symbols.astype(np.int32), pad[:1]])
+    """The n-gram that ends at each symbol and at the end's padding, the last symbol in the lowest bits."""
+    pad = np.zeros(ORDER - 1, np.uint64)
+    s = np.concatenate([pad, symbols.astype(np.uint64), pad[:1]])
     n = len(symbols) + 1
     out = s[:n].copy()
     for k in range(1, ORDER):
-        out = out * CLASSES + s[k : k + n]
-    return out
+        out = (out << np.uint64(BITS)) | s[k : k + n]
+    return out.view(np.int64)
 
 
-def fold_of(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) % FOLDS
+def shard_of(code: np.ndarray) -> np.ndarray:
+    u = code.view(np.uint64)
+    return ((u ^ (u >> np.uint64(17)) ^ (u >> np.uint64(34))) & np.uint64(SHARDS - 1)).astype(np.int32)
+
+
+def _shard(code: Column) -> Column:
+    """The same of a column."""
+    return code.bitwiseXOR(F.shiftrightunsigned(code, 17)).bitwiseXOR(F.shiftrightunsigned(code, 34)).bitwiseAND(F.lit(SHARDS - 1)).cast("int")
+
+
+def suffix_of(code: Column, symbols: int) -> Column:
+    return code.bitwiseAND(F.lit((1 << BITS * symbols) - 1 if symbols < ORDER else -1))
 
 
-def keys_of(lang: str, text: str) -> tuple[str, str]:
-    """The model of all trusted text of the language, and the one without the text's fold."""
-    return f"-{lang}", f"{fold_of(text)}{lang}"
+def fold_of(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) % FOLDS
 
 
 def counted(trusted: DataFrame) -> DataFrame:
-    """(lang, code, n) over the trusted documents (lang, text) of each model; lang is the model's key from here on."""
+    """(lang, code, n) over the trusted documents (lang, text) of each model; from here on lang is the model's key.
+
+    The key of the model of all trusted text is "-" and the language, that of the one without a fold the fold and the language.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[np.ndarray]] = {}
@@ -97,7 +94,7 @@ def counted(trusted: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, fold), parts in held.items():
                 code, n = np.unique(np.concatenate(parts), return_counts=True)
-                arrays = [pa.array([lang] * len(code)), pa.array([fold] * len(code), pa.int32()), pa.array(code, pa.int32()), pa.array(n, pa.int64())]
+                arrays = [pa.array([lang] * len(code)), pa.array([fold] * len(code), pa.int32()), pa.array(code, pa.int64()), pa.array(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["lang", "fold", "code", "n"])
             held.clear()
 
@@ -106,12 +103,12 @@ def counted(trusted: DataFrame) -> DataFrame:
                 if text:
                     held.setdefault((lang, fold_of(text)), []).append(codes(folded(text)))
                     size += len(text)
-            if size > PACK_CHARS // 2:
+            if size > PACK_CHARS:
                 yield from flush()
                 size = 0
         yield from flush()
 
-    grams = trusted.mapInArrow(run, "lang string, fold int, code int, n long").groupBy("lang", "code")
+    grams = trusted.mapInArrow(run, "lang string, fold int, code long, n long").groupBy("lang", "code")
     sums = grams.agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("fold") != i, F.col("n"))).alias(f"n{i}") for i in range(FOLDS)))
     models = [("-", "n"), *((str(i), f"n{i}") for i in range(FOLDS))]
     each = F.explode(F.array(*(F.struct(F.concat(F.lit(k), "lang").alias("lang"), F.col(n).alias("n")) for k, n in models)))
@@ -121,9 +118,10 @@ def counted(trusted: DataFrame) -> DataFrame:
 def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     """For k = 1..ORDER: probabilities (lang, code, p) of seen k-grams, and back-off weights (lang, code, bow) of contexts."""
     orders = [common.checkpointed(counts)]
+    rows = orders[0].count()
     for k in range(ORDER - 1, 0, -1):
-        suffix = F.col("code").bitwiseAND(F.lit(CLASSES**k - 1))
-        orders.insert(0, common.checkpointed(orders[0].groupBy("lang", suffix.alias("code")).agg(F.count("*").alias("n"))))
+        shorter = orders[0].groupBy("lang", suffix_of(F.col("code"), k).alias("code")).agg(F.count("*").alias("n"))
+        orders.insert(0, common.checkpointed(shorter, rows))
     probs, weights = [], []
     for k, grams in enumerate(orders, 1):
         few = lambda i: F.count_if(F.col("n") == i)
@@ -132,29 +130,28 @@ def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         cuts = grams.groupBy("lang").agg(*(c.alias(f"d{i}") for i, c in enumerate(cut, 1)))
         own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         own = F.least(own, F.col("n").cast("double"))
-        context = F.shiftright("code", 6).alias("context")
-        cutted = common.checkpointed(grams.join(cuts, "lang").select("lang", "code", context, "n", own.alias("d")))
+        context = F.shiftrightunsigned("code", BITS).alias("context")
+        cutted = common.checkpointed(grams.join(cuts, "lang").select("lang", "code", context, "n", own.alias("d")), rows)
         totals = cutted.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-        totals = common.checkpointed(totals.select("lang", "context", "total", (F.col("left") / F.col("total")).alias("bow")))
+        totals = common.checkpointed(totals.select("lang", "context", "total", (F.col("left") / F.col("total")).alias("bow")), rows)
         joined = cutted.join(totals, ["lang", "context"])
-        suffix = F.col("code").bitwiseAND(F.lit(CLASSES ** (k - 1) - 1))
         if k == 1:
-            lower = joined.withColumn("low", F.lit(1.0 / CLASSES))
+            lower = joined.withColumn("low", F.lit(2.0**-BITS))
         else:
             below = probs[-1].select("lang", F.col("code").alias("suffix"), F.col("p").alias("low"))
-            lower = joined.withColumn("suffix", suffix).join(below, ["lang", "suffix"])
+            lower = joined.withColumn("suffix", suffix_of(F.col("code"), k - 1)).join(below, ["lang", "suffix"])
         p = (F.col("n") - F.col("d")) / F.col("total") + F.col("bow") * F.col("low")
-        probs.append(common.checkpointed(lower.select("lang", "code", p.alias("p"))))
+        probs.append(common.checkpointed(lower.select("lang", "code", p.alias("p")), rows))
         weights.append(totals.select("lang", F.col("context").alias("code"), "bow"))
+        common.release(grams, cutted)
     return probs, weights
 
 
-def resolved(asked: DataFrame, probs: list[DataFrame], weights: list[DataFrame]) -> DataFrame:
-    """(lang, code, logp) of distinct n-grams (lang, code), backing off where one was not seen."""
+def resolved(asked: DataFrame, rows: int, probs: list[DataFrame], weights: list[DataFrame]) -> DataFrame:
+    """(lang, code, logp) of ``rows`` distinct n-grams (lang, code), backing off where one was not seen."""
     out = asked.withColumn("logp", F.lit(None).cast("double")).withColumn("off", F.lit(0.0))
     for k in range(ORDER, 0, -1):
-        gram = F.col("code").bitwiseAND(F.lit(CLASSES**k - 1))
-        out = out.withColumn("gram", gram).withColumn("context", F.shiftright("gram", 6))
+        out = out.withColumn("gram", suffix_of(F.col("code"), k)).withColumn("context", F.shiftrightunsigned("gram", BITS))
         p = probs[k - 1].select("lang", F.col("code").alias("gram"), "p")
         w = weights[k - 1].select("lang", F.col("code").alias("context"), "bow")
         out = out.join(p, ["lang", "gram"], "left").join(w, ["lang", "context"], "left")
@@ -164,70 +161,113 @@ def resolved(asked: DataFrame, probs: list[DataFrame], weights: list[DataFrame])
             F.coalesce("logp", F.col("off") + F.log("p")).alias("logp"),
             (F.col("off") + F.coalesce(F.log("bow"), F.lit(0.0))).alias("off"),
         )
-        out = common.checkpointed(out)
-    return out.select("lang", "code", F.coalesce("logp", F.col("off") - float(np.log(CLASSES))).alias("logp"))
-
-
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int | None, str, str]]]]:
-    """(pack id, documents); the id follows from the documents, so that reading them again gives it again."""
-    held: list[tuple[int | None, str, str]] = []
-    name, size = xxhash.xxh3_64(), 0
-    for batch in common.small_batches(batches):
-        rows = zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)
-        for doc_id, lang, text in rows:
-            held.append((doc_id, lang, text or ""))
-            name.update(f"{doc_id},{len(text or '')};{(text or '')[:64]}".encode("utf-8", "surrogatepass"))
-            size += len(text or "")
-            if size >= PACK_CHARS:
-                yield name.intdigest() - 2**63, held
-                held, name, size = [], xxhash.xxh3_64(), 0
-    if held:
-        yield name.intdigest() - 2**63, held
-
-
-def requests(docs: DataFrame) -> DataFrame:
-    """(pack, lang, shard, codes): the distinct n-grams of each pack, little-endian 32-bit, sorted."""
+        out = common.checkpointed(out, rows)
+    return out.select("lang", "code", F.coalesce("logp", F.col("off") - float(np.log(2.0) * BITS)).alias("logp"))
+
+
+class _Distinct:
+    """Distinct codes, gathered in bounded memory."""
+
+    def __init__(self) -> None:
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, code: np.ndarray) -> None:
+        self.held.append(code)
+        self.size += len(code)
+        if self.size > 2_000_000 + 2 * len(self.held[0]):
+            self.held = [self.all()]
+            self.size = len(self.held[0])
+
+    def all(self) -> np.ndarray:
+        return np.unique(np.concatenate(self.held))
+
+
+_META = pa.schema([("doc_id", pa.int64()), ("bytes", pa.int64()), ("key", pa.string())])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(pack, lang, meta, texts) of rows (doc_id, lang, text, trusted): a language's documents in a pack, the texts compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack, docs in _packs(batches):
-            found: dict[str, np.ndarray] = {}
-            for lang in dict.fromkeys(d[1] for d in docs):
-                parts: dict[str, list[np.ndarray]] = {}
-                for _, own, t in docs:
-                    if own == lang and t:
-                        parts.setdefault(keys_of(lang, t)[1], []).append(codes(folded(t)))
-                found |= {k: np.unique(np.concatenate(v)) for k, v in parts.items()}
-                if parts:
-                    found[f"-{lang}"] = np.unique(np.concatenate([found[k] for k in parts]))
-            out = []
-            for lang, code in found.items():
-                ends = np.searchsorted(code, np.arange(SHARDS + 1) * _SHARD)
-                out += [(pack, lang, s, code[ends[s] : ends[s + 1]].astype("<i4").tobytes()) for s in range(SHARDS) if ends[s] < ends[s + 1]]
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary())
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pack", "lang", "shard", "codes"])
+        held: dict[str, tuple[list, list[bytes]]] = {}
+        size, pack = 0, TaskContext.get().partitionId() << 24
+        press = zstandard.ZstdCompressor(level=3)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, (meta, texts) in held.items():
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, _META) as writer:
+                    writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*meta, strict=True), _META.types, strict=True)], schema=_META))
+                columns = [pa.array([pack], pa.int64()), pa.array([lang]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([press.compress(b"".join(texts))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "meta", "texts"])
+            held.clear()
+
+        for batch in common.small_batches(batches):
+            for doc_id, lang, text, trusted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text", "trusted")), strict=True):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                meta, texts = held.setdefault(lang, ([], []))
+                meta.append((doc_id, len(raw), f"{fold_of(text)}{lang}" if trusted and text else f"-{lang}"))
+                texts.append(raw)
+                size += len(raw)
+                if size >= PACK_CHARS:
+                    yield from flush()
+                    size, pack = 0, pack + 1
+        yield from flush()
 
-    return docs.mapInArrow(run, "pack long, lang string, shard int, codes binary")
+    return docs.select("doc_id", "lang", "text", "trusted").mapInArrow(run, "pack long, lang string, meta binary, texts binary")
+
+
+def _documents(meta: bytes, texts: bytes) -> Iterator[tuple[int | None, str, np.ndarray]]:
+    """(doc_id, key of the model, symbols) of a pack's documents."""
+    table = pa.ipc.open_stream(meta).read_all()
+    raw, at = zstandard.ZstdDecompressor().decompress(texts), 0
+    for doc_id, size, key in zip(*(table.column(c).to_pylist() for c in ("doc_id", "bytes", "key")), strict=True):
+        yield doc_id, key, folded(raw[at : at + size].decode("utf-8", "surrogatepass"))
+        at += size
+
+
+def requests(packs: DataFrame) -> DataFrame:
+    """(pack, lang, shard, codes): the distinct n-grams of each pack by model (lang is its key), little-endian 64-bit, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.small_batches(batches, 1):
+            row = batch.to_pylist()[0]
+            found: dict[str, _Distinct] = {}
+            for _, key, symbols in _documents(row["meta"], row["texts"]):
+                if len(symbols):
+                    found.setdefault(key, _Distinct()).add(codes(symbols))
+            for key, held in found.items():
+                code = held.all()
+                shard = shard_of(code)
+                order = np.argsort(shard, kind="stable")
+                code, shard = code[order], shard[order]
+                ends = np.searchsorted(shard, np.arange(SHARDS + 1))
+                some = [s for s in range(SHARDS) if ends[s] < ends[s + 1]]
+                parts = pa.array([code[ends[s] : ends[s + 1]].astype("<i8").tobytes() for s in some], pa.binary())
+                columns = [pa.array([row["pack"]] * len(some), pa.int64()), pa.array([key] * len(some)), pa.array(some, pa.int32()), parts]
+                yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "shard", "codes"])
+
+    return packs.select("pack", "meta", "texts").mapInArrow(run, "pack long, lang string, shard int, codes binary")
 
 
 def _distinct(asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small_batches(batches, 512):
             seen: dict[tuple[str, int], list[np.ndarray]] = {}
             for row in batch.select(["lang", "shard", "codes"]).to_pylist():
-                seen.setdefault((row["lang"], row["shard"]), []).append(np.frombuffer(row["codes"], "<i4"))
+                seen.setdefault((row["lang"], row["shard"]), []).append(np.frombuffer(row["codes"], "<i8"))
             for (lang, _), parts in seen.items():
                 code = np.unique(np.concatenate(parts))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code, pa.int32())], names=["lang", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code, pa.int64())], names=["lang", "code"])
 
-    return asked.mapInArrow(run, "lang string, code int").distinct()
+    return asked.mapInArrow(run, "lang string, code long").distinct()
 
 
 def answers(asked: DataFrame, scored: DataFrame) -> DataFrame:
     """(pack, lang, codes, logps): each request with the log-probabilities, little-endian 32-bit floats."""
-    shard = F.floor(F.col("code") / _SHARD).cast("int").alias("shard")
     entry = F.struct("code", F.col("logp").cast("float").alias("logp"))
-    shards = scored.groupBy("lang", shard).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    shards = scored.groupBy("lang", _shard(F.col("code")).alias("shard")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     shards = common.checkpointed(shards.select("lang", "shard", F.col("entries.code").alias("known"), F.col("entries.logp").alias("logp")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +276,7 @@ def answers(asked: DataFrame, scored: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 known = batch.column("known")[i].values.to_numpy()
                 logp = batch.column("logp")[i].values.to_numpy()
-                asks = np.frombuffer(batch.column("codes")[i].as_py(), "<i4")
+                asks = np.frombuffer(batch.column("codes")[i].as_py(), "<i8")
                 out.append(logp[np.searchsorted(known, asks)].astype("<f4").tobytes())
             columns = [batch.column("pack"), batch.column("lang"), batch.column("codes"), pa.array(out, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "codes", "logps"])
@@ -244,64 +284,39 @@ def answers(asked: DataFrame, scored: DataFrame) -> DataFrame:
     return asked.join(shards, ["lang", "shard"]).select("pack", "lang", "codes", "known", "logp").mapInArrow(run, "pack long, lang string, codes binary, logps binary")
 
 
-def perplexities(docs: DataFrame, replies: DataFrame) -> DataFrame:
-    """(doc_id, lang, n, logp, unseen) for each document, by its two models; the answers of a pack meet its documents."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack, held in _packs(batches):
-            for lang in dict.fromkeys(d[1] for d in held):
-                own = [(i, folded(t), fold_of(t)) for i, of, t in held if of == lang]
-                ids = pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in own], pa.int64()), pa.array([len(x[1]) for x in own], pa.int64()), pa.array([x[2] for x in own], pa.int8())],
-                    names=["doc_id", "n", "fold"],
-                )
-                symbols = zlib.compress(b"".join(x[1].tobytes() for x in own), 1)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, ids.schema) as writer:
-                    writer.write_batch(ids)
-                columns = [pa.array([pack], pa.int64()), pa.array([lang]), pa.array([1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([symbols], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "kind", "codes", "logps"])
+def perplexities(packs: DataFrame, replies: DataFrame) -> DataFrame:
+    """(doc_id, lang, trusted, n, logp) for each document; the answers of a pack meet its documents."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         now = None
-
-        def total(model: str, code: np.ndarray) -> float:
-            known, logp = tables.get(model, (code[:0], np.zeros(0)))
-            at = np.searchsorted(known, code)
-            if not len(known) or at.max() == len(known) or not np.array_equal(known[at], code):
-                raise RuntimeError("a pack lacks answers: its documents were read in another order")
-            return float(logp[at].sum(dtype=np.float64))
-
         for batch in common.small_batches(batches, 64):
             for row in batch.to_pylist():
                 if now != (row["pack"], row["lang"]):
-                    now, tables, parts = (row["pack"], row["lang"]), {}, {}
-                if row["kind"] == 0:
-                    parts.setdefault(row["model"], []).append((np.frombuffer(row["codes"], "<i4"), np.frombuffer(row["logps"], "<f4")))
+                    now, parts = (row["pack"], row["lang"]), {}
+                if row["key"] is not None:
+                    parts.setdefault(row["key"], []).append((np.frombuffer(row["one"], "<i8"), np.frombuffer(row["two"], "<f4")))
                     continue
+                tables = {}
                 for key, own in parts.items():
-                    own.sort(key=lambda x: x[0][0])
-                    tables[key] = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
-                ids = pa.ipc.open_stream(row["codes"]).read_all()
-                symbols = np.frombuffer(zlib.decompress(row["logps"]), np.uint8)
-                sizes = ids.column("n").to_numpy()
-                ends = np.cumsum(sizes)
-                logp, unseen = [None] * len(sizes), [None] * len(sizes)
-                for i, (n, end, fold) in enumerate(zip(sizes, ends, ids.column("fold").to_pylist(), strict=True)):
-                    if n:
-                        code = codes(symbols[end - n : end])
-                        logp[i], unseen[i] = total("-", code), total(str(fold), code)
-                columns = [pa.array(ids.column("doc_id").to_pylist(), pa.int64()), pa.array([row["lang"]] * len(sizes), pa.string()), pa.array(sizes), pa.array(logp, pa.float64()), pa.array(unseen, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "n", "logp", "unseen"])
-
-    schema = "pack long, lang string, kind int, codes binary, logps binary"
-    lang, of = F.substring("lang", 2, 2**31 - 1).alias("lang"), F.substring("lang", 1, 1).alias("model")
-    replied = replies.select("pack", lang, F.lit(0).alias("kind"), "codes", "logps", of)
-    both = replied.unionByName(docs.mapInArrow(packed, schema).withColumn("model", F.lit(None).cast("string")))
-    sums = "doc_id long, lang string, n long, logp double, unseen double"
-    return both.repartition("pack", "lang").sortWithinPartitions("pack", "lang", "kind").mapInArrow(summed, sums)
+                    code, logp = (np.concatenate([x[i] for x in own]) for i in (0, 1))
+                    order = np.argsort(code)
+                    tables[key] = code[order], logp[order]
+                out = []
+                for doc_id, key, symbols in _documents(row["one"], row["two"]):
+                    total = None
+                    if len(symbols):
+                        known, logp = tables[key]
+                        total = float(logp[np.searchsorted(known, codes(symbols))].sum(dtype=np.float64))
+                    out.append((doc_id, row["lang"], key[0] != "-", len(symbols), total))
+                kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "lang", "trusted", "n", "logp"])
+
+    replied = replies.select("pack", F.substring("lang", 2, 2**31 - 1).alias("lang"), F.col("lang").alias("key"), F.col("codes").alias("one"), F.col("logps").alias("two"))
+    asking = packs.select("pack", "lang", F.lit(None).cast("string").alias("key"), F.col("meta").alias("one"), F.col("texts").alias("two"))
+    keys = ("pack", "lang")
+    both = replied.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, F.col("key").isNull())
+    return both.mapInArrow(summed, "doc_id long, lang string, trusted boolean, n long, logp double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -309,14 +324,18 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("\x00"))
     source = docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.col("text").cast("string"))
     good = common.checkpointed(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct())
-    trusted = common.among(source, good)
-    probs, weights = model(counted(trusted.select("lang", "text")))
-    asked = common.checkpointed(requests(source))
-    scored = resolved(_distinct(asked), probs, weights)
-    rows = common.checkpointed(perplexities(source, answers(asked, scored)))
-    value = lambda c: -F.col(c) / (F.col("n") + 1)
-    rows = rows.select("doc_id", "lang", F.col("n").alias("n_symbols"), value("logp").alias("log_perplexity"), value("unseen").alias("_unseen"))
-    unseen = common.among(rows, good).where("_unseen is not null").select("lang", "_unseen")
+    small = good.count() <= common.BROADCAST_ROWS
+    known = good.withColumn("trusted", F.lit(True))
+    packs = common.checkpointed(packed(source.join(F.broadcast(known) if small else known, "doc_id", "left")))
+    probs, weights = model(counted(common.among(source, good).select("lang", "text")))
+    asked = common.checkpointed(requests(packs))
+    distinct = common.checkpointed(_distinct(asked))
+    scored = resolved(distinct, distinct.count(), probs, weights)
+    rows = common.checkpointed(perplexities(packs, answers(asked, scored)))
+    common.release(packs, asked, distinct)
+    value = -F.col("logp") / (F.col("n") + 1)
+    rows = rows.select("doc_id", "lang", "trusted", F.col("n").alias("n_symbols"), value.alias("log_perplexity"))
+    unseen = rows.where("trusted and log_perplexity is not null").select("lang", F.col("log_perplexity").alias("_unseen"))
     own = F.percentile_approx("_unseen", [0.5, quantile], 10000)
     q = common.checkpointed(unseen.groupBy("lang").agg(own.alias("q"), F.count("*").alias("n")).select("lang", F.col("q")[0].alias("mid"), F.col("q")[1].alias("top"), "n"))
     few = q.count() <= 10_000
