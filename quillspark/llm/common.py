@@ -5,12 +5,13 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A labelled id list is broadcast only up to this many rows (8 bytes each); beyond it a shuffle join is used.
 BROADCAST_ROWS = 2_000_000
@@ -70,6 +71,25 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterat
             yield batch.slice(at, rows)
 
 
+def carried(df: DataFrame, fields: list[T.StructField], make: Callable[[Callable[[str], pa.Array]], list[pa.Array]], rows: int = 1024) -> DataFrame:
+    """df with more columns, computed in Arrow batches of at most ``rows`` rows; columns of their names are replaced.
+
+    ``make`` gets a function from a column's name to its array. Columns travel under numbers, so their names may hold anything.
+    """
+    new = {f.name.lower() for f in fields}
+    keep = [i for i, f in enumerate(df.schema) if f.name.lower() not in new]
+    place = {f.name: i for i, f in reversed(list(enumerate(df.schema)))}
+    schema = T.StructType([*(T.StructField(f"c{i}", df.schema[i].dataType) for i in keep), *(T.StructField(f"n{k}", f.dataType) for k, f in enumerate(fields))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, rows):
+            made = make(lambda name: batch.column(place[name]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], names=schema.names)
+
+    out = df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+    return out.toDF(*(df.schema[i].name for i in keep), *(f.name for f in fields))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, text: str = "text") -> DataFrame:
     """Whole texts of at most ``per_class`` labelled rows of each class 0 and 1, chosen by a hash of doc_id.
 

@@ -115,13 +115,17 @@ def counted(trusted: DataFrame) -> DataFrame:
     return sums.select("code", each.alias("of")).select("of.lang", "code", "of.n").where("n > 0")
 
 
-def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """For k = 1..ORDER: probabilities (lang, code, p) of seen k-grams, and back-off weights (lang, code, bow) of contexts."""
+def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """For k = 1..ORDER: probabilities (lang, code, p) of seen k-grams, and back-off weights (lang, code, bow) of contexts.
+
+    Last, what a symbol weighs below all orders, (lang, floor): one in as many as the model's symbols and one for all others.
+    """
     orders = [common.checkpointed(counts)]
     rows = orders[0].count()
     for k in range(ORDER - 1, 0, -1):
         shorter = orders[0].groupBy("lang", suffix_of(F.col("code"), k).alias("code")).agg(F.count("*").alias("n"))
         orders.insert(0, common.checkpointed(shorter, rows))
+    floors = common.checkpointed(orders[0].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("floor")), rows)
     probs, weights = [], []
     for k, grams in enumerate(orders, 1):
         few = lambda i: F.count_if(F.col("n") == i)
@@ -136,7 +140,7 @@ def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         totals = common.checkpointed(totals.select("lang", "context", "total", (F.col("left") / F.col("total")).alias("bow")), rows)
         joined = cutted.join(totals, ["lang", "context"])
         if k == 1:
-            lower = joined.withColumn("low", F.lit(2.0**-BITS))
+            lower = joined.join(floors, "lang").withColumnRenamed("floor", "low")
         else:
             below = probs[-1].select("lang", F.col("code").alias("suffix"), F.col("p").alias("low"))
             lower = joined.withColumn("suffix", suffix_of(F.col("code"), k - 1)).join(below, ["lang", "suffix"])
@@ -144,10 +148,10 @@ def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         probs.append(common.checkpointed(lower.select("lang", "code", p.alias("p")), rows))
         weights.append(totals.select("lang", F.col("context").alias("code"), "bow"))
         common.release(grams, cutted)
-    return probs, weights
+    return probs, weights, floors
 
 
-def resolved(asked: DataFrame, rows: int, probs: list[DataFrame], weights: list[DataFrame]) -> DataFrame:
+def resolved(asked: DataFrame, rows: int, probs: list[DataFrame], weights: list[DataFrame], floors: DataFrame) -> DataFrame:
     """(lang, code, logp) of ``rows`` distinct n-grams (lang, code), backing off where one was not seen."""
     out = asked.withColumn("logp", F.lit(None).cast("double")).withColumn("off", F.lit(0.0))
     for k in range(ORDER, 0, -1):
@@ -162,7 +166,8 @@ def resolved(asked: DataFrame, rows: int, probs: list[DataFrame], weights: list[
             (F.col("off") + F.coalesce(F.log("bow"), F.lit(0.0))).alias("off"),
         )
         out = common.checkpointed(out, rows)
-    return out.select("lang", "code", F.coalesce("logp", F.col("off") - float(np.log(2.0) * BITS)).alias("logp"))
+    out = out.join(floors, "lang", "left")
+    return out.select("lang", "code", F.coalesce("logp", F.col("off") + F.log(F.coalesce("floor", F.lit(2.0**-BITS)))).alias("logp"))
 
 
 class _Distinct:
@@ -327,10 +332,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     small = good.count() <= common.BROADCAST_ROWS
     known = good.withColumn("trusted", F.lit(True))
     packs = common.checkpointed(packed(source.join(F.broadcast(known) if small else known, "doc_id", "left")))
-    probs, weights = model(counted(common.among(source, good).select("lang", "text")))
+    probs, weights, floors = model(counted(common.among(source, good).select("lang", "text")))
     asked = common.checkpointed(requests(packs))
     distinct = common.checkpointed(_distinct(asked))
-    scored = resolved(distinct, distinct.count(), probs, weights)
+    scored = resolved(distinct, distinct.count(), probs, weights, floors)
     rows = common.checkpointed(perplexities(packs, answers(asked, scored)))
     common.release(packs, asked, distinct)
     value = -F.col("logp") / (F.col("n") + 1)

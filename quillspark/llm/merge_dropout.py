@@ -2,24 +2,25 @@
 
 A text is cut into segments (spaces, then a run without spaces); no piece of the vocabulary crosses a segment's end. In
 each segment the agenda of byte-pair merging is processed: the candidate of best rank, leftmost first, is taken from the
-agenda; a keyed hash of (seed, variant, segment, step, place, piece) decides whether it is skipped, otherwise its two
+agenda; a keyed hash of (seed, variant, step, place, piece) decides whether it is skipped, otherwise its two
 symbols merge and their new neighbours become candidates. What is left is the segmentation; characters without a piece
-become byte pieces. ``variant`` is a keyed hash of the document's id and the segment's number in its text, so each occurrence of
-a word is cut on its own. With dropout 0 the ids are those of the plain encoder.
+become byte pieces. ``variant`` is a keyed hash of the document's id, moved on by the segment's number in its text, so each
+occurrence of a word is cut on its own. With dropout 0 the ids are those of the plain encoder.
 
-The segments of a batch are processed side by side as arrays, one step of every segment's agenda at a time; segments over
-``WIDE`` symbols are processed one by one with a heap. Nothing is remembered between occurrences.
+A segment's agenda without any skip, its path, does not depend on the occurrence; a worker remembers it, up to ``KNOWN`` segments. An occurrence whose hashes skip
+none of the path's merges has the plain ids; every other one has its agenda processed with its own hashes. These are processed side
+by side as arrays, one step of every segment's agenda at a time; segments of ``WIDE`` symbols and more one by one with a heap.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a null doc_id hashes as an empty string; the vocabulary's
 mark for a space is written as bytes where a text holds it itself; repeated rows get equal ids; an empty table gives no
-rows; other columns are kept by ``encode`` and ``decode``, whose own columns must not be there already.
+rows; other columns are kept by ``encode`` and ``decode``, which replace columns of the names they add.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import islice
 
@@ -28,11 +29,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm import common
 
 SEED, DROPOUT = 20240607, 0.1
-WIDE, _STRIDE = 40, 0x9E3779B97F4A7C15
+WIDE, KNOWN, _STRIDE = 40, 200_000, 0x9E3779B97F4A7C15
 SPACE = "▁"
 _SEGMENT = re.compile(r" *[^ ]+| +")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -115,10 +117,25 @@ class Vocabulary:
         return result.reshape(key.shape)
 
 
+def _keys(variant: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit keys of variants."""
+    x = (variant ^ np.uint64(seed * _STRIDE % 2**64)) * _M2
+    x = (x ^ (x >> np.uint64(31))) * _M3
+    return x ^ (x >> np.uint64(29))
+
+
 class Encoder:
     def __init__(self, path: str, seed: int, dropout: float):
         self.vocabulary = Vocabulary(path)
         self.seed, self.limit = seed, np.uint64(round(dropout * 2**32))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Of known segments: number, plain ids, and where its path starts in the paths' places and pieces."""
+        self.number: dict[str, int] = {}
+        self.plain: list[bytes] = []
+        self.first = np.zeros(1, np.int64)
+        self.place, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def symbols(self, segment: str) -> tuple[list[int], list[str]]:
         """Vocabulary ids, -1 for a character without one, and the characters; only spaces become the space mark."""
@@ -126,9 +143,6 @@ class Encoder:
         marks = char.get(SPACE, -1)
         return [marks if c == " " else -1 if c == SPACE else char.get(c, -1) for c in segment], list(segment)
 
-    def key(self, variant: int, segment: str) -> int:
-        return xxhash.xxh3_64_intdigest(segment.encode("utf-8", "surrogatepass"), seed=(self.seed * 1_000_003 + variant) % 2**64)
-
     def _ids(self, symbols: list[int], starts: list[int], chars: list[str]) -> bytes:
         out = []
         for s, at in zip(symbols, starts, strict=True):
@@ -142,7 +156,7 @@ class Encoder:
         """One segment with a heap."""
         v, (ids, chars) = self.vocabulary, self.symbols(segment)
         n = len(ids)
-        left, right, key = list(range(-1, n - 1)), [*range(1, n), -1], np.array([self.key(variant, segment)], dtype=np.uint64)
+        left, right, key = list(range(-1, n - 1)), [*range(1, n), -1], _keys(np.array([variant], dtype=np.uint64), self.seed)
         heap: list[tuple[int, int, int, int, int]] = []
 
         def push(a: int) -> None:
@@ -170,19 +184,19 @@ class Encoder:
         rest = [i for i in range(n) if not gone[i]]
         return self._ids([ids[i] for i in rest], rest, chars)
 
-    def together(self, wanted: list[tuple[int, str]]) -> list[bytes]:
-        """Ids of segments of like length, one agenda step of each at a time."""
+    def together(self, wanted: list[str], key: np.ndarray | None, path: list | None = None) -> list[bytes]:
+        """Ids of segments of like length, one agenda step of each at a time. Without keys nothing is skipped; ``path`` then
+        gets the segments' numbers, places and pieces of each step."""
         v, n = self.vocabulary, len(wanted)
-        sizes = np.fromiter((len(s) for _, s in wanted), dtype=np.int64, count=n)
+        sizes = np.fromiter(map(len, wanted), dtype=np.int64, count=n)
         width = int(sizes.max()) + 1
         live = np.arange(width) < sizes[:, None]
         ids = np.full((n, width), -1, dtype=np.int32)
-        points = np.frombuffer("".join([s for _, s in wanted]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        points = np.frombuffer("".join(wanted).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         ids[live] = v.point[points]
         place = np.arange(width, dtype=np.int32)
         right = np.where(place + 1 < sizes[:, None], place + 1, width - 1).astype(np.int32)
         left = np.tile(place - 1, (n, 1))
-        key = np.fromiter((self.key(*w) for w in wanted), dtype=np.uint64, count=n)
         piece = np.full((n, width), v.none, dtype=np.int32)
         piece[:, :-1] = v.merged(ids[:, :-1], ids[:, 1:])
         rank = v.rank[piece]
@@ -195,7 +209,9 @@ class Encoder:
             row, at, best = row[some], at[some], best[some]
             if not len(row):
                 break
-            skip = _mixed(key[row], step, at, best) < self.limit
+            if path is not None:
+                path.append((row, at, best))
+            skip = np.zeros(len(row), bool) if key is None else _mixed(key[row], step, at, best) < self.limit
             r, a = row[skip], at[skip]
             piece[r, a], rank[r, a] = v.none, v.rank[v.none]
             r, a, p = row[~skip], at[~skip], best[~skip]
@@ -218,7 +234,7 @@ class Encoder:
         found = [raw[end - count : end] if ok else b"" for end, count, ok in zip((2 * ends).tolist(), (2 * counts).tolist(), plain.tolist(), strict=True)]
         for i in np.flatnonzero(~plain):
             at = np.flatnonzero(live[i])
-            found[i] = self._ids(ids[i, at].tolist(), at.tolist(), list(wanted[i][1]))
+            found[i] = self._ids(ids[i, at].tolist(), at.tolist(), list(wanted[i]))
         return found
 
     @staticmethod
@@ -230,33 +246,71 @@ class Encoder:
             return [s[1:] for s in _SEGMENT.findall(" " + text)]
         return text.split(" ")
 
-    def cut(self, segments: list[tuple[int, str]]) -> list[bytes]:
-        """Ids of each (variant, segment without its first space)."""
-        out = [b""] * len(segments)
-        groups: dict[int, list[int]] = {}
-        for i, (variant, part) in enumerate(segments):
-            if len(part) < WIDE:
-                groups.setdefault(len(part) // 2, []).append(i)
-            else:
-                out[i] = self.alone(variant, " " + part)
-        for group in groups.values():
-            for at in range(0, len(group), 8192):
-                some = group[at : at + 8192]
-                for i, ids in zip(some, self.together([(segments[i][0], " " + segments[i][1]) for i in some]), strict=True):
+    def learn(self, parts: list[str]) -> None:
+        """Remember the paths of segments, given without their first space, that are not known yet."""
+        new = [p for p in dict.fromkeys(parts) if p not in self.number]
+        if len(self.number) + len(new) > KNOWN and self.number:
+            self._forget()
+            new = list(dict.fromkeys(parts))
+        for some in _alike(new):
+            steps: list = []
+            self.plain += self.together([" " + p for p in some], None, steps)
+            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some)), strict=True))
+            row, place, piece = (np.concatenate([x[k] for x in steps] or [np.zeros(0, np.int64)]) for k in range(3))
+            order = np.argsort(row, kind="stable")  # steps stay in their order
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(row, minlength=len(some)))])
+            self.place = np.concatenate([self.place, place[order].astype(np.int32)])
+            self.piece = np.concatenate([self.piece, piece[order].astype(np.int32)])
+
+    def skipping(self, number: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Whether the keys skip a merge of their segments' paths."""
+        first, steps = self.first[number], self.first[number + 1] - self.first[number]
+        of = np.repeat(np.arange(len(number)), steps)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(steps) - steps, steps)
+        at = first[of] + step
+        skip = _mixed(key[of], step + 1, self.place[at], self.piece[at]) < self.limit
+        return np.bincount(of[skip], minlength=len(number)) > 0
+
+    def cut(self, parts: list[str], variant: np.ndarray) -> list[bytes]:
+        """Ids of segments, given without their first space."""
+        out = [b""] * len(parts)
+        wide = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) >= WIDE
+        for i in np.flatnonzero(wide).tolist():
+            out[i] = self.alone(int(variant[i]), " " + parts[i])
+        short = np.flatnonzero(~wide)
+        for at in range(0, len(short), KNOWN // 2):
+            place = short[at : at + KNOWN // 2]
+            some, key = [parts[i] for i in place.tolist()], _keys(variant[place], self.seed)
+            self.learn(some)
+            number = np.array([self.number[p] for p in some], dtype=np.int64)
+            skip = self.skipping(number, key) if len(number) else np.zeros(0, bool)
+            for i, k in zip(place[~skip].tolist(), number[~skip].tolist(), strict=True):
+                out[i] = self.plain[k]
+            own = np.flatnonzero(skip)
+            for group in _alike([some[i] for i in own.tolist()], numbers=True):
+                chosen = own[group]
+                for i, ids in zip(place[chosen].tolist(), self.together([" " + some[i] for i in chosen.tolist()], key[chosen]), strict=True):
                     out[i] = ids
         return out
 
     def encode(self, texts: list[tuple[int, str]]) -> list[bytes]:
-        """Little-endian unsigned 16-bit ids of (variant, text)."""
-        return self._joined([[(variant, part) for part in self.parts(text)] for variant, text in texts])
+        """Little-endian unsigned 16-bit ids of (document's hash, text); a segment's variant also depends on its number."""
+        documents = [self.parts(text) for _, text in texts]
+        sizes = np.array([len(d) for d in documents], dtype=np.int64)
+        own = np.repeat(np.array([v for v, _ in texts], dtype=np.uint64), sizes)
+        number = (np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)
+        ids = iter(self.cut([p for d in documents for p in d], own + number * np.uint64(_STRIDE)))
+        return [b"".join(islice(ids, len(d))) for d in documents]
 
-    def encode_each(self, texts: list[tuple[int, str]]) -> list[bytes]:
-        """The same of (document's hash, text), where each segment's variant also depends on its number."""
-        return self._joined([[((own + k * _STRIDE) % 2**64, part) for k, part in enumerate(self.parts(text))] for own, text in texts])
 
-    def _joined(self, documents: list[list[tuple[int, str]]]) -> list[bytes]:
-        ids = iter(self.cut([x for document in documents for x in document]))
-        return [b"".join(islice(ids, len(document))) for document in documents]
+def _alike(parts: list[str], most: int = 8192, numbers: bool = False) -> Iterator:
+    """The segments, or their numbers, in groups of like length."""
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 2
+    order = np.argsort(sizes, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+        for at in range(0, len(group), most):
+            some = group[at : at + most]
+            yield some if numbers else [parts[i] for i in some.tolist()]
 
 
 @cache
@@ -271,30 +325,23 @@ def variant_of(doc_id: object, seed: int = SEED) -> int:
 def encode(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """Adds ``ids``: little-endian unsigned 16-bit piece ids of the whole text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, seed, dropout)
-        for batch in common.small_batches(batches, 256):
-            names = [variant_of(i, seed) for i in batch.column("doc_id").to_pylist()]
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = pa.array(encoder.encode_each(list(zip(names, texts, strict=True))), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+    def make(column: Callable[[str], pa.Array]) -> list[pa.Array]:
+        names = [variant_of(i, seed) for i in column("doc_id").to_pylist()]
+        texts = [t or "" for t in column("text").to_pylist()]
+        return [pa.array(_encoder(path, seed, dropout).encode(list(zip(names, texts, strict=True))), pa.binary())]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, ids binary")
+    return common.carried(docs, [T.StructField("ids", T.BinaryType())], make, 256)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``: the text of ``ids``, without the space put before it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(column: Callable[[str], pa.Array]) -> list[pa.Array]:
         table = _encoder(path, 0, 0.0).vocabulary.text
-        for batch in common.small_batches(batches):
-            out = [b"".join([table[i] for i in np.frombuffer(x or b"", "<u2").tolist()])[1:] for x in batch.column("ids").to_pylist()]
-            decoded = pa.array(out, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
+        out = [b"".join([table[i] for i in np.frombuffer(x or b"", "<u2").tolist()])[1:] for x in column("ids").to_pylist()]
+        return [pa.array(out, pa.binary()).cast(pa.string())]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{schema}, decoded string")
+    return common.carried(encoded, [T.StructField("decoded", T.StringType())], make)
 
 
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:

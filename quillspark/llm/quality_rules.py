@@ -1,7 +1,7 @@
 """Quality rules: text statistics with fixed limits, then a hashed n-gram logistic regression.
 
 Words are runs of characters other than space, tab and line breaks. Features are hashed word 1-grams, word 2-grams and
-UTF-8 byte 3-grams, each kind as shares of its own count, so a text's length does not move its score. The model is
+character 3-grams, each kind as shares of its own count, so a text's length does not move its score. The model is
 fitted on a bounded sample of labelled rows (``SAMPLE_PER_CLASS``), its probability calibrated by Platt's method on rows
 held out of the fit, and every whole text is scored in Arrow batches against the fixed threshold ``KEEP_AT``.
 
@@ -16,13 +16,14 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm import common
 
@@ -36,7 +37,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT, KEEP_AT = 10, 20, 0.5
 
 SYMBOLS = "#*$%&|<>"
 SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double"
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double"
 )
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -78,8 +79,8 @@ def hashed(text: bytes, words: np.ndarray) -> list[np.ndarray]:
     size, shift = 1 << BITS, np.uint32(32 - BITS)
     one = (words >> np.uint64(32)).astype(np.uint32)
     two = one[:-1] * np.uint32(0x9E3779B1) + one[1:]
-    raw = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
-    three = raw[:-2] * np.uint32(65536) + raw[1:-1] * np.uint32(256) + raw[2:] if len(raw) > 2 else raw[:0]
+    raw = np.frombuffer(text.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    three = (raw[:-2] * np.uint32(0x01000193) + raw[1:-1]) * np.uint32(0x01000193) + raw[2:] if len(raw) > 2 else raw[:0]
     return [(x * np.uint32(0x85EBCA6B) >> shift).astype(np.int64) + k * size for k, x in enumerate((one, two, three))]
 
 
@@ -168,31 +169,42 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     return fit([(r.label, np.frombuffer(r.i, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(float)) for r in rows])
 
 
-def score(docs: DataFrame, model: Model | None, whole: bool = False) -> DataFrame:
-    """One row per document: doc_id, the statistics, probability, base_failed and kept; ``whole`` adds the input row as ``row``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.small_batches(batches):
-            source = batch.column("row")
-            rows = []
-            for text in common.text_bytes(source.field("text")):
-                words = common.word_hashes(np.frombuffer(text, np.uint8))
-                rows.append((len(words), *statistics(text, words), model.probability(hashed(text, words)) if model else None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64()] * 5 + [pa.float64()]
-            arrays = [source.field("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([*arrays, *[source] * whole], names=[*names, *["row"] * whole])
-
-    held = docs if whole else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    row = held.select(F.struct(*(F.col(f"`{c}`") for c in held.columns)).alias("row"))
-    schema = SCHEMA + (f", row {row.schema['row'].dataType.simpleString()}" if whole else "")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return (
-        row.mapInArrow(run, schema)
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("probability") >= KEEP_AT, F.lit(True)))
-    )
+def _fields() -> list[T.StructField]:
+    kinds = {"long": T.LongType(), "double": T.DoubleType()}
+    return [T.StructField(f"_q_{name}", kinds[kind]) for name, kind in (x.split() for x in SCHEMA.split(", "))]
+
+
+def _scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs with the statistics and the probability in columns _q_...; columns of those names are replaced."""
+
+    def make(column: Callable[[str], pa.Array]) -> list[pa.Array]:
+        rows = []
+        for text in common.text_bytes(column("text").cast(pa.string())):
+            words = common.word_hashes(np.frombuffer(text, np.uint8))
+            rows.append((len(words), *statistics(text, words), model.probability(hashed(text, words)) if model else None))
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        return [pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 5 + [pa.float64()], strict=True)]
+
+    return common.carried(docs, _fields(), make)
+
+
+def _verdicts() -> tuple[Column, Column]:
+    n = F.col("_q_n_words")
+    failed = (n < MIN_WORDS) | (100 * F.col("_q_n_repeat_words") > MAX_REPEAT_PERCENT * n)
+    return failed, ~failed & F.coalesce(F.col("_q_probability") >= KEEP_AT, F.lit(True))
+
+
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """One row per document: doc_id, the statistics, probability, base_failed and kept."""
+    failed, kept = _verdicts()
+    own = [F.col(f.name).alias(f.name[3:]) for f in _fields()]
+    out = _scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model)
+    return out.select("doc_id", *own, failed.alias("base_failed"), kept.alias("kept"))
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The whole rows of the documents that are kept."""
+    return _scored(docs, model).where(_verdicts()[1]).drop(*(f.name for f in _fields()))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

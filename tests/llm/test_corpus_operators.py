@@ -124,6 +124,39 @@ def test_url_rules_and_mined_rules(spark):
     assert url_filter.url_filter(pages.limit(0)).count() == 0
 
 
+def test_mined_rules_against_all_subsets(spark):
+    from itertools import combinations
+
+    rng = random.Random(11)
+    rows = []
+    for _ in range(300):
+        tokens = sorted(rng.sample("abcdefg", rng.randint(1, 5)))
+        odd = ("a" in tokens) + ("b" in tokens and "c" in tokens)
+        rows.append((tokens, "block" if rng.random() < (0.1, 0.5, 0.95)[odd] else "allow"))
+    rows += [(list("pq"), "block")] * 9 + [(None, "allow"), (["z"], None)]
+    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.02, 0.8)
+    baskets = [(frozenset(t or ()), y) for t, y in rows if y]
+    sets = {frozenset(c) for t, _ in baskets for k in range(1, 6) for c in combinations(sorted(t), k)}
+    found = {}
+    for s in sets:
+        held = [y for t, y in baskets if s <= t]
+        for y in ("allow", "block"):
+            if held.count(y) >= 0.02 * len(baskets) and held.count(y) / len(held) >= 0.8:
+                found[s, y] = (held.count(y) / len(held), held.count(y) / len(baskets))
+    want = {(s, y): v for (s, y), v in found.items() if not any(t < s and w == y and found[t, w][0] >= v[0] for t, w in found)}
+    near = lambda v: tuple(round(x, 9) for x in v)
+    assert {(r[0], r[1]): near(r[2:]) for r in got} == {k: near(v) for k, v in want.items()} and {len(s) for s, _ in want} >= {1, 3}
+
+
+def test_long_urls_and_odd_columns(spark):
+    deep = "/".join(f"part{chr(97 + i)}" for i in range(26))
+    rows = [(i, f"http://h.example.{'com' if i % 3 else 'net'}/{'fr' if i % 3 == 0 else 'en'}/{deep}?{'&'.join(f'{c}=1' for c in 'abcdefgh')}", "x", 1) for i in range(90)]
+    rows += [(90, "http://a.org/" + "z" * 100_000, None, None), (90, "http://a.org/" + "z" * 100_000, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, `to ken.s` int")
+    out = url_filter.url_filter(pages).collect()
+    assert len(out) == len(rows) and {r["verdict"] for r in out if r["page_id"] < 90 and r["page_id"] % 3 == 0} == {"block"}
+
+
 def test_inverted_index_is_the_subset_test(spark):
     rng = random.Random(8)
     rules = [(frozenset(rng.sample("abcdefgh", rng.randint(1, 3))), rng.choice(["allow", "block"]), c, 0.1) for c in (0.99, 0.95, 0.9, 0.85)]
@@ -155,7 +188,7 @@ def brute_language_model(trusted, asked):
 
     def p(g):
         if not g:
-            return 1 / 65536
+            return 1 / (len(grams[1]) + 1) if trusted else 1 / 65536
         k, low = len(g), p(g[1:])
         if g[:-1] not in contexts[k]:
             return low
@@ -228,7 +261,7 @@ def test_pipeline(spark, messy, labels, tmp_path):
     words = "a steady wind came over the hills and the farmers took their carts to market before noon each week".split()
     rng = random.Random(3)
     rows = [(5000 + i, " ".join(rng.sample(words, 18)) + f" item{i}", "en", "s", 0) for i in range(30)]
-    rows += [(6000, rows[0][1], "en", "s", 0), (6001, " ".join(words) + " password=abcdef123 end", "en", "s", 0), (6002, "&&& ### $$$ ||| %%% " * 9, "en", "s", 0)]
+    rows += [(6000, rows[0][1], "en", "s", 0), (6001, " item7 ".join(" ".join(rng.sample(words, 18)) for _ in range(9)) + " password=abcdef123 end", "en", "s", 0), (6002, "&&& ### $$$ ||| %%% " * 9, "en", "s", 0)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(messy + rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(5000 + i, 1, 0) for i in range(30)], labels.schema).unionByName(labels).write.parquet(str(tmp_path / "labels.parquet"))
@@ -244,8 +277,11 @@ def test_pipeline(spark, messy, labels, tmp_path):
     whole = spark.read.parquet(str(tmp_path / "documents.parquet"))
     rules = quality_rules.quality_rules(whole, spark.read.parquet(str(tmp_path / "labels.parquet")))
     assert ids[0] == Counter(r["doc_id"] for r in rules.where("kept").collect())
+    judged = kneser_ney.classify(kept[0], spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()
+    out = {r["doc_id"] for r in judged if not r["kept"]} - {None}
+    assert ids[1] == Counter({i: n for i, n in ids[0].items() if i not in out}) and 6001 in ids[1]
     assert 6002 not in ids[0] and all(5000 + i in ids[2] for i in range(30)) and 6000 in ids[1] and 6000 not in ids[2]
-    near = {i for i, _, _, keep in brute_near([(r["doc_id"], r["text"]) for r in kept[1].collect()]) if keep}
+    near = {i for i, _, _, keep in brute_near([(r["doc_id"], r["text"]) for r in kept[1].collect()], corpus_pipeline.PERCENT) if keep}
     assert set(ids[2]) == near and ids[3] == ids[2]
     redacted = {r["doc_id"]: r for r in kept[3].collect()}
     assert redacted[6001]["text"].endswith("[SECRET] end") and redacted[6001]["n_chars"] == len(redacted[6001]["text"])

@@ -127,7 +127,7 @@ def test_merge_dropout_is_lossless_and_seeded(spark, documents):
     assert [r["ids"] for r in out] == [r["ids"] for r in again] and [r["ids"] for r in out] != [r["ids"] for r in other]
 
 
-def test_no_dropout_is_the_plain_encoder_and_both_ways_agree(messy):
+def test_no_dropout_is_the_plain_encoder_and_both_ways_agree(messy, monkeypatch):
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -135,10 +135,12 @@ def test_no_dropout_is_the_plain_encoder_and_both_ways_agree(messy):
     texts = [r[1] or "" for r in messy if merge_dropout.SPACE not in (r[1] or "") and len(r[1] or "") < 20_000] + ["a  b ", "  x", "\n\tq", "   "]
     plain = merge_dropout.Encoder(path, 1, 0.0)
     assert [np.frombuffer(x, "<u2").tolist() for x in plain.encode([(0, t) for t in texts])] == [sp.encode(t) for t in texts]
-    batched, single = merge_dropout.Encoder(path, 1, 0.3), merge_dropout.Encoder(path, 1, 0.3)
-    for v, t in enumerate(texts):
-        parts = merge_dropout._SEGMENT.findall(" " + t) if t else []
-        assert batched.encode([(v % 3, t)])[0] == b"".join(single.alone(v % 3, s) for s in parts)
+    for known in (merge_dropout.KNOWN, 40):
+        monkeypatch.setattr(merge_dropout, "KNOWN", known)
+        batched = merge_dropout.Encoder(path, 1, 0.3)
+        for v, t in enumerate(texts):
+            parts = merge_dropout._SEGMENT.findall(" " + t) if t else []
+            assert batched.encode([(v, t)])[0] == b"".join(batched.alone((v + k * merge_dropout._STRIDE) % 2**64, s) for k, s in enumerate(parts))
 
 
 def test_each_occurrence_is_cut_on_its_own(spark):
@@ -152,6 +154,13 @@ def test_each_occurrence_is_cut_on_its_own(spark):
     assert out[900].startswith(b"".join(single)) and len(set(single)) > 4
 
 
+def test_merge_dropout_replaces_its_columns_and_keeps_odd_names(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(1, "a b", "i", "d", (1,)), (None, None, None, None, None)], "doc_id long, text string, ids string, decoded string, `a b.c` struct<`x y`: int>")
+    out = merge_dropout.decode(merge_dropout.encode(docs, path), path).orderBy("doc_id").collect()
+    assert [(r["decoded"], r["a b.c"]) for r in out] == [("", None), ("a b", (1,))] and bytes(out[0]["ids"]) == b""
+
+
 def test_licence_base_places(spark, messy):
     more = [
         (1, "MIT License. mit-license (the Apache\nLICENSE) x"),

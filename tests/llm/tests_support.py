@@ -22,7 +22,7 @@ def shingle_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def brute_near(rows):
+def brute_near(rows, percent=85):
     """(doc_id, n_shingles, component_id, kept) by comparing all pairs."""
     sets = [(i, shingle_set(t)) for i, t in rows]
     named = [(i, s) for i, s in sets if i is not None and s]
@@ -30,7 +30,7 @@ def brute_near(rows):
     for x, (a, s) in enumerate(named):
         for b, t in named[:x]:
             both = len(s & t)
-            if a != b and 100 * both >= 85 * (len(s) + len(t) - both):
+            if a != b and 100 * both >= percent * (len(s) + len(t) - both):
                 links.append((a, b))
     found = brute_components(links)
     return [(i, len(s), found.get(i, i), True if i is None else found.get(i, i) == i) for i, s in sets]
