@@ -8,7 +8,8 @@ labelled samples; by default the samples are made by rule (digests in several al
 fixed word list), and a table of labelled tokens can be given instead.
 
 All offsets are code points, end exclusive. Matches are located by anchoring each next match to the end of the last, so
-a text costs one pass a pattern; texts without a match are passed by a plain search first. No shuffle, no Python.
+a text costs one pass a pattern, and their places are sums over what lies before, taken in chunks; work grows in proportion to
+the text. Texts without a match are passed by a plain search first. No shuffle, no Python.
 
 Defined results: a null or empty text has no spans; repeated rows get equal results; an empty table gives no rows; other
 columns are kept by ``scan`` and ``redact`` and ignored by the query.
@@ -17,6 +18,7 @@ columns are kept by ``scan`` and ``redact`` and ignored by the query.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,9 @@ NAMES = "password|passwd|secret|token|api_?key"
 #: kind -> (pattern with the value as its own group, least length of the value), in the order of kinds.
 BASE = {
     "assign": (rf"(?i:{NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6),
-    "access": (r"(AKIA[A-Z0-9]+)", 20),
-    "hex": (r"([0-9a-f]+)", 24),
+    # a match is a maximal run, so its least length can stand in the pattern
+    "access": (r"(AKIA[A-Z0-9]{16,})", 20),
+    "hex": (r"([0-9a-f]{24,})", 24),
 }
 #: What a text must hold for a kind to be looked for at all.
 GUARD = {"assign": rf"(?i:{NAMES})[\"']?\x20*[:=]", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
@@ -38,6 +41,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]"
 MIN_RUN, LOG_ODDS = 20, 25.0
 SAMPLES, SMOOTH = 4000, 0.5
+#: Elements of an array that are folded at once; a fold copies what it has made at each step.
+CHUNK = 256
 
 #: Words that ordinary identifiers are joined from.
 WORDS = (
@@ -102,29 +107,45 @@ def train(samples: DataFrame) -> list[float]:
     return [log(True, a, b) - log(False, a, b) for a in ALPHABET for b in ALPHABET]
 
 
-def located(text: Column, pattern: str, guard: str) -> Column:
-    """array<struct<start, end, size>> of leftmost non-overlapping matches; size is the length of the pattern's group."""
+def prefix(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each element of array<int>, all up to it under an associative ``op``: chunks alone first, then with what comes before them."""
+
+    def fold(array: Column) -> Column:
+        add = lambda acc, x: F.array_append(acc, F.when(F.size(acc) > 0, op(F.get(acc, F.size(acc) - 1), x)).otherwise(x))
+        return F.aggregate(array, F.array().cast("array<int>"), add)
+
+    last = F.floor((F.size(values) - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(values, c * CHUNK + 1, CHUNK))
+    folded = F.transform(chunks, fold)
+    both = F.struct(folded.alias("own"), fold(F.transform(folded, lambda a: F.get(a, F.size(a) - 1))).alias("all"))
+    moved = lambda f: F.flatten(F.transform(f["own"], lambda a, k: F.transform(a, lambda x: F.when(k > 0, op(F.get(f["all"], k - 1), x)).otherwise(x))))
+    once = F.get(F.transform(F.array(both), moved), F.lit(0))  # a lambda's argument is computed once
+    return F.when(F.size(values) > 0, once).otherwise(F.array().cast("array<int>"))
+
+
+def matches(text: Column, pattern: str, guard: str, value: bool) -> Column:
+    """array<struct<gap, hit, size>> of leftmost non-overlapping matches: code points before it, its text, and the size of the pattern's group (with ``value``) or of the match."""
     whole = rf"(?s)\G(.*?)({pattern})"
     take = lambda g: F.regexp_extract_all(text, F.lit(whole), F.lit(g))
-    parts = F.zip_with(
-        F.arrays_zip(take(1).alias("gap"), take(2).alias("hit")),
-        take(3),
-        lambda x, v: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(v).alias("size")),
-    )
-    none = F.array().cast("array<struct<start:int,end:int,size:int>>")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["hit"]).alias("at"),
-        F.concat(
-            acc["out"],
-            F.array(
-                F.struct(
-                    (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["hit"]).alias("end"), x["size"].alias("size")
-                )
-            ),
-        ).alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(text.rlike(guard), F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(none)
+    if value:
+        parts = F.zip_with(F.arrays_zip(take(1).alias("gap"), take(2).alias("hit")), take(3), lambda x, v: F.struct(F.length(x["gap"]).alias("gap"), x["hit"], F.length(v).alias("size")))
+    else:
+        parts = F.zip_with(take(1), take(2), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit"), F.length(hit).alias("size")))
+    return F.when(text.rlike(guard), parts).otherwise(F.array().cast("array<struct<gap:int,hit:string,size:int>>"))
+
+
+def with_located(df: DataFrame, text: Column, kinds: dict[str, tuple[str, str, bool]]) -> DataFrame:
+    """Adds for each (column: pattern, guard, value) array<struct<start, end, size, hit>>."""
+    work = {c: f"{c}_m" for c in kinds}
+    df = df.withColumns({work[c]: matches(text, *kinds[c]) for c in kinds})
+    ends = {f"{c}_e": prefix(F.transform(work[c], lambda x: x["gap"] + F.length(x["hit"])), lambda a, b: a + b) for c in kinds}
+    df = df.withColumns(ends)
+
+    def placed(c: str) -> Column:
+        end = lambda i: F.get(F.col(f"{c}_e"), i)
+        return F.transform(work[c], lambda x, i: F.struct((end(i) - F.length(x["hit"])).alias("start"), end(i).alias("end"), x["size"], x["hit"]))
+
+    return df.withColumns({c: placed(c) for c in kinds}).drop(*work.values(), *ends)
 
 
 def log_odds(token: Column, ratios: Column) -> Column:
@@ -138,39 +159,59 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", out: str = "f
 
     A column of that name is replaced; the working columns' names start with ``__secret``.
     """
-    source = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
+    kinds = {f"__secret_{kind}": (p, GUARD[kind], kind == "assign") for kind, (p, _) in BASE.items()}
+    df = with_located(docs, source, kinds | {"__secret_runs": (f"({RUN}{{{MIN_RUN},}})", f"{RUN}{{{MIN_RUN}}}", False)})
     base = F.concat(
         *(
             F.transform(
-                F.filter(located(source, p, GUARD[kind]), lambda x: x["size"] >= least),
+                F.filter(F.col(f"__secret_{kind}"), lambda x: x["size"] >= least),
                 lambda x: F.struct(x["start"], F.lit(i).alias("kind"), x["end"]),
             )
-            for i, (kind, (p, least)) in enumerate(BASE.items())
+            for i, (kind, (_, least)) in enumerate(BASE.items())
         )
     )
-    df = docs.withColumn("__secret_base", base).withColumn("__secret_runs", located(source, f"({RUN}{{{MIN_RUN},}})", f"{RUN}{{{MIN_RUN}}}"))
+    df = df.withColumn("__secret_base", base)
+    likely = F.filter("__secret_runs", lambda r: log_odds(r["hit"], table) >= LOG_ODDS)
+    # the runs and the spans that each touches: a run is cut off by other characters, so it meets few
     clear = lambda r: ~F.exists("__secret_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    token = lambda r: F.substr(source, r["start"] + 1, r["end"] - r["start"])
-    random = F.filter("__secret_runs", lambda r: clear(r) & (log_odds(token(r), table) >= LOG_ODDS))
-    added = F.transform(random, lambda r: F.struct(r["start"], F.lit(len(BASE)).alias("kind"), r["end"]))
-    return df.withColumn(out, F.array_sort(F.concat("__secret_base", added))).drop("__secret_base", "__secret_runs")
+    added = F.transform(F.filter(likely, clear), lambda r: F.struct(r["start"], F.lit(len(BASE)).alias("kind"), r["end"]))
+    found = F.array_sort(F.concat("__secret_base", added))
+    return df.withColumn("__secret_out", found).drop(out, "__secret_base", "__secret_runs", *kinds).withColumnRenamed("__secret_out", out)
 
 
 def redact(docs: DataFrame, ratios: list[float], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replaces every span, overlapping ones as one, by ``mark``; rows without spans keep their text, null included."""
-    source = F.col(text)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(source, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substr(source, acc["at"] + 1, F.length(source)))
-    spans = "__secret_spans"
-    found = scan(docs, ratios, text, spans)
-    return found.withColumn(text, F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(source)).drop(spans)
+    """Replaces every span, overlapping ones as one, by ``mark``; rows without spans keep their text, null included.
+
+    The text is cut at every CHUNK-th span first, so a span's place is not looked for from the text's start.
+    """
+    source, spans = F.col(f"`{text}`"), F.col("__secret_spans")
+    reach = "__secret_reach"  # how far the spans up to each one go
+    found = scan(docs, ratios, text, "__secret_spans").withColumn(reach, prefix(F.transform("__secret_spans", lambda s: s["end"]), F.greatest))
+    before = lambda i: F.when(i > 0, F.get(F.col(reach), i - 1)).otherwise(0)
+    last = F.floor((F.size(spans) - 1) / CHUNK).cast("int")
+
+    def chunk(c: Column) -> Column:
+        """Spans c * CHUNK and on, each with the text before it that no span covers."""
+        begin = before(c * CHUNK)
+        end = F.get(F.col(reach), F.least((c + 1) * CHUNK, F.size(spans)) - 1)
+        piece = F.struct(begin.alias("at"), F.substr(source, begin + 1, end - begin).alias("text"))
+        own = F.sequence(c * CHUNK, F.least((c + 1) * CHUNK, F.size(spans)) - 1)
+
+        def marked(p: Column) -> Column:
+            def one(i: Column) -> Column:
+                start = F.get(spans, i)["start"]
+                gap = F.substr(p["text"], before(i) - p["at"] + 1, F.greatest(start - before(i), F.lit(0)))
+                return F.when(start >= before(i), F.concat(gap, F.lit(mark))).otherwise("")
+
+            return F.array_join(F.transform(own, one), "")
+
+        return F.get(F.transform(F.array(piece), marked), F.lit(0))
+
+    tail = F.substr(source, F.get(F.col(reach), F.size(spans) - 1) + 1, F.length(source))
+    clean = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), last), chunk), ""), tail)
+    return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(source)).drop("__secret_spans", reach)
 
 
 def written(spans: Column) -> Column:

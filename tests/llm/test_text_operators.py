@@ -104,6 +104,50 @@ def test_redaction_keeps_the_rest(spark):
     assert out[2]["text"] is None and out[3]["text"] == "plain"
 
 
+def _long(n):
+    """A long text of prose with n secrets of all kinds, some inside others."""
+    import random
+
+    rng = random.Random(n)
+    key = lambda k, chars="0123456789abcdef": "".join(rng.choice(chars) for _ in range(k))
+    out = []
+    for i in range(n):
+        hit = (f"password={key(30)}.{key(26)}", f"AKIA{key(18, 'ABCDEFGHIJ0123')}", key(40), f"token: {key(4)}", f"secret=AKIA{key(20, 'ABCDEFGH')}+x")[i % 5]
+        out.append(f"fed aé bad {'lorem ipsum dolor ' * rng.randint(1, 6)}😀 {hit} ,")
+    return " ".join(out)
+
+
+def test_secrets_of_long_texts(spark):
+    texts = [_long(1500), "fade bead cafe " * 60_000 + "ab" * 20, "\n".join(["QUJD" * 16] * 3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratios = secret_scan.train(secret_scan.labelled_samples(spark))
+    found = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["found"]] for r in secret_scan.scan(docs, ratios).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, ratios).collect()}
+    for i, text in enumerate(texts):
+        assert [s for s in found[i] if s[1] < 3] == brute_secrets(text)
+        want, at = [], 0
+        for start, _, end in found[i]:
+            if start >= at:
+                want += [text[at:start], "[SECRET]"]
+            at = max(at, end)
+        assert clean[i] == "".join(want) + text[at:]
+
+
+def test_markov_models_on_tokens_that_they_have_not_seen(spark):
+    import random
+
+    rng = random.Random(7)
+    alphabets = ("0123456789abcdefABCDEF", secret_scan.ALPHABET[:62], secret_scan.ALPHABET[26:62])
+    random_tokens = ["".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(24, 44))) for _ in range(300)]
+    parts = "customer invoice shipping address validate repository controller service manager handler provider factory builder adapter".split()
+    ordinary = [rng.choice(["_", "-", ""]).join(rng.choice(parts).capitalize() if rng.random() < 0.5 else rng.choice(parts) for _ in range(4)) for _ in range(300)]
+    rows = [(i, f"x {token} y") for i, token in enumerate(random_tokens + ordinary)]
+    ratios = secret_scan.train(secret_scan.labelled_samples(spark))
+    out = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), ratios).collect()
+    hits = {r["doc_id"] for r in out if r["found"]}
+    assert sum(i in hits for i in range(300)) >= 285 and sum(i in hits for i in range(300, 600)) <= 3
+
+
 def test_secret_query_digest(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(SECRETS)] + [(90, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
