@@ -13,7 +13,8 @@ written. No pair of rows and no id is dropped: only provably distant blocks are.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a null id,
 link with nothing; vectors of different lengths do not link; rows that share a vec_id are one vertex and do not count
-as links of each other; an empty table gives no rows; labels and other columns are ignored.
+as links of each other: equal vectors of it count once, different ones each, as what other vectors link with; an empty table gives
+no rows; labels and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -195,6 +196,8 @@ def linked(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Rows (id, n, a, b): counts of links of an id, or a link of a spanning forest of a pair of blocks."""
     vector = F.col("embedding").cast("array<double>")
     vectors = embeddings.select(F.col("vec_id").cast("long"), vector.alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    if vectors.groupBy("vec_id").count().where("count > 1").limit(1).count():
+        vectors = vectors.dropDuplicates()
     vectors = vectors.withColumn("dim", F.size("embedding"))
     sample = vectors.orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(SAMPLE).collect()
     by_dim: dict[int, list] = {}
@@ -242,7 +245,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of embeddings."""
     found = linked(embeddings, cosine)
     counts = found.where("id is not null").groupBy(F.col("id").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    own = components(found.where("a is not null").select("a", "b")).withColumnRenamed("id", "vec_id")
+    own = components(found.where("a is not null").select("a", "b"), found.count()).withColumnRenamed("id", "vec_id")
     out = embeddings.select(F.col("vec_id").cast("long")).join(counts, "vec_id", "left").join(own, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -10,7 +10,7 @@ Index and frequencies are bounded by the templates, so both travel in the plan;
 Texts without any first word of a base or mandatory phrase are passed by a plain search.
 
 Defined results: a null or empty text has no words, places or labels and score 0; repeated rows get equal results; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are kept by ``scan`` (those of the names it adds are replaced) and ignored by the query.
 """
 
 from __future__ import annotations
@@ -96,8 +96,8 @@ def scan(docs: DataFrame, idf: dict[str, float], text: str = "text") -> DataFram
     any_case = lambda x: "".join(f"[{c}{c.upper()}]" for c in x)
     anchor = f"(?<!{RAW_WORD[:-1]})(?:{'|'.join(map(any_case, first))})(?!{RAW_WORD[:-1]})"
     out = docs.withColumn("n_words", F.regexp_count(source, F.lit(RAW_WORD)).cast("long"))
-    out = out.withColumn("_w", F.when(source.rlike(anchor), words_of(source)).otherwise(F.array().cast("array<string>")))
-    w = F.col("_w")
+    out = out.withColumn("__license_w", F.when(source.rlike(anchor), words_of(source)).otherwise(F.array().cast("array<string>")))
+    w = F.col("__license_w")
 
     def starts(phrase: str) -> Column:
         def here(x: Column, i: Column) -> Column:
@@ -110,21 +110,21 @@ def scan(docs: DataFrame, idf: dict[str, float], text: str = "text") -> DataFram
         return F.filter(F.transform(w, here), lambda i: i.isNotNull())
 
     for p, label in BASE:
-        out = out.withColumn(f"_{label}", starts(p))
-    labels = F.array(*(F.when(F.size(f"_{label}") > 0, F.lit(label)) for _, label in BASE))
-    out = out.withColumn("places", F.concat(*(F.col(f"_{label}") for _, label in BASE)))
+        out = out.withColumn(f"__license_{label}", starts(p))
+    labels = F.array(*(F.when(F.size(f"__license_{label}") > 0, F.lit(label)) for _, label in BASE))
+    out = out.withColumn("places", F.concat(*(F.col(f"__license_{label}") for _, label in BASE)))
     out = out.withColumn("base", F.array_sort(F.array_distinct(F.filter(labels, lambda x: x.isNotNull()))))
     # looked-up words with their places
     table = _map(idf)
     hits = F.filter(
         F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda h: h["word"].isin(*idf)
     )
-    out = out.withColumn("_hits", hits)
-    out = out.withColumn("_joined", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))
+    out = out.withColumn("__license_hits", hits)
+    out = out.withColumn("__license_joined", F.concat(F.lit(" "), F.array_join("__license_w", " "), F.lit(" ")))
     found = []
     for name, places in postings().items():
         own = _map({x: ",".join(map(str, p)) for x, p in places.items()})
-        use = F.filter("_hits", lambda h: h["word"].isin(*places))
+        use = F.filter("__license_hits", lambda h: h["word"].isin(*places))
         begins = F.array_sort(
             F.flatten(
                 F.transform(
@@ -144,14 +144,14 @@ def scan(docs: DataFrame, idf: dict[str, float], text: str = "text") -> DataFram
         all_of = sum(idf[x] * len(p) for x, p in places.items())
         must = F.lit(True)
         for p in TEMPLATES[name][1]:
-            must = must & F.contains("_joined", F.lit(f" {p} "))
+            must = must & F.contains("__license_joined", F.lit(f" {p} "))
         share = F.least(F.aggregate(begins, zero, step, lambda acc: acc["best"]) / F.lit(max(all_of, 1e-9)), F.lit(1.0))
-        found.append(F.when((F.size("_w") > 0) & must, F.struct(F.lit(name).alias("label"), share.alias("share"))))
-    out = out.withColumn("_found", F.filter(F.array(*found), lambda x: x.isNotNull()))
-    out = out.withColumn("added", F.transform(F.filter("_found", lambda x: x["share"] >= COVERED), lambda x: x["label"]))
+        found.append(F.when((F.size("__license_w") > 0) & must, F.struct(F.lit(name).alias("label"), share.alias("share"))))
+    out = out.withColumn("__license_found", F.filter(F.array(*found), lambda x: x.isNotNull()))
+    out = out.withColumn("added", F.transform(F.filter("__license_found", lambda x: x["share"] >= COVERED), lambda x: x["label"]))
     base_score = F.when(F.size("places") > 0, 1.0).otherwise(0.0)
-    out = out.withColumn("score", F.greatest(base_score, F.coalesce(F.array_max(F.transform("_found", lambda x: x["share"])), F.lit(0.0))))
-    return out.drop("_w", "_hits", "_joined", "_found", *(f"_{label}" for _, label in BASE))
+    out = out.withColumn("score", F.greatest(base_score, F.coalesce(F.array_max(F.transform("__license_found", lambda x: x["share"])), F.lit(0.0))))
+    return out.drop("__license_w", "__license_hits", "__license_joined", "__license_found", *(f"__license_{label}" for _, label in BASE))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,5 +34,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Every row of ``n`` (id) with the least id that links ``l`` (a, b) lead to.
+_COMPONENTS = """e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r(id, c) AS (SELECT id, id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a),
+    k AS (SELECT id, min(c) AS c FROM r GROUP BY id)"""
+
+ORACLES = {
+    "op5_embedding_dedup": f"""WITH RECURSIVE n AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+        u AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM n
+            WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        l AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id < y.id AND len(x.v) = len(y.v) AND x.s > 0 AND y.s > 0
+            WHERE list_dot_product(x.v, y.v) / (x.s * y.s) >= 0.95), {_COMPONENTS},
+        d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+        SELECT k.id AS vec_id, coalesce(d.n, 0) AS n_links, k.c AS component_id, k.id = k.c AS kept FROM k LEFT JOIN d ON d.a = k.id""",
+    "op9_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        n AS (SELECT id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        t AS (SELECT id, unnest(s) AS t FROM n),
+        p AS (SELECT x.id AS a, y.id AS b, count(*) AS m FROM t x JOIN t y ON x.t = y.t AND x.id < y.id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * m >= 85 * (len(x.s) + len(y.s) - m)), {_COMPONENTS}
+        SELECT n.id AS doc_id, CAST(len(n.s) AS BIGINT) AS n_shingles, k.c AS component_id, n.id = k.c AS kept FROM n JOIN k USING (id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -91,6 +91,13 @@ def test_embedding_links(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_repeated_ids(spark):
+    near = [1.0, 0.0, 0.01]
+    rows = [(7, [1.0, 0.0, 0.0]), (7, [1.0, 0.0, 0.0]), (8, near), (9, [0.0, 1.0, 0.0]), (9, near), (10, [0.0, 1.0, 0.0])]
+    out = {(r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert out == {(7, 2, 7), (8, 2, 7), (9, 3, 7), (10, 1, 7)}
+
+
 URLS = [
     "http://a.net/es/1", "HTTPS://WWW.Example.COM/en/x?y=1", "http://example.com/en/", "http://example.com/en", "http://example.com?x=/en/",
     "http://net/fr/9#top", "http://xnet/es/1", "http://com", "http://a.com.org/es/1", "x://b.COM/é/ü", "no scheme", "", None, "a://b://c.com/d",
@@ -301,3 +308,15 @@ def test_every_operator_is_registered():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(names) | {"pipeline"} <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_twins(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS FROM '{sf}/{table}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    assert Counter(want.fetchall()) == Counter(tuple(r[c] for c in want.columns) for r in queries.queries()[name](spark, sf).collect())
