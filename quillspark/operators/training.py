@@ -13,11 +13,14 @@ from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenize
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions.text import collapsed, first_filled
 
 # Fixed values
 LEAST_OUTPUT, LEAST_INPUT = 30, 100
+#: Keys that the driver shuffles at most.
+SHUFFLED = 1_000_000
 LABELS = ("INTERVENTIONAL", "OBSERVATIONAL")
 MODEL_CHARS, FEATURES, LEAST_TEXTS = 4000, 5000, 10
 
@@ -28,6 +31,15 @@ def usable_examples(df: DataFrame) -> DataFrame:
     return df.where((output != "") & (output != "None") & (F.length(output) >= LEAST_OUTPUT) & (F.length("input") >= LEAST_INPUT))
 
 
+def skipped(df: DataFrame) -> DataFrame:
+    """One row: how many rows (input, output) are used, and how many are left out for each reason, the first that holds."""
+    output = F.trim(F.coalesce("output", F.lit("")))
+    reason = F.when((output == "") | (output == "None"), "no_output").when(F.length(output) < LEAST_OUTPUT, "short_output")
+    reason = reason.when(F.coalesce(F.length("input") < LEAST_INPUT, F.lit(True)), "short_input").otherwise("used")
+    kinds = ("used", "no_output", "short_output", "short_input")
+    return df.agg(*(F.count_if(reason == k).alias(k) for k in kinds))
+
+
 def length_stats(df: DataFrame, column: str) -> DataFrame:
     """n, median, longest and the 95th percentile as the element at floor(0.95 n) of the ascending lengths.
 
@@ -47,16 +59,21 @@ def validation_size(n: int) -> int:
 
 
 def shuffled_split(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Adds ``split`` by a seeded shuffle of the keys in order, for sets small enough for the driver."""
-    keys = [r[0] for r in df.select(key).orderBy(key).collect()]
+    """Adds ``split`` by a seeded shuffle of the keys in order, for sets of at most SHUFFLED keys; hashed_split is for any size."""
+    keys = [r[0] for r in df.select(key).orderBy(key).limit(SHUFFLED + 1).collect()]
+    if len(keys) > SHUFFLED:
+        raise ValueError(f"over {SHUFFLED} keys: use hashed_split")
     random.Random(seed).shuffle(keys)
     held = keys[: validation_size(len(keys))]
-    return df.withColumn("split", F.when(F.col(key).isin(held), "val").otherwise("train"))
+    kind = T.StructType([T.StructField(key, df.schema[key].dataType)])
+    out = df.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(held)], kind).withColumn("split", F.lit("val"))
+    # at most a tenth of SHUFFLED keys, so their side is broadcast
+    return df.join(F.broadcast(out), df[key].eqNullSafe(out[key]), "left").select(df["*"], F.coalesce("split", F.lit("train")).alias("split"))
 
 
 def hashed_split(df: DataFrame, key: str, percent: int = 10) -> DataFrame:
     """Adds ``split`` by a hash of the key: no order, no gathering, any size."""
-    fold = F.crc32(F.col(key).cast("string").cast("binary")) % 100
+    fold = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 100
     return df.withColumn("split", F.when(fold < percent, "val").otherwise("train"))
 
 

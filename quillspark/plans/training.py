@@ -142,6 +142,7 @@ _CHOSEN = f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS pmcid, {_GROUPS["gt"]
     b AS (SELECT *, list_max(sc) AS best, list_sum(sc) / len(sc) AS mean FROM s)"""
 
 ORACLES = {
+    "hash_split": "SELECT doc_id, CASE WHEN CAST(concat('0x', substring(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 10 THEN 'val' ELSE 'train' END AS split FROM documents",
     "label_join_filter": f"""WITH d AS (SELECT doc_id, {C.ABSTRACT} AS input, CASE WHEN doc_id % 9 = 0 THEN 'None' ELSE substring(coalesce(text, ''), 1, 200) END AS output FROM documents)
         SELECT doc_id, quality, length(output) AS chars FROM d JOIN labels USING (doc_id) WHERE output NOT IN ('', 'None') AND length(output) >= 30 AND length(input) >= 100""",
     "sheet_rows": "SELECT CAST(doc_id AS VARCHAR) AS pmcids, CASE WHEN quality = 1 THEN 'INTERVENTIONAL' END AS study_type FROM labels",

@@ -112,3 +112,49 @@ def test_entry_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     if SMALL.exists():
         assert entry.entry(spark).columns == ["maximum_age", "n"]
+
+
+def test_number_words_count_as_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import metrics
+
+    rows = [("Eighteen years", "18 Years", 1.0), ("twenty-five", "20 and 5", 1.0), ("someone", "", 1.0), ("None", "zero", 0.0), (None, "", 1.0), ("two hundred", "2", 0.5)]
+    out = spark.createDataFrame(rows, "p string, g string, want double").select("want", metrics.number_similarity(F.col("p"), F.col("g")).alias("got"))
+    assert all(r["want"] == r["got"] for r in out.collect())
+
+
+def test_examples_are_appended_once_and_skips_are_counted(spark, tmp_path):
+    rows = [("1", "x" * 120, "y" * 40), ("2", "x" * 120, "None"), ("3", "x" * 120, "short"), ("4", "x", "y" * 40), ("5", None, "y" * 40), ("6", "x" * 120, None)]
+    df = spark.createDataFrame(rows, "pmcid string, input string, output string")
+    assert training.skipped(df).first().asDict() == {"used": 1, "no_output": 2, "short_output": 1, "short_input": 2}
+    path = str(tmp_path / "out")
+    assert tables.append_examples(df.limit(2), path) == 2 and tables.append_examples(df, path) == 4 and tables.append_examples(df, path) == 0
+    assert spark.read.json(path).count() == 6
+    tables.write_stats(training.skipped(df), str(tmp_path / "stats"))
+    assert spark.read.json(str(tmp_path / "stats")).first()["used"] == 1
+
+
+def test_shuffled_split_refuses_large_sets(spark, monkeypatch):
+    monkeypatch.setattr(training, "SHUFFLED", 5)
+    with pytest.raises(ValueError):
+        training.shuffled_split(spark.range(6), "id")
+
+
+def test_conditions_chain(spark):
+    from quillspark.operators import adapters
+    from quillspark.plans import inference
+
+    shape = "pmcid string, title string, abstract_text string, methods_text string, keywords array<string>, body_sections array<struct<title: string, text: string>>"
+    articles = spark.createDataFrame([("1", "heart attack", "of men", "", ["k"], []), ("2", None, None, None, None, None)], shape)
+    gold = [("1", [1.0, 0.0], "['Own']", "own text"), ("7", [0.9, 0.1], "['Heart''s \"Attack\"', 'Stroke']".replace("''", "\\'"), "near text"), ("8", [0.0, 1.0], "", "no list")]
+    index = spark.createDataFrame(gold, "id string, vector array<double>, conditions string, article_text string")
+
+    class Fixed:
+        def embed(self, texts):
+            return [[1.0, 0.0] if t.strip() else [0.0, 0.0] for t in texts]
+
+    out = {r["pmcid"]: r["conditions"] for r in inference.conditions(articles, index, Fixed, adapters.StubChat, more=True).collect()}
+    assert eval(out["1"]) == ["Heart's \"Attack\"", "Stroke"] and set(out) == {"1", "2"}
+    bare = inference.conditions(articles, index.limit(0), Fixed, adapters.StubChat).collect()
+    assert {r["conditions"] for r in bare} == {"['Not Specified']"}
