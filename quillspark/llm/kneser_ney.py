@@ -9,9 +9,8 @@ a 64-bit code, and every document is padded at both ends. Trusted text is every
    for its distinct n-grams, shard by shard; the distinct n-grams of all packs are given their log-probability by joins,
    with the lower orders where an n-gram was never seen; the shards are joined with the packs' requests and each answer
    returns to its pack, where the documents are summed.
-   A trusted document is scored by the model without its own fold (``FOLDS`` by a hash of the text, so copies share one), which
-   is a model of its own in all tables; every other document by the model of all trusted text.
-4. A language's limit is the ``QUANTILE`` of the log-perplexity of its trusted documents. A
+4. One fold of ``FOLDS`` of the trusted documents, by a hash of the text, so copies share it, is held out of the counts. A language's
+   limit is the ``QUANTILE`` of the log-perplexity of its held-out documents, which the model has not seen. A
    language with fewer than ``LEAST_TRUSTED`` of them, whose own quantile is not determined, has at least its median times the pooled
    limit, which is that quantile of the ratio to the median over all languages. A document above the limit is rejected.
 
@@ -19,8 +18,8 @@ What is gathered grows with the text: counts cover all trusted documents and req
 ``SHARDS`` of a language's distinct n-grams; no other key's rows are collected.
 
 Defined results: a null or empty text has no perplexity and is rejected; a null language is a language of its own; a language
-without trusted documents is not judged and its documents with text stay; repeated rows get equal results, and rows that share a doc_id are
-trusted together; an empty table gives no rows; other columns are ignored.
+without held-out trusted documents is not judged and its documents with text stay; repeated rows get equal results, and rows that
+share a doc_id are trusted together; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +38,11 @@ from quillspark.llm import common
 
 ORDER, BITS, SHARDS = 4, 16, 64
 QUANTILE = 0.99
-FOLDS, LEAST_TRUSTED = 4, 100
-#: Characters of a pack at most, if its last document does not pass it.
-PACK_CHARS = 8_000_000
+FOLDS, HELD, LEAST_TRUSTED = 4, 0, 100
+#: Characters that a task counts at once.
+COUNTED = 8_000_000
+#: Bytes of a pack's texts at most, if its last document does not pass it.
+PACK_CHARS = 16_000_000
 #: Where code points beyond 16 bits are put, and how many places they share.
 _PRIVATE, _PLACES = 0xE000, 0x1900
 
@@ -82,37 +83,29 @@ def fold_of(text: str) -> int:
 
 
 def counted(trusted: DataFrame) -> DataFrame:
-    """(lang, code, n) over the trusted documents (lang, text) of each model; from here on lang is the model's key.
-
-    The key of the model of all trusted text is "-" and the language, that of the one without a fold the fold and the language.
-    """
+    """(lang, code, n) over the trusted documents (lang, text) that are not held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], list[np.ndarray]] = {}
+        held: dict[str, list[np.ndarray]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, fold), parts in held.items():
+            for lang, parts in held.items():
                 code, n = np.unique(np.concatenate(parts), return_counts=True)
-                arrays = [pa.array([lang] * len(code)), pa.array([fold] * len(code), pa.int32()), pa.array(code, pa.int64()), pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "fold", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
             held.clear()
 
         for batch in common.small_batches(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text:
-                    held.setdefault((lang, fold_of(text)), []).append(codes(folded(text)))
+                if text and fold_of(text) != HELD:
+                    held.setdefault(lang, []).append(codes(folded(text)))
                     size += len(text)
-            if size > PACK_CHARS:
+            if size > COUNTED:
                 yield from flush()
                 size = 0
         yield from flush()
 
-    grams = trusted.mapInArrow(run, "lang string, fold int, code long, n long").groupBy("lang", "code")
-    sums = grams.agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("fold") != i, F.col("n"))).alias(f"n{i}") for i in range(FOLDS)))
-    models = [("-", "n"), *((str(i), f"n{i}") for i in range(FOLDS))]
-    each = F.explode(F.array(*(F.struct(F.concat(F.lit(k), "lang").alias("lang"), F.col(n).alias("n")) for k, n in models)))
-    return sums.select("code", each.alias("of")).select("of.lang", "code", "of.n").where("n > 0")
+    return trusted.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
@@ -185,14 +178,14 @@ class _Distinct:
             self.size = len(self.held[0])
 
     def all(self) -> np.ndarray:
-        return np.unique(np.concatenate(self.held))
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *self.held]))
 
 
-_META = pa.schema([("doc_id", pa.int64()), ("bytes", pa.int64()), ("key", pa.string())])
+_META = pa.schema([("doc_id", pa.int64()), ("bytes", pa.int64()), ("fold", pa.int8())])
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(pack, lang, meta, texts) of rows (doc_id, lang, text, trusted): a language's documents in a pack, the texts compressed."""
+    """(pack, lang, meta, texts) of rows (doc_id, lang, text): a language's documents in a pack, the texts compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list, list[bytes]]] = {}
@@ -209,10 +202,10 @@ def packed(docs: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in common.small_batches(batches):
-            for doc_id, lang, text, trusted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text", "trusted")), strict=True):
+            for doc_id, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 meta, texts = held.setdefault(lang, ([], []))
-                meta.append((doc_id, len(raw), f"{fold_of(text)}{lang}" if trusted and text else f"-{lang}"))
+                meta.append((doc_id, len(raw), fold_of(text or "")))
                 texts.append(raw)
                 size += len(raw)
                 if size >= PACK_CHARS:
@@ -220,40 +213,39 @@ def packed(docs: DataFrame) -> DataFrame:
                     size, pack = 0, pack + 1
         yield from flush()
 
-    return docs.select("doc_id", "lang", "text", "trusted").mapInArrow(run, "pack long, lang string, meta binary, texts binary")
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, "pack long, lang string, meta binary, texts binary")
 
 
-def _documents(meta: bytes, texts: bytes) -> Iterator[tuple[int | None, str, np.ndarray]]:
-    """(doc_id, key of the model, symbols) of a pack's documents."""
+def _documents(meta: bytes, texts: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(doc_id, fold, symbols) of a pack's documents."""
     table = pa.ipc.open_stream(meta).read_all()
     raw, at = zstandard.ZstdDecompressor().decompress(texts), 0
-    for doc_id, size, key in zip(*(table.column(c).to_pylist() for c in ("doc_id", "bytes", "key")), strict=True):
-        yield doc_id, key, folded(raw[at : at + size].decode("utf-8", "surrogatepass"))
+    for doc_id, size, fold in zip(*(table.column(c).to_pylist() for c in ("doc_id", "bytes", "fold")), strict=True):
+        yield doc_id, fold, folded(raw[at : at + size].decode("utf-8", "surrogatepass"))
         at += size
 
 
 def requests(packs: DataFrame) -> DataFrame:
-    """(pack, lang, shard, codes): the distinct n-grams of each pack by model (lang is its key), little-endian 64-bit, sorted."""
+    """(pack, lang, shard, codes): the distinct n-grams of each pack, little-endian 64-bit, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, 1):
             row = batch.to_pylist()[0]
-            found: dict[str, _Distinct] = {}
-            for _, key, symbols in _documents(row["meta"], row["texts"]):
+            held = _Distinct()
+            for _, _, symbols in _documents(row["meta"], row["texts"]):
                 if len(symbols):
-                    found.setdefault(key, _Distinct()).add(codes(symbols))
-            for key, held in found.items():
-                code = held.all()
-                shard = shard_of(code)
-                order = np.argsort(shard, kind="stable")
-                code, shard = code[order], shard[order]
-                ends = np.searchsorted(shard, np.arange(SHARDS + 1))
-                some = [s for s in range(SHARDS) if ends[s] < ends[s + 1]]
-                parts = pa.array([code[ends[s] : ends[s + 1]].astype("<i8").tobytes() for s in some], pa.binary())
-                columns = [pa.array([row["pack"]] * len(some), pa.int64()), pa.array([key] * len(some)), pa.array(some, pa.int32()), parts]
-                yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "shard", "codes"])
+                    held.add(codes(symbols))
+            code = held.all()
+            shard = shard_of(code)
+            order = np.argsort(shard, kind="stable")
+            code, shard = code[order], shard[order]
+            ends = np.searchsorted(shard, np.arange(SHARDS + 1))
+            some = [s for s in range(SHARDS) if ends[s] < ends[s + 1]]
+            parts = pa.array([code[ends[s] : ends[s + 1]].astype("<i8").tobytes() for s in some], pa.binary())
+            columns = [pa.array([row["pack"]] * len(some), pa.int64()), pa.array([row["lang"]] * len(some), pa.string()), pa.array(some, pa.int32()), parts]
+            yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "shard", "codes"])
 
-    return packs.select("pack", "meta", "texts").mapInArrow(run, "pack long, lang string, shard int, codes binary")
+    return packs.mapInArrow(run, "pack long, lang string, shard int, codes binary")
 
 
 def _distinct(asked: DataFrame) -> DataFrame:
@@ -290,38 +282,33 @@ def answers(asked: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def perplexities(packs: DataFrame, replies: DataFrame) -> DataFrame:
-    """(doc_id, lang, trusted, n, logp) for each document; the answers of a pack meet its documents."""
+    """(doc_id, lang, fold, n, logp) for each document; the answers of a pack meet its documents."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         now = None
         for batch in common.small_batches(batches, 64):
             for row in batch.to_pylist():
                 if now != (row["pack"], row["lang"]):
-                    now, parts = (row["pack"], row["lang"]), {}
-                if row["key"] is not None:
-                    parts.setdefault(row["key"], []).append((np.frombuffer(row["one"], "<i8"), np.frombuffer(row["two"], "<f4")))
+                    now, parts = (row["pack"], row["lang"]), []
+                if row["kind"] == 0:
+                    parts.append((np.frombuffer(row["one"], "<i8"), np.frombuffer(row["two"], "<f4")))
                     continue
-                tables = {}
-                for key, own in parts.items():
-                    code, logp = (np.concatenate([x[i] for x in own]) for i in (0, 1))
-                    order = np.argsort(code)
-                    tables[key] = code[order], logp[order]
+                known, logp = (np.concatenate([np.zeros(0, t), *(x[i] for x in parts)]) for i, t in ((0, "<i8"), (1, "<f4")))
+                order = np.argsort(known)
+                known, logp = known[order], logp[order]
                 out = []
-                for doc_id, key, symbols in _documents(row["one"], row["two"]):
-                    total = None
-                    if len(symbols):
-                        known, logp = tables[key]
-                        total = float(logp[np.searchsorted(known, codes(symbols))].sum(dtype=np.float64))
-                    out.append((doc_id, row["lang"], key[0] != "-", len(symbols), total))
-                kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "lang", "trusted", "n", "logp"])
-
-    replied = replies.select("pack", F.substring("lang", 2, 2**31 - 1).alias("lang"), F.col("lang").alias("key"), F.col("codes").alias("one"), F.col("logps").alias("two"))
-    asking = packs.select("pack", "lang", F.lit(None).cast("string").alias("key"), F.col("meta").alias("one"), F.col("texts").alias("two"))
+                for doc_id, fold, symbols in _documents(row["one"], row["two"]):
+                    total = float(logp[np.searchsorted(known, codes(symbols))].sum(dtype=np.float64)) if len(symbols) else None
+                    out.append((doc_id, row["lang"], fold, len(symbols), total))
+                kinds = (pa.int64(), pa.string(), pa.int8(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "lang", "fold", "n", "logp"])
+
+    replied = replies.select("pack", "lang", F.lit(0).alias("kind"), F.col("codes").alias("one"), F.col("logps").alias("two"))
+    asking = packs.select("pack", "lang", F.lit(1).alias("kind"), F.col("meta").alias("one"), F.col("texts").alias("two"))
     keys = ("pack", "lang")
-    both = replied.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, F.col("key").isNull())
-    return both.mapInArrow(summed, "doc_id long, lang string, trusted boolean, n long, logp double")
+    both = replied.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, "kind")
+    return both.mapInArrow(summed, "doc_id long, lang string, fold byte, n long, logp double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -329,9 +316,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("\x00"))
     source = docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.col("text").cast("string"))
     good = common.checkpointed(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct())
-    small = good.count() <= common.BROADCAST_ROWS
-    known = good.withColumn("trusted", F.lit(True))
-    packs = common.checkpointed(packed(source.join(F.broadcast(known) if small else known, "doc_id", "left")))
+    packs = common.checkpointed(packed(source))
     probs, weights, floors = model(counted(common.among(source, good).select("lang", "text")))
     asked = common.checkpointed(requests(packs))
     distinct = common.checkpointed(_distinct(asked))
@@ -339,8 +324,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     rows = common.checkpointed(perplexities(packs, answers(asked, scored)))
     common.release(packs, asked, distinct)
     value = -F.col("logp") / (F.col("n") + 1)
-    rows = rows.select("doc_id", "lang", "trusted", F.col("n").alias("n_symbols"), value.alias("log_perplexity"))
-    unseen = rows.where("trusted and log_perplexity is not null").select("lang", F.col("log_perplexity").alias("_unseen"))
+    rows = rows.select("doc_id", "lang", "fold", F.col("n").alias("n_symbols"), value.alias("log_perplexity"))
+    unseen = common.among(rows.where((F.col("fold") == HELD) & F.col("log_perplexity").isNotNull()), good).select("lang", F.col("log_perplexity").alias("_unseen"))
     own = F.percentile_approx("_unseen", [0.5, quantile], 10000)
     q = common.checkpointed(unseen.groupBy("lang").agg(own.alias("q"), F.count("*").alias("n")).select("lang", F.col("q")[0].alias("mid"), F.col("q")[1].alias("top"), "n"))
     few = q.count() <= 10_000

@@ -215,17 +215,16 @@ def test_perplexity_and_limits(spark, extra, messy, labels, empty, monkeypatch):
         own = [r for r in messy if r[2] == lang and r[1] and len(r[1]) < 3000]
         trusted = [r[1] for r in messy if r[2] == lang and r[0] in good]
         found = Counter((r["doc_id"], round(r["log_perplexity"], 2)) for r in out if r["lang"] == lang and r["log_perplexity"] is not None)
-        others = [r for r in own if r[0] not in good]
-        values = list(zip(others, brute_language_model(trusted, [r[1] for r in others]), strict=True))
-        for fold in range(kneser_ney.FOLDS):  # a trusted document is judged by what the other folds hold
-            held = [r for r in own if r[0] in good and kneser_ney.fold_of(r[1]) == fold]
-            values += zip(held, brute_language_model([t for t in trusted if kneser_ney.fold_of(t) != fold], [r[1] for r in held]), strict=True)
+        trusted = [t for t in trusted if kneser_ney.fold_of(t) != kneser_ney.HELD]  # the rest is held out for the limit
+        values = list(zip(own, brute_language_model(trusted, [r[1] for r in own]), strict=True))
         assert len(values) == len(own)
         for r, value in values:
             assert any(i == r[0] and abs(v - value) < 0.011 for i, v in found), (r[0], value)
     assert all(r["kept"] is False for r in out if not r["n_symbols"])
     assert all(r["kept"] for r in out if r["n_symbols"] and r["limit"] is None)
     judged = [r for r in out if r["limit"] is not None and r["log_perplexity"] is not None]
+    held = [r["log_perplexity"] for r in out if r["lang"] == "en" and r["doc_id"] in good and r["n_symbols"] and kneser_ney.fold_of(dict((m[0], m[1]) for m in messy)[r["doc_id"]]) == kneser_ney.HELD]
+    assert held and {r["limit"] for r in out if r["lang"] == "en"} != {None} and max(held) <= max(r["limit"] for r in judged)
     assert judged and all(r["kept"] == (r["log_perplexity"] <= r["limit"]) for r in judged)
     assert kneser_ney.classify(empty, labels).count() == 0 and kneser_ney.classify(extra, labels.limit(0)).where("kept").count() > 0
 
