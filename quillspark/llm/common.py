@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -69,6 +70,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterat
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    batch = None
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as a Python worker waits for its next task beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def carried(df: DataFrame, fields: list[T.StructField], make: Callable[[Callable[[str], pa.Array]], list[pa.Array]], rows: int = 1024) -> DataFrame:

@@ -40,7 +40,7 @@ ORDER, BITS, SHARDS = 4, 16, 64
 QUANTILE = 0.99
 FOLDS, HELD, LEAST_TRUSTED = 4, 0, 100
 #: Characters that a task counts at once.
-COUNTED = 8_000_000
+COUNTED = 2_000_000
 #: Bytes of a pack's texts at most, if its last document does not pass it.
 PACK_CHARS = 16_000_000
 #: Where code points beyond 16 bits are put, and how many places they share.
@@ -104,6 +104,7 @@ def counted(trusted: DataFrame) -> DataFrame:
                 yield from flush()
                 size = 0
         yield from flush()
+        common.give_back()
 
     return trusted.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
