@@ -39,6 +39,8 @@ from quillspark.llm import common
 ORDER, BITS, SHARDS = 4, 16, 64
 QUANTILE = 0.99
 FOLDS, HELD, LEAST_TRUSTED = 4, 0, 100
+#: A table with a row a language is broadcast up to this many rows, as a shuffle by language has a task for each.
+BROADCAST_LANGUAGES = 10_000
 #: Characters that a task counts at once.
 COUNTED = 2_000_000
 #: Bytes of a pack's texts at most, if its last document does not pass it.
@@ -109,6 +111,10 @@ def counted(trusted: DataFrame) -> DataFrame:
     return trusted.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+def _by_language(table: DataFrame, languages: int) -> DataFrame:
+    return F.broadcast(table) if languages <= BROADCAST_LANGUAGES else table
+
+
 def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
     """For k = 1..ORDER: probabilities (lang, code, p) of seen k-grams, and back-off weights (lang, code, bow) of contexts.
 
@@ -120,6 +126,7 @@ def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFram
         shorter = orders[0].groupBy("lang", suffix_of(F.col("code"), k).alias("code")).agg(F.count("*").alias("n"))
         orders.insert(0, common.checkpointed(shorter, rows))
     floors = common.checkpointed(orders[0].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("floor")), rows)
+    languages = floors.count()
     probs, weights = [], []
     for k, grams in enumerate(orders, 1):
         few = lambda i: F.count_if(F.col("n") == i)
@@ -129,12 +136,12 @@ def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFram
         own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         own = F.least(own, F.col("n").cast("double"))
         context = F.shiftrightunsigned("code", BITS).alias("context")
-        cutted = common.checkpointed(grams.join(cuts, "lang").select("lang", "code", context, "n", own.alias("d")), rows)
+        cutted = common.checkpointed(grams.join(_by_language(cuts, languages), "lang").select("lang", "code", context, "n", own.alias("d")), rows)
         totals = cutted.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
         totals = common.checkpointed(totals.select("lang", "context", "total", (F.col("left") / F.col("total")).alias("bow")), rows)
         joined = cutted.join(totals, ["lang", "context"])
         if k == 1:
-            lower = joined.join(floors, "lang").withColumnRenamed("floor", "low")
+            lower = joined.join(_by_language(floors, languages), "lang").withColumnRenamed("floor", "low")
         else:
             below = probs[-1].select("lang", F.col("code").alias("suffix"), F.col("p").alias("low"))
             lower = joined.withColumn("suffix", suffix_of(F.col("code"), k - 1)).join(below, ["lang", "suffix"])
@@ -160,7 +167,7 @@ def resolved(asked: DataFrame, rows: int, probs: list[DataFrame], weights: list[
             (F.col("off") + F.coalesce(F.log("bow"), F.lit(0.0))).alias("off"),
         )
         out = common.checkpointed(out, rows)
-    out = out.join(floors, "lang", "left")
+    out = out.join(_by_language(floors, floors.count()), "lang", "left")
     return out.select("lang", "code", F.coalesce("logp", F.col("off") + F.log(F.coalesce("floor", F.lit(2.0**-BITS)))).alias("logp"))
 
 
@@ -329,12 +336,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     unseen = common.among(rows.where((F.col("fold") == HELD) & F.col("log_perplexity").isNotNull()), good).select("lang", F.col("log_perplexity").alias("_unseen"))
     own = F.percentile_approx("_unseen", [0.5, quantile], 10000)
     q = common.checkpointed(unseen.groupBy("lang").agg(own.alias("q"), F.count("*").alias("n")).select("lang", F.col("q")[0].alias("mid"), F.col("q")[1].alias("top"), "n"))
-    few = q.count() <= 10_000
-    ratio = unseen.join(F.broadcast(q) if few else q, "lang").select((F.col("_unseen") / F.col("mid")).alias("ratio"))
+    languages = q.count()
+    ratio = unseen.join(_by_language(q, languages), "lang").select((F.col("_unseen") / F.col("mid")).alias("ratio"))
     pooled = ratio.agg(F.percentile_approx("ratio", quantile, 10000)).first()[0]
     limit = F.when(F.col("n") >= LEAST_TRUSTED, F.col("top")).otherwise(F.greatest("top", F.col("mid") * F.lit(pooled)))
     q = q.select("lang", limit.alias("limit"))
-    out = rows.join(F.broadcast(q) if few else q, "lang", "left")
+    out = rows.join(_by_language(q, languages), "lang", "left")
     kept = F.col("log_perplexity").isNotNull() & F.coalesce(F.col("log_perplexity") <= F.col("limit"), F.lit(True))
     return out.select("doc_id", F.nullif("lang", F.lit("\x00")).alias("lang"), "n_symbols", "log_perplexity", "limit", kept.alias("kept"))
 
