@@ -8,7 +8,8 @@ a 64-bit code, and every document is padded at both ends. Trusted text is every
 3. Documents are packed once; the packs, compressed, are written and read again from there, so the order of the input does not matter. A pack asks
    for its distinct n-grams, shard by shard; the distinct n-grams of all packs are given their log-probability by joins,
    with the lower orders where an n-gram was never seen; the shards are joined with the packs' requests and each answer
-   returns to its pack, where the documents are summed.
+   returns to its pack, where the documents are summed. Requests travel as compressed differences, answers without their
+   n-grams, which the pack finds again in its texts.
 4. One fold of ``FOLDS`` of the trusted documents, by a hash of the text, so copies share it, is held out of the counts. A language's
    limit is the ``QUANTILE`` of the log-perplexity of its held-out documents, which the model has not seen. A
    language with fewer than ``LEAST_TRUSTED`` of them, whose own quantile is not determined, has at least its median times the pooled
@@ -155,6 +156,7 @@ def model(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFram
 def resolved(asked: DataFrame, rows: int, probs: list[DataFrame], weights: list[DataFrame], floors: DataFrame) -> DataFrame:
     """(lang, code, logp) of ``rows`` distinct n-grams (lang, code), backing off where one was not seen."""
     out = asked.withColumn("logp", F.lit(None).cast("double")).withColumn("off", F.lit(0.0))
+    held: list[DataFrame] = []
     for k in range(ORDER, 0, -1):
         out = out.withColumn("gram", suffix_of(F.col("code"), k)).withColumn("context", F.shiftrightunsigned("gram", BITS))
         p = probs[k - 1].select("lang", F.col("code").alias("gram"), "p")
@@ -166,7 +168,9 @@ def resolved(asked: DataFrame, rows: int, probs: list[DataFrame], weights: list[
             F.coalesce("logp", F.col("off") + F.log("p")).alias("logp"),
             (F.col("off") + F.coalesce(F.log("bow"), F.lit(0.0))).alias("off"),
         )
-        out = common.checkpointed(out, rows)
+        before, out = held, common.checkpointed(out, rows)
+        held = [out]
+        common.release(*before)
     out = out.join(_by_language(floors, floors.count()), "lang", "left")
     return out.select("lang", "code", F.coalesce("logp", F.col("off") + F.log(F.coalesce("floor", F.lit(2.0**-BITS)))).alias("logp"))
 
@@ -233,23 +237,38 @@ def _documents(meta: bytes, texts: bytes) -> Iterator[tuple[int | None, int, np.
         at += size
 
 
+def _asked(meta: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A pack's distinct n-grams, sorted, and the order that puts them shard by shard."""
+    held = _Distinct()
+    for _, _, symbols in _documents(meta, texts):
+        if len(symbols):
+            held.add(codes(symbols))
+    code = held.all()
+    return code, np.argsort(shard_of(code), kind="stable")
+
+
+def _pressed(code: np.ndarray) -> bytes:
+    """Sorted codes as compressed differences, byte planes apart."""
+    steps = np.diff(code, prepend=code.dtype.type(0)).astype("<i8")
+    return zstandard.ZstdCompressor(level=3).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _opened(pressed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(pressed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+
+
 def requests(packs: DataFrame) -> DataFrame:
-    """(pack, lang, shard, codes): the distinct n-grams of each pack, little-endian 64-bit, sorted."""
+    """(pack, lang, shard, codes): the distinct n-grams of each pack, sorted, as ``_pressed`` makes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, 1):
             row = batch.to_pylist()[0]
-            held = _Distinct()
-            for _, _, symbols in _documents(row["meta"], row["texts"]):
-                if len(symbols):
-                    held.add(codes(symbols))
-            code = held.all()
-            shard = shard_of(code)
-            order = np.argsort(shard, kind="stable")
-            code, shard = code[order], shard[order]
-            ends = np.searchsorted(shard, np.arange(SHARDS + 1))
+            code, order = _asked(row["meta"], row["texts"])
+            code = code[order]
+            ends = np.searchsorted(shard_of(code), np.arange(SHARDS + 1))
             some = [s for s in range(SHARDS) if ends[s] < ends[s + 1]]
-            parts = pa.array([code[ends[s] : ends[s + 1]].astype("<i8").tobytes() for s in some], pa.binary())
+            parts = pa.array([_pressed(code[ends[s] : ends[s + 1]]) for s in some], pa.binary())
             columns = [pa.array([row["pack"]] * len(some), pa.int64()), pa.array([row["lang"]] * len(some), pa.string()), pa.array(some, pa.int32()), parts]
             yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "shard", "codes"])
 
@@ -261,7 +280,7 @@ def _distinct(asked: DataFrame) -> DataFrame:
         for batch in common.small_batches(batches, 512):
             seen: dict[tuple[str, int], list[np.ndarray]] = {}
             for row in batch.select(["lang", "shard", "codes"]).to_pylist():
-                seen.setdefault((row["lang"], row["shard"]), []).append(np.frombuffer(row["codes"], "<i8"))
+                seen.setdefault((row["lang"], row["shard"]), []).append(_opened(row["codes"]))
             for (lang, _), parts in seen.items():
                 code = np.unique(np.concatenate(parts))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code, pa.int64())], names=["lang", "code"])
@@ -270,7 +289,7 @@ def _distinct(asked: DataFrame) -> DataFrame:
 
 
 def answers(asked: DataFrame, scored: DataFrame) -> DataFrame:
-    """(pack, lang, codes, logps): each request with the log-probabilities, little-endian 32-bit floats."""
+    """(pack, lang, shard, logps): to each request the log-probabilities in its order, little-endian 32-bit floats."""
     entry = F.struct("code", F.col("logp").cast("float").alias("logp"))
     shards = scored.groupBy("lang", _shard(F.col("code")).alias("shard")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     shards = common.checkpointed(shards.select("lang", "shard", F.col("entries.code").alias("known"), F.col("entries.logp").alias("logp")))
@@ -281,30 +300,31 @@ def answers(asked: DataFrame, scored: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 known = batch.column("known")[i].values.to_numpy()
                 logp = batch.column("logp")[i].values.to_numpy()
-                asks = np.frombuffer(batch.column("codes")[i].as_py(), "<i8")
+                asks = _opened(batch.column("codes")[i].as_py())
                 out.append(logp[np.searchsorted(known, asks)].astype("<f4").tobytes())
-            columns = [batch.column("pack"), batch.column("lang"), batch.column("codes"), pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "codes", "logps"])
+            columns = [*(batch.column(c) for c in ("pack", "lang", "shard")), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "shard", "logps"])
 
-    return asked.join(shards, ["lang", "shard"]).select("pack", "lang", "codes", "known", "logp").mapInArrow(run, "pack long, lang string, codes binary, logps binary")
+    met = asked.join(shards, ["lang", "shard"]).select("pack", "lang", "shard", "codes", "known", "logp")
+    return met.mapInArrow(run, "pack long, lang string, shard int, logps binary")
 
 
 def perplexities(packs: DataFrame, replies: DataFrame) -> DataFrame:
     """(doc_id, lang, fold, n, logp) for each document; the answers of a pack meet its documents."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[np.ndarray] = []
         now = None
         for batch in common.small_batches(batches, 64):
             for row in batch.to_pylist():
                 if now != (row["pack"], row["lang"]):
                     now, parts = (row["pack"], row["lang"]), []
-                if row["kind"] == 0:
-                    parts.append((np.frombuffer(row["one"], "<i8"), np.frombuffer(row["two"], "<f4")))
+                if row["place"] < SHARDS:
+                    parts.append(np.frombuffer(row["two"], "<f4"))
                     continue
-                known, logp = (np.concatenate([np.zeros(0, t), *(x[i] for x in parts)]) for i, t in ((0, "<i8"), (1, "<f4")))
-                order = np.argsort(known)
-                known, logp = known[order], logp[order]
+                known, order = _asked(row["one"], row["two"])
+                logp = np.empty(len(known), "<f4")
+                logp[order] = np.concatenate([np.zeros(0, "<f4"), *parts])
                 out = []
                 for doc_id, fold, symbols in _documents(row["one"], row["two"]):
                     total = float(logp[np.searchsorted(known, codes(symbols))].sum(dtype=np.float64)) if len(symbols) else None
@@ -312,10 +332,11 @@ def perplexities(packs: DataFrame, replies: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.int8(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "lang", "fold", "n", "logp"])
 
-    replied = replies.select("pack", "lang", F.lit(0).alias("kind"), F.col("codes").alias("one"), F.col("logps").alias("two"))
-    asking = packs.select("pack", "lang", F.lit(1).alias("kind"), F.col("meta").alias("one"), F.col("texts").alias("two"))
+    # the answers come first, by shard
+    replied = replies.select("pack", "lang", F.col("shard").alias("place"), F.lit(None).cast("binary").alias("one"), F.col("logps").alias("two"))
+    asking = packs.select("pack", "lang", F.lit(SHARDS).alias("place"), F.col("meta").alias("one"), F.col("texts").alias("two"))
     keys = ("pack", "lang")
-    both = replied.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, "kind")
+    both = replied.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, "place")
     return both.mapInArrow(summed, "doc_id long, lang string, fold byte, n long, logp double")
 
 
