@@ -41,3 +41,28 @@ GOLD = """CASE doc_id % 4 WHEN 0 THEN '18 Years' WHEN 1 THEN concat(18 + doc_id
 MODEL_OUTPUT = """CASE doc_id % 5
   WHEN 0 THEN concat('["Disease ', doc_id % 13, '", " Asthma "]') WHEN 1 THEN concat('{"conditions": ["Stroke", "Type ', doc_id % 3, '"]}')
   WHEN 2 THEN '["a","b","c","d","e","f","g","h"]' WHEN 3 THEN '["Alzheimer''s Disease"]' ELSE '[]' END"""
+
+#: Words of a whole text that the derived taxonomy and tags know.
+PLAIN = f"regexp_extract_all(lower({TEXT}), '[a-z][a-z][a-z]+'{{0}})"
+
+# A taxonomy over the documents' own words: nouns by their first and last letters, verbs by their first.
+#: The senses of word w, (synset, rank) in order; null where w has none.
+SENSES = (
+    ("concat('p', left(w, 5))", 1),
+    ("CASE WHEN length(w) >= 6 THEN concat('s', right(w, 4)) END", 2),
+    ("CASE WHEN w LIKE '%ed' OR w LIKE '%ing' OR w LIKE '%ment' THEN concat('v', left(w, 4)) END", 3),
+)
+#: Parents of synset s, two at most; the roots are n and v.
+PARENTS = (
+    """CASE WHEN s LIKE 'p%' THEN CASE length(s) WHEN 2 THEN 'n' WHEN 4 THEN left(s, 2) ELSE left(s, 4) END
+        WHEN s LIKE 's%' THEN CASE length(s) WHEN 5 THEN concat('s', right(s, 2)) ELSE 'n' END
+        WHEN s LIKE 'v%' AND length(s) > 1 THEN CASE length(s) WHEN 3 THEN 'v' ELSE left(s, 3) END END""",
+    "CASE WHEN s LIKE 's%' AND length(s) = 5 THEN concat('p', substring(s, 2, 1)) END",
+)
+#: Steps from a sense to its root.
+LEVELS = 3
+KIND = "CASE WHEN s LIKE 'v%' THEN 'v' ELSE 'n' END"
+
+#: The tag of word x after word y, null at the start: by length, and for words of six or seven letters by the word before.
+TAG = """CASE WHEN length(x) <= 3 THEN 'DT' WHEN length(x) = 4 THEN 'IN' WHEN length(x) = 5 THEN 'JJ' WHEN length(x) >= 8 THEN 'NN'
+    WHEN length(y) <= 3 THEN 'VBD' ELSE 'NNS' END"""

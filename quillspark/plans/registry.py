@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import articles, extraction, retrieval, scoring, training
+from quillspark.plans import articles, extraction, retrieval, scoring, similarity, training
 
-MODULES = (extraction, scoring, retrieval, training, articles)
+MODULES = (extraction, scoring, similarity, retrieval, training, articles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
