@@ -12,7 +12,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillspark.llm import common, filter_audit, html_extract, queries, vector_codes
+from quillspark.llm import common, filter_audit, html_extract, queries, url_filter, vector_codes
 
 LINE = "A line of prose that is long enough to be dense, and it says so at some length. "
 SMALL = Path("/root/testdata/sf0.001")
@@ -199,3 +199,23 @@ def test_against_sql(spark, name):
     df = queries.queries()[name](spark, str(SMALL))
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
     assert Counter(map(tuple, df.collect())) == Counter(want)
+
+
+def test_confidences_of_urls_with_many_tokens(spark):
+    """Far more tokens of both labels than a basket takes: every reported figure is that of whole token sets."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(1500):
+        tokens = {f"n{rng.randrange(24)}" for _ in range(30)}
+        pair = rng.random() < 0.15
+        if pair:
+            tokens |= {"x", "y"}
+        elif rng.random() < 0.4:
+            tokens.add(rng.choice("xy"))
+        rows.append((sorted(tokens), "block" if pair and rng.random() < 0.95 or not pair and rng.random() < 0.2 else "allow"))
+    found = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    assert any(r[0] == {"x", "y"} and r[1] == "block" for r in found)
+    for items, verdict, confidence, support in found:
+        held = [label for t, label in rows if items <= set(t)]
+        assert confidence == pytest.approx(held.count(verdict) / len(held)) and support == pytest.approx(held.count(verdict) / len(rows))
+        assert confidence >= url_filter.MIN_CONFIDENCE and support >= url_filter.MIN_SUPPORT
