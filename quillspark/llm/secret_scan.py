@@ -39,7 +39,7 @@ KINDS = [*BASE, "markov"]
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]"
-MIN_RUN, LOG_ODDS = 20, 25.0
+MIN_RUN, LOG_ODDS = 20, 20.0
 SAMPLES, SMOOTH = 4000, 0.5
 #: Elements of an array that are folded at once; a fold copies what it has made at each step.
 CHUNK = 256
@@ -58,18 +58,22 @@ WORDS = (
 
 
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """Rows (token, random): n digests in hex, base64, base32-like and letter alphabets, and n joined identifiers."""
+    """Rows (token, random): n digests in hex of both cases, dashed hex, base64, base32-like and letter alphabets; n joined identifiers, rules, numbers and dates."""
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     wide = F.base64(F.unhex(digest))
     short = F.translate(F.upper(F.base64(F.unhex(F.sha2(digest, 256)))), "+/=", "QZK")
     letters = F.translate(wide, "+/=", "xyz")
-    random = F.element_at(F.array(digest, wide, short, letters), (F.col("id") % 4 + 1).cast("int"))
+    loud = F.upper(F.substring(digest, 1, 40))
+    cut = [F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    dashed = F.when(F.col("id") % 4 == 1, F.upper(F.concat_ws("-", *cut))).otherwise(F.concat_ws("-", *cut))
+    random = F.element_at(F.array(digest, wide, short, letters, loud, dashed), (F.col("id") % 6 + 1).cast("int"))
     words = F.lit(" ".join(WORDS))
     pick = lambda k: F.element_at(
         F.split(words, " "), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))) + 1).cast("int")
     )
     number = F.pmod(F.xxhash64("id", F.lit("number")), F.lit(100)).cast("string")
     title = lambda k: F.initcap(pick(k))
+    mark = F.element_at(F.array(*(F.lit(c) for c in "-_=/+")), (F.pmod(F.xxhash64("id", F.lit("mark")), F.lit(5)) + 1).cast("int"))
     ordinary = F.element_at(
         F.array(
             F.concat_ws("_", pick(1), pick(2), pick(3)),
@@ -80,8 +84,16 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
             F.concat(pick(1), pick(2), pick(3)),
             F.concat(title(1), title(2), number),
             F.concat(pick(4), pick(5), pick(6), pick(7)),
+            # rules of tables and signatures, long numbers, dates, paths, and longer names
+            F.repeat(mark, F.pmod(F.xxhash64("id", F.lit("length")), F.lit(60)).cast("int") + 8),
+            F.concat(F.repeat(F.lit("-"), F.lit(12)), mark, F.repeat(F.lit("="), F.lit(9)), mark, F.repeat(F.lit("_"), F.lit(9))),
+            F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 15), 16, 10),
+            F.concat_ws("-", F.concat(F.lit("20"), F.lpad(number, 2, "0")), F.lpad(number, 2, "0"), F.lit("12"), F.lit("00"), number),
+            F.concat(F.lit("/"), F.concat_ws("/", pick(1), title(2), pick(3), F.concat(pick(4), number))),
+            F.concat(pick(1), title(2), title(3), title(4), title(5)),
+            F.upper(F.concat_ws("-", pick(1), pick(2), number, pick(3))),
         ),
-        (F.col("id") % 8 + 1).cast("int"),
+        (F.col("id") % 15 + 1).cast("int"),
     )
     ids = spark.range(n)
     return ids.select(random.alias("token"), F.lit(True).alias("random")).unionByName(
@@ -148,6 +160,11 @@ def with_located(df: DataFrame, text: Column, kinds: dict[str, tuple[str, str, b
     return df.withColumns({c: placed(c) for c in kinds}).drop(*work.values(), *ends)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def log_odds(token: Column, ratios: Column) -> Column:
     at = lambda i: F.instr(F.lit(ALPHABET), F.substr(token, i, F.lit(1))) - 1
     add = lambda acc, i: acc + F.get(ratios, at(i) * len(ALPHABET) + at(i + 1))
@@ -174,10 +191,19 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", out: str = "f
     )
     df = df.withColumn("__secret_base", base)
     likely = F.filter("__secret_runs", lambda r: log_odds(r["hit"], table) >= LOG_ODDS)
-    # the runs and the spans that each touches: a run is cut off by other characters, so it meets few
-    clear = lambda r: ~F.exists("__secret_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    added = F.transform(F.filter(likely, clear), lambda r: F.struct(r["start"], F.lit(len(BASE)).alias("kind"), r["end"]))
-    found = F.array_sort(F.concat("__secret_base", added))
+    # all in order of their starts; a run is dropped if a base span reaches into it from before, or starts in it
+    spans = F.array_sort(F.concat("__secret_base", F.transform(likely, lambda r: F.struct(r["start"], F.lit(len(BASE)).alias("kind"), r["end"]))))
+    own = lambda x: x["kind"] < len(BASE)
+
+    def clear(all_spans: Column) -> Column:
+        reach = prefix(F.transform(all_spans, lambda x: F.when(own(x), x["end"]).otherwise(-1)), F.greatest)
+        after = F.reverse(prefix(F.reverse(F.transform(all_spans, lambda x: F.when(own(x), x["start"]).otherwise(2**31 - 1))), F.least))
+        return once(F.struct(all_spans.alias("s"), reach.alias("reach"), after.alias("after")), kept)
+
+    def kept(x: Column) -> Column:
+        return F.filter(x["s"], lambda r, i: own(r) | ((F.get(x["reach"], i) <= r["start"]) & (F.get(x["after"], i) >= r["end"])))
+
+    found = once(spans, clear)
     return df.withColumn("__secret_out", found).drop(out, "__secret_base", "__secret_runs", *kinds).withColumnRenamed("__secret_out", out)
 
 
@@ -186,7 +212,10 @@ def redact(docs: DataFrame, ratios: list[float], text: str = "text", mark: str =
 
     The text is cut at every CHUNK-th span first, so a span's place is not looked for from the text's start.
     """
-    source, spans = F.col(f"`{text}`"), F.col("__secret_spans")
+    names = docs.columns
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names may hold anything
+    text = f"c{names.index(text)}"
+    source, spans = F.col(text), F.col("__secret_spans")
     reach = "__secret_reach"  # how far the spans up to each one go
     found = scan(docs, ratios, text, "__secret_spans").withColumn(reach, prefix(F.transform("__secret_spans", lambda s: s["end"]), F.greatest))
     before = lambda i: F.when(i > 0, F.get(F.col(reach), i - 1)).otherwise(0)
@@ -211,7 +240,7 @@ def redact(docs: DataFrame, ratios: list[float], text: str = "text", mark: str =
 
     tail = F.substr(source, F.get(F.col(reach), F.size(spans) - 1) + 1, F.length(source))
     clean = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), last), chunk), ""), tail)
-    return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(source)).drop("__secret_spans", reach)
+    return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(source)).select(*docs.columns).toDF(*names)
 
 
 def written(spans: Column) -> Column:

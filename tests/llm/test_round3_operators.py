@@ -5,14 +5,18 @@ import html
 import math
 import random
 import re
+import string
+import uuid
 from collections import Counter
 from itertools import permutations
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.llm import common, filter_audit, html_extract, queries, url_filter, vector_codes
+import corpus_pipeline
+from quillspark.llm import common, filter_audit, html_extract, queries, secret_scan, url_filter, vector_codes
 
 LINE = "A line of prose that is long enough to be dense, and it says so at some length. "
 SMALL = Path("/root/testdata/sf0.001")
@@ -219,3 +223,43 @@ def test_confidences_of_urls_with_many_tokens(spark):
         held = [label for t, label in rows if items <= set(t)]
         assert confidence == pytest.approx(held.count(verdict) / len(held)) and support == pytest.approx(held.count(verdict) / len(rows))
         assert confidence >= url_filter.MIN_CONFIDENCE and support >= url_filter.MIN_SUPPORT
+
+
+def test_rules_stay_and_keys_of_other_alphabets_go(spark):
+    rng = random.Random(12)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    hexes, words = "0123456789ABCDEF", "river mountain handler factory yellow account payment shipping tracker engine stream".split()
+    secrets = [f() for _ in range(60) for f in (lambda: make(hexes, 32), lambda: str(uuid.UUID(int=rng.getrandbits(128))), lambda: make(string.ascii_letters + string.digits, 32))]
+    plain = ["-" * 40, "_" * 40, "=" * 25, "|---------------------------------|", "-" * 22 + "+" + "-" * 30, "2024-05-06-07-08-09-10-11"]
+    plain += [f() for _ in range(60) for f in (lambda: rng.choice(words) + "".join(rng.choice(words).title() for _ in range(4)), lambda: "/".join(rng.choice(words) for _ in range(5)), lambda: "_".join(rng.choice(words).upper() for _ in range(4)))]
+    ratios = secret_scan.train(secret_scan.labelled_samples(spark))
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(secrets + plain)], "id int, text string")
+    out = {r["id"]: r["text"] for r in secret_scan.redact(df, ratios).collect()}
+    caught = [out[i] != f"see {t} here" for i, t in enumerate(secrets + plain)]
+    assert sum(caught[: len(secrets)]) >= 0.97 * len(secrets) and not any(caught[len(secrets) :])
+
+
+def test_runs_that_touch_base_spans_are_dropped(spark):
+    """The same runs as by comparing all pairs."""
+    rng = random.Random(13)
+    pieces = ["token=", "AKIA", "-", " ", " plain words ", "/"]
+    word = lambda: "".join(rng.choice(rng.choice(["0123456789abcdef", string.ascii_letters + string.digits])) for _ in range(rng.choice([8, 24, 40])))
+    texts = ["".join(rng.choice(pieces) + word() for _ in range(rng.randint(1, 12))) for _ in range(80)]
+    ratios = secret_scan.train(secret_scan.labelled_samples(spark))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    at = {c: i for i, c in enumerate(secret_scan.ALPHABET)}
+    odds = lambda t: sum(ratios[at[a] * len(at) + at[b]] for a, b in zip(t, t[1:], strict=False))
+    some = 0
+    for r in secret_scan.scan(df, ratios).collect():
+        base = [(x["start"], x["end"]) for x in r["found"] if x["kind"] < 3]
+        runs = [(m.start(), m.end()) for m in re.finditer(secret_scan.RUN + "{20,}", r["text"]) if odds(m[0]) >= secret_scan.LOG_ODDS]
+        want = [(a, b) for a, b in runs if not any(c < b and a < d for c, d in base)]
+        assert [(x["start"], x["end"]) for x in r["found"] if x["kind"] == 3] == want
+        some += len(want)
+    assert some
+
+
+def test_pipeline_keeps_odd_columns(spark, documents):
+    rows = documents.where("text is not null").withColumn("x.y", F.lit(1)).withColumn("__secret_spans", F.lit("s"))
+    out = corpus_pipeline.secrets(spark, rows, "")
+    assert out.columns == rows.columns and {r["__secret_spans"] for r in out.collect()} == {"s"}
