@@ -18,11 +18,16 @@ def best_of_n(groups: DataFrame, score: Scorer = token_jaccard) -> DataFrame:
 
     The first best candidate wins; the greedy output wins ties with it. Scored in place: no shuffle.
     """
-    scored = F.transform("candidates", lambda c, i: F.struct(score(c, F.col("gt")).alias("score"), (-i).alias("back"), c.alias("text")))
-    best = F.array_max(F.transform("_scored", lambda s: F.struct(s["score"], s["back"], s["text"])))
-    mean = F.aggregate("_scored", F.lit(0.0), lambda a, s: a + s["score"]) / F.greatest(F.size("_scored"), F.lit(1))
-    out = groups.withColumn("_scored", scored).withColumn("greedy_score", score(F.col("greedy"), F.col("gt")))
-    out = out.withColumn("_best", best).withColumn("best_score", F.coalesce(F.col("_best.score"), F.lit(-1.0))).withColumn("mean_score", mean)
+    scores = F.transform("candidates", lambda c: score(c, F.col("gt")))
+    return chosen(groups.withColumn("_scores", scores).withColumn("_greedy", score(F.col("greedy"), F.col("gt"))), "_scores", "_greedy")
+
+
+def chosen(groups: DataFrame, scores: str, greedy_score: str) -> DataFrame:
+    """best_of_n of rows whose scores are there: an array along ``candidates``, and the greedy output's."""
+    scored = F.transform(F.arrays_zip(F.col(scores).alias("s"), F.col("candidates").alias("c")), lambda x, i: F.struct(x["s"].alias("score"), (-i).alias("back"), x["c"].alias("text")))
+    mean = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / F.greatest(F.size(scores), F.lit(1))
+    out = groups.select("pmcid", "input", "greedy", F.col(greedy_score).alias("greedy_score"), F.array_max(scored).alias("_best"), mean.alias("mean_score"))
+    out = out.withColumn("best_score", F.coalesce(F.col("_best.score"), F.lit(-1.0)))
     greedy = F.col("greedy_score") >= F.col("best_score")
     return out.select(
         "pmcid",

@@ -7,10 +7,12 @@ import random
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,10 +108,8 @@ def fit_study_type(df: DataFrame) -> StudyTypeModel | None:
         CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=FEATURES),
     ]
     counted = Pipeline(stages=grams).fit(weighted)
-    held = counted.transform(weighted).select(F.posexplode(vector_to_array("counts")).alias("i", "c")).where("c > 0")
-    seen = {r["i"]: r["count"] for r in held.groupBy("i").count().collect()}
-    width = len(counted.stages[-1].vocabulary)
-    idf = [math.log((1 + n) / (1 + seen.get(i, 0))) + 1 for i in range(width)]
+    seen = IDF(inputCol="counts", outputCol="unused").fit(counted.transform(weighted)).docFreq
+    idf = [math.log((1 + n) / (1 + d)) + 1 for d in seen]
     vectors = _features(counted.transform(weighted), idf).withColumn("y", (F.col("label") == LABELS[1]).cast("double"))
     linear = LogisticRegression(
         featuresCol="features", labelCol="y", weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000
@@ -120,10 +120,24 @@ def fit_study_type(df: DataFrame) -> StudyTypeModel | None:
 
 
 def _features(counted: DataFrame, idf: list[float]) -> DataFrame:
-    """Adds unit vectors of log counts times idf."""
-    weights = F.split(F.lit(",".join(map(repr, idf))), ",").cast("array<double>")
-    scaled = F.zip_with(vector_to_array("counts"), weights, lambda c, w: F.when(c > 0, (1 + F.log(c)) * w).otherwise(0.0))
-    return Normalizer(inputCol="tfidf", outputCol="features").transform(counted.withColumn("tfidf", array_to_vector(scaled)))
+    """Adds ``features``, unit vectors of log counts times idf. Only a text's own terms are touched: nothing is as wide as the vocabulary.
+
+    A text without a known term has an empty vector.
+    """
+    table = np.asarray(idf, dtype=np.float64)
+    width = len(idf)
+
+    @F.pandas_udf(VectorUDT())
+    def weighed(counts: pd.DataFrame) -> pd.DataFrame:
+        indices, values = counts["indices"].to_list(), counts["values"].to_list()
+        rows = np.repeat(np.arange(len(values)), [len(v) for v in values])
+        if len(rows):
+            flat = (1 + np.log(np.concatenate(values))) * table[np.concatenate(indices)]
+            flat /= np.sqrt(np.bincount(rows, flat * flat, len(values)))[rows]
+            values = np.split(flat, np.searchsorted(rows, np.arange(1, len(values))))
+        return pd.DataFrame({"type": np.zeros(len(values), np.int8), "size": np.full(len(values), width, np.int32), "indices": indices, "values": values})
+
+    return counted.withColumn("features", weighed(F.unwrap_udt("counts")))
 
 
 @dataclass

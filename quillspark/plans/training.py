@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import selection, training
+from quillspark.operators import lineage, selection, sweep, training
 from quillspark.plans import carriers as C
+from quillspark.plans import scorer_job, similarity
 from quillspark.plans.extraction import documents
 from quillspark.sources.tables import clean_sheet, ids
 
@@ -126,11 +128,57 @@ def tfidf_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.lit(training.LABELS[0]).alias("study_type")) if fitted is None else fitted.transform(df).select("doc_id", "study_type")
 
 
+#: Seeds of the sweep; every so many-th labelled document is held out as the reference.
+SWEPT, HELD = (7, 42, 1), 3
+
+
+def _swept(spark: SparkSession, sf_dir: str) -> tuple[sweep.Sweep, DataFrame]:
+    """A model a seed from two thirds of the labelled carriers, and all documents with their predictions; the other third's labels are the reference."""
+    label = F.when(F.col("quality") == 1, training.LABELS[0]).otherwise(training.LABELS[1])
+    named = _labels(spark, sf_dir).select("doc_id", label.alias("label"))
+    df = documents(spark, sf_dir, title=C.TITLE, body=C.ABSTRACT)
+    df = df.select("doc_id", training.model_text(F.col("title"), F.lit(""), F.col("body"), strip=True).alias("text")).join(named, "doc_id", "left")
+    held = F.col("doc_id") % HELD == 0
+    models = sweep.train(df.where(~held), "doc_id", "text", "label", SWEPT)
+    return models, lineage.kept(models.predicted(df, "text").select("doc_id", "predicted", F.when(held, F.col("label")).alias("reference")))
+
+
+def seed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a seed: agreement with the reference, predicted interventional, and whether it is the one chosen."""
+    models, rows = _swept(spark, sf_dir)
+    return models.results(rows, "reference").select("seed", "agreed", "interventional", "n", (F.col("ord") == models.chosen(rows, "reference")).alias("chosen"))
+
+
+def seed_sweep_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's study type by the chosen seed."""
+    models, rows = _swept(spark, sf_dir)
+    return rows.select("doc_id", F.col("predicted")[models.chosen(rows, "reference")].alias("study_type"))
+
+
+def _job(spark: SparkSession, sf_dir: str, score: Callable[[DataFrame], DataFrame]) -> tuple[str, DataFrame]:
+    folder = f"{lineage.folder(spark)}/scorer-{uuid.uuid4().hex}"
+    groups = documents(spark, sf_dir, **_GROUPS).withColumn("pmcid", F.col("doc_id").cast("string"))
+    return folder, scorer_job.run(groups, folder, score, ranges=3)
+
+
+def scorer_job_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best of N by FM3S from plain text, as a job in ranges."""
+    _, rows = _job(spark, sf_dir, scorer_job.fm3s_chosen(similarity.document_tagger(spark, sf_dir)))
+    return rows.select("pmcid", "output", *(F.round(c, 6).alias(c) for c in ("chosen_score", "mean_score")), "used_greedy")
+
+
+def scorer_job_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of a job's ledger, by token overlap."""
+    folder, _ = _job(spark, sf_dir, selection.best_of_n)
+    return scorer_job.statistics(spark, folder).select(*(F.round(c, 6).alias(c) for c in ("greedy_mean", "best_mean", "candidate_mean")), "n", "beat_greedy")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         label_join_filter, sheet_rows, default_row_left_join, column_splice, semi_join_present, train_split_stats, hash_split, shuffled_split,
-        best_of_n, raft_stats, running_mean, ab_win_counts, seed_argmax, class_counts, accuracy, tfidf_lr,
+        best_of_n, raft_stats, running_mean, ab_win_counts, seed_argmax, class_counts, accuracy, tfidf_lr, seed_sweep, seed_sweep_column,
+        scorer_job_rows, scorer_job_stats,
     )
 }
 
@@ -157,6 +205,9 @@ ORACLES = {
     + """SELECT pmcid, CASE WHEN g >= best THEN greedy ELSE c[list_position(sc, best)] END AS output, round(greatest(g, best), 6) AS chosen_score, round(g, 6) AS greedy_score,
         round(best, 6) AS best_score, round(mean, 6) AS mean_score, g >= best AS used_greedy FROM b""",
     "raft_stats": _CHOSEN
+    + """SELECT round(avg(g), 6) AS greedy_mean, round(avg(greatest(g, best)), 6) AS best_mean, round(avg(mean), 6) AS candidate_mean, count(*) AS n,
+        count(*) FILTER (best > g) AS beat_greedy FROM b""",
+    "scorer_job_stats": _CHOSEN
     + """SELECT round(avg(g), 6) AS greedy_mean, round(avg(greatest(g, best)), 6) AS best_mean, round(avg(mean), 6) AS candidate_mean, count(*) AS n,
         count(*) FILTER (best > g) AS beat_greedy FROM b""",
     "running_mean": """WITH d AS (SELECT doc_id, CAST(min(doc_id * 7 % 101) AS DOUBLE) AS v FROM documents GROUP BY doc_id),
