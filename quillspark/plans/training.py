@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import lineage, selection, sweep, training
+from quillspark.functions.prompts import TASK_PREFIX
+from quillspark.operators import decoding, lineage, selection, sweep, tokens, training
 from quillspark.plans import carriers as C
 from quillspark.plans import scorer_job, similarity
 from quillspark.plans.extraction import documents
@@ -173,12 +174,36 @@ def scorer_job_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorer_job.statistics(spark, folder).select(*(F.round(c, 6).alias(c) for c in ("greedy_mean", "best_mean", "candidate_mean")), "n", "beat_greedy")
 
 
+def word_successions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each context of one or two words over all documents: what follows it, in kinds and in all."""
+    runs = decoding.successions(documents(spark, sf_dir, t=C.TEXT), "t")
+    return runs.groupBy(F.coalesce("a", F.lit("-")).alias("a"), F.coalesce("b", F.lit("-")).alias("b")).agg(F.count("*").alias("kinds"), F.sum("count").alias("n"))
+
+
+def decoded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best beam and eight samples, from a model of two thirds of the eligibility carriers."""
+    df = documents(spark, sf_dir, gold=C.ELIGIBILITY, prompt=C.METHODS)
+    model = decoding.train(df.where(F.col("doc_id") % HELD != 0), "gold")
+    out = decoding.decoded(df, "doc_id", "prompt", model, longest=32)
+    return out.select("doc_id", "greedy", F.array_join("candidates", "|").alias("candidates"))
+
+
+def tokenised_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a training example in token ids: their numbers and checksums."""
+    import public_tokenizers as public
+
+    df = documents(spark, sf_dir, input=C.ABSTRACT, output=C.ELIGIBILITY)
+    out = tokens.tokenised(df, "input", "output", public.path("byte_bpe_50k.json"), TASK_PREFIX)
+    of = lambda c, n: (F.size(c).cast("long").alias(f"{n}_tokens"), F.crc32(F.array_join(c, ",").cast("binary")).alias(f"{n}_crc32"))
+    return out.select("doc_id", *of("input_ids", "input"), *of("labels", "label"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         label_join_filter, sheet_rows, default_row_left_join, column_splice, semi_join_present, train_split_stats, hash_split, shuffled_split,
         best_of_n, raft_stats, running_mean, ab_win_counts, seed_argmax, class_counts, accuracy, tfidf_lr, seed_sweep, seed_sweep_column,
-        scorer_job_rows, scorer_job_stats,
+        scorer_job_rows, scorer_job_stats, word_successions, decoded_candidates, tokenised_examples,
     )
 }
 
@@ -210,6 +235,12 @@ ORACLES = {
     "scorer_job_stats": _CHOSEN
     + """SELECT round(avg(g), 6) AS greedy_mean, round(avg(greatest(g, best)), 6) AS best_mean, round(avg(mean), 6) AS candidate_mean, count(*) AS n,
         count(*) FILTER (best > g) AS beat_greedy FROM b""",
+    "word_successions": """WITH d AS (SELECT regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        p AS (SELECT w, unnest(range(1, len(w) + 2)) AS i FROM d WHERE len(w) > 0),
+        r AS (SELECT ' ' AS a, w[i - 1] AS b, w[i] AS c FROM p WHERE i > 1 UNION ALL SELECT ' ', NULL, w[1] FROM p WHERE i = 1
+            UNION ALL SELECT CASE WHEN i > 2 THEN w[i - 2] END, w[i - 1], w[i] FROM p WHERE i > 1),
+        n AS (SELECT a, b, c, count(*) AS n FROM r GROUP BY ALL)
+        SELECT coalesce(a, '-') AS a, coalesce(b, '-') AS b, count(*) AS kinds, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY ALL""",
     "running_mean": """WITH d AS (SELECT doc_id, CAST(min(doc_id * 7 % 101) AS DOUBLE) AS v FROM documents GROUP BY doc_id),
         w AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rows, avg(v) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS m FROM d)
         SELECT doc_id, rows, round(m, 6) AS mean FROM w WHERE rows % 20 = 0""",
