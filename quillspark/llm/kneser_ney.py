@@ -5,9 +5,10 @@ a 64-bit code, and every document is padded at both ends. Trusted text is every
 
 1. Each task counts its trusted n-grams by language; the counts are summed in a table sharded by n-gram.
 2. Continuation counts, discounts, context totals and probabilities come from joins of these sharded tables.
-3. Documents are packed once; the packs, compressed, are written and read again from there, so the order of the input does not matter. A pack asks
-   for its distinct n-grams, shard by shard; the distinct n-grams of all packs are given their log-probability by joins,
-   with the lower orders where an n-gram was never seen; the shards are joined with the packs' requests and each answer
+3. Documents are packed once; the packs, compressed, are written to a table bucketed by pack and read again from there, so the order of the input
+   does not matter and texts are never shuffled. A pack asks for its distinct n-grams; the distinct n-grams of all packs are given
+   their log-probability by joins, with the lower orders where an n-gram was never seen, and are cut into shards of about ``SHARD_ROWS``.
+   A shard goes once to each ``SHARD_PACKS`` packs of its language and is kept there while their requests pass; each answer
    returns to its pack, where the documents are summed. Requests travel as compressed differences, answers without their
    n-grams, which the pack finds again in its texts.
 4. One fold of ``FOLDS`` of the trusted documents, by a hash of the text, so copies share it, is held out of the counts. A language's
@@ -15,8 +16,8 @@ a 64-bit code, and every document is padded at both ends. Trusted text is every
    language with fewer than ``LEAST_TRUSTED`` of them, whose own quantile is not determined, has at least its median times the pooled
    limit, which is that quantile of the ratio to the median over all languages. A document above the limit is rejected.
 
-What is gathered grows with the text: counts cover all trusted documents and requests all documents. A shard holds one in
-``SHARDS`` of a language's distinct n-grams; no other key's rows are collected.
+What is gathered grows with the text: counts cover all trusted documents and requests all documents. The number of shards follows from
+the count of distinct n-grams, so a shard's rows are bounded, as are a pack's; no other key's rows are collected.
 
 Defined results: a null or empty text has no perplexity and is rejected; a null language is a language of its own; a language
 without held-out trusted documents is not judged and its documents with text stay; repeated rows get equal results, and rows that
@@ -25,7 +26,8 @@ share a doc_id are trusted together; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import common
 
-ORDER, BITS, SHARDS = 4, 16, 64
+ORDER, BITS = 4, 16
+#: Distinct n-grams in a shard at most, about, and how many packs are answered by one copy of it, about.
+SHARD_ROWS, SHARD_PACKS = 100_000, 1024
 QUANTILE = 0.99
 FOLDS, HELD, LEAST_TRUSTED = 4, 0, 100
 #: A table with a row a language is broadcast up to this many rows, as a shuffle by language has a task for each.
@@ -67,14 +71,31 @@ def codes(symbols: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def shard_of(code: np.ndarray) -> np.ndarray:
-    u = code.view(np.uint64)
-    return ((u ^ (u >> np.uint64(17)) ^ (u >> np.uint64(34))) & np.uint64(SHARDS - 1)).astype(np.int32)
+#: Fixed values of the 64-bit hash that Spark's xxhash64 computes of a long, and its seed.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_SEED = np.uint64(42)
 
 
-def _shard(code: Column) -> Column:
-    """The same of a column."""
-    return code.bitwiseXOR(F.shiftrightunsigned(code, 17)).bitwiseXOR(F.shiftrightunsigned(code, 34)).bitwiseAND(F.lit(SHARDS - 1)).cast("int")
+def shards_of(rows: int) -> int:
+    """Shards for so many distinct n-grams, a power of two."""
+    return 1 << max(0, -(-rows // SHARD_ROWS) - 1).bit_length()
+
+
+def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each code, as ``_shard`` tells it."""
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    h = turned(code.view(np.uint64) * _P2, 31) * _P1 ^ (_SEED + _P5 + np.uint64(8))
+    h = turned(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(shards - 1)).astype(np.int32)
+
+
+def _shard(code: Column, shards: int) -> Column:
+    return F.xxhash64(code).bitwiseAND(F.lit(shards - 1)).cast("int")
 
 
 def suffix_of(code: Column, symbols: int) -> Column:
@@ -197,7 +218,7 @@ _META = pa.schema([("doc_id", pa.int64()), ("bytes", pa.int64()), ("fold", pa.in
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(pack, lang, meta, texts) of rows (doc_id, lang, text): a language's documents in a pack, the texts compressed."""
+    """(pack, lang, meta, texts) of rows (doc_id, lang, text): documents of one language, the texts compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list, list[bytes]]] = {}
@@ -205,12 +226,14 @@ def packed(docs: DataFrame) -> DataFrame:
         press = zstandard.ZstdCompressor(level=3)
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal pack
             for lang, (meta, texts) in held.items():
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, _META) as writer:
                     writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*meta, strict=True), _META.types, strict=True)], schema=_META))
                 columns = [pa.array([pack], pa.int64()), pa.array([lang]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([press.compress(b"".join(texts))], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "meta", "texts"])
+                pack += 1
             held.clear()
 
         for batch in common.small_batches(batches):
@@ -222,12 +245,27 @@ def packed(docs: DataFrame) -> DataFrame:
                 size += len(raw)
                 if size >= PACK_CHARS:
                     yield from flush()
-                    size, pack = 0, pack + 1
+                    size = 0
         yield from flush()
 
     return docs.select("doc_id", "lang", "text").mapInArrow(run, "pack long, lang string, meta binary, texts binary")
 
 
+def bucketed(packs: DataFrame) -> tuple[DataFrame, int, Callable[[], None]]:
+    """The packs as a table in the checkpoint folder, in as many buckets as a shuffle has partitions, and what deletes it."""
+    spark = packs.sparkSession
+    name = f"packs_{uuid.uuid4().hex}"
+    path = f"{common.ensure_checkpoint_dir(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packs.write.bucketBy(buckets, "pack").option("path", path).option("compression", "none").saveAsTable(name)
+
+    def delete() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        common.remove(spark, path)
+
+    return spark.table(name), buckets, delete
+
+
 def _documents(meta: bytes, texts: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """(doc_id, fold, symbols) of a pack's documents."""
     table = pa.ipc.open_stream(meta).read_all()
@@ -237,14 +275,13 @@ def _documents(meta: bytes, texts: bytes) -> Iterator[tuple[int | None, int, np.
         at += size
 
 
-def _asked(meta: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A pack's distinct n-grams, sorted, and the order that puts them shard by shard."""
+def _asked(meta: bytes, texts: bytes) -> np.ndarray:
+    """A pack's distinct n-grams, sorted."""
     held = _Distinct()
     for _, _, symbols in _documents(meta, texts):
         if len(symbols):
             held.add(codes(symbols))
-    code = held.all()
-    return code, np.argsort(shard_of(code), kind="stable")
+    return held.all()
 
 
 def _pressed(code: np.ndarray) -> bytes:
@@ -259,85 +296,103 @@ def _opened(pressed: bytes) -> np.ndarray:
 
 
 def requests(packs: DataFrame) -> DataFrame:
-    """(pack, lang, shard, codes): the distinct n-grams of each pack, sorted, as ``_pressed`` makes them."""
+    """(pack, lang, codes): the distinct n-grams of each pack, sorted, as ``_pressed`` makes them; packs without any have no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, 1):
             row = batch.to_pylist()[0]
-            code, order = _asked(row["meta"], row["texts"])
-            code = code[order]
-            ends = np.searchsorted(shard_of(code), np.arange(SHARDS + 1))
-            some = [s for s in range(SHARDS) if ends[s] < ends[s + 1]]
-            parts = pa.array([_pressed(code[ends[s] : ends[s + 1]]) for s in some], pa.binary())
-            columns = [pa.array([row["pack"]] * len(some), pa.int64()), pa.array([row["lang"]] * len(some), pa.string()), pa.array(some, pa.int32()), parts]
-            yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "shard", "codes"])
+            code = _asked(row["meta"], row["texts"])
+            if len(code):
+                columns = [batch.column("pack"), batch.column("lang"), pa.array([_pressed(code)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "codes"])
 
-    return packs.mapInArrow(run, "pack long, lang string, shard int, codes binary")
+    return packs.mapInArrow(run, "pack long, lang string, codes binary")
 
 
 def _distinct(asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.small_batches(batches, 512):
-            seen: dict[tuple[str, int], list[np.ndarray]] = {}
-            for row in batch.select(["lang", "shard", "codes"]).to_pylist():
-                seen.setdefault((row["lang"], row["shard"]), []).append(_opened(row["codes"]))
-            for (lang, _), parts in seen.items():
+        for batch in common.small_batches(batches, 8):
+            seen: dict[str, list[np.ndarray]] = {}
+            for lang, pressed in zip(batch.column("lang").to_pylist(), batch.column("codes").to_pylist(), strict=True):
+                seen.setdefault(lang, []).append(_opened(pressed))
+            for lang, parts in seen.items():
                 code = np.unique(np.concatenate(parts))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code, pa.int64())], names=["lang", "code"])
 
     return asked.mapInArrow(run, "lang string, code long").distinct()
 
 
-def answers(asked: DataFrame, scored: DataFrame) -> DataFrame:
-    """(pack, lang, shard, logps): to each request the log-probabilities in its order, little-endian 32-bit floats."""
+def sliced(asked: DataFrame, shards: int) -> DataFrame:
+    """(pack, lang, shard, codes): the requests, shard by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.small_batches(batches, 1):
+            code = _opened(batch.column("codes")[0].as_py())
+            shard = shard_of(code, shards)
+            order = np.argsort(shard, kind="stable")
+            code, ends = code[order], np.searchsorted(shard[order], np.arange(shards + 1))
+            some = np.flatnonzero(ends[:-1] < ends[1:])
+            parts = pa.array([_pressed(code[ends[s] : ends[s + 1]]) for s in some], pa.binary())
+            pack, lang = (pa.array(batch.column(c).to_pylist() * len(some), t) for c, t in (("pack", pa.int64()), ("lang", pa.string())))
+            yield pa.RecordBatch.from_arrays([pack, lang, pa.array(some, pa.int32()), parts], names=["pack", "lang", "shard", "codes"])
+
+    return asked.mapInArrow(run, "pack long, lang string, shard int, codes binary")
+
+
+def answers(asked: DataFrame, scored: DataFrame, shards: int) -> DataFrame:
+    """(pack, shard, logps): to each request the log-probabilities in its order, little-endian 32-bit floats."""
     entry = F.struct("code", F.col("logp").cast("float").alias("logp"))
-    shards = scored.groupBy("lang", _shard(F.col("code")).alias("shard")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    shards = common.checkpointed(shards.select("lang", "shard", F.col("entries.code").alias("known"), F.col("entries.logp").alias("logp")))
+    known = scored.groupBy("lang", _shard(F.col("code"), shards).alias("shard")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    copies = common.checkpointed(asked.groupBy("lang").agg(F.ceil(F.count("*") / SHARD_PACKS).cast("int").alias("copies")))
+    languages = copies.count()
+    known = known.join(_by_language(copies, languages), "lang").select(
+        "lang", "shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("pack"),
+        F.col("entries.code").alias("known"), F.col("entries.logp").alias("logp"), F.lit(None).cast("binary").alias("codes"),
+    )
+    asking = sliced(asked, shards).join(_by_language(copies, languages), "lang").select(
+        "lang", "shard", F.pmod(F.xxhash64("pack"), F.col("copies")).cast("int").alias("copy"), "pack",
+        F.lit(None).cast("array<long>").alias("known"), F.lit(None).cast("array<float>").alias("logp"), "codes",
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.small_batches(batches, 16):
-            out = []
-            for i in range(batch.num_rows):
-                known = batch.column("known")[i].values.to_numpy()
-                logp = batch.column("logp")[i].values.to_numpy()
+        known = logp = np.zeros(0)
+        for batch in common.small_batches(batches, 64):
+            packs, shard, out = [], [], []
+            for i, (pack, s) in enumerate(zip(batch.column("pack").to_pylist(), batch.column("shard").to_pylist(), strict=True)):
+                if pack is None:  # a shard, which its requests follow
+                    known, logp = (np.array(batch.column(c)[i].values) for c in ("known", "logp"))
+                    continue
                 asks = _opened(batch.column("codes")[i].as_py())
+                packs.append(pack)
+                shard.append(s)
                 out.append(logp[np.searchsorted(known, asks)].astype("<f4").tobytes())
-            columns = [*(batch.column(c) for c in ("pack", "lang", "shard")), pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["pack", "lang", "shard", "logps"])
+            yield pa.RecordBatch.from_arrays([pa.array(packs, pa.int64()), pa.array(shard, pa.int32()), pa.array(out, pa.binary())], names=["pack", "shard", "logps"])
 
-    met = asked.join(shards, ["lang", "shard"]).select("pack", "lang", "shard", "codes", "known", "logp")
-    return met.mapInArrow(run, "pack long, lang string, shard int, logps binary")
+    keys = ("lang", "shard", "copy")
+    both = known.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, F.col("pack").asc_nulls_first())
+    return both.mapInArrow(run, "pack long, shard int, logps binary")
 
 
-def perplexities(packs: DataFrame, replies: DataFrame) -> DataFrame:
-    """(doc_id, lang, fold, n, logp) for each document; the answers of a pack meet its documents."""
+def perplexities(packs: DataFrame, buckets: int, replies: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, lang, fold, n, logp) for each document; a pack's answers go to its bucket, the packs stay where they are."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[np.ndarray] = []
-        now = None
-        for batch in common.small_batches(batches, 64):
-            for row in batch.to_pylist():
-                if now != (row["pack"], row["lang"]):
-                    now, parts = (row["pack"], row["lang"]), []
-                if row["place"] < SHARDS:
-                    parts.append(np.frombuffer(row["two"], "<f4"))
-                    continue
-                known, order = _asked(row["one"], row["two"])
-                logp = np.empty(len(known), "<f4")
-                logp[order] = np.concatenate([np.zeros(0, "<f4"), *parts])
-                out = []
-                for doc_id, fold, symbols in _documents(row["one"], row["two"]):
-                    total = float(logp[np.searchsorted(known, codes(symbols))].sum(dtype=np.float64)) if len(symbols) else None
-                    out.append((doc_id, row["lang"], fold, len(symbols), total))
-                kinds = (pa.int64(), pa.string(), pa.int8(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "lang", "fold", "n", "logp"])
-
-    # the answers come first, by shard
-    replied = replies.select("pack", "lang", F.col("shard").alias("place"), F.lit(None).cast("binary").alias("one"), F.col("logps").alias("two"))
-    asking = packs.select("pack", "lang", F.lit(SHARDS).alias("place"), F.col("meta").alias("one"), F.col("texts").alias("two"))
-    keys = ("pack", "lang")
-    both = replied.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, "place")
-    return both.mapInArrow(summed, "doc_id long, lang string, fold byte, n long, logp double")
+        kinds = (pa.int64(), pa.string(), pa.int8(), pa.int64(), pa.float64())
+        for batch in common.small_batches(batches, 1):
+            row = batch.to_pylist()[0]
+            known = _asked(row["meta"], row["texts"])
+            logp = np.empty(len(known), "<f4")
+            logp[np.argsort(shard_of(known, shards), kind="stable")] = np.frombuffer(b"".join(row["parts"] or ()), "<f4")
+            out = []
+            for doc_id, fold, symbols in _documents(row["meta"], row["texts"]):
+                total = float(logp[np.searchsorted(known, codes(symbols))].sum(dtype=np.float64)) if len(symbols) else None
+                out.append((doc_id, row["lang"], fold, len(symbols), total))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "lang", "fold", "n", "logp"])
+
+    parts = F.sort_array(F.collect_list(F.struct("shard", "logps")))
+    replied = replies.repartition(buckets, "pack").groupBy("pack").agg(parts.alias("parts")).select("pack", F.col("parts.logps").alias("parts"))
+    met = packs.join(replied, "pack", "left").select("lang", "meta", "texts", "parts")
+    return met.mapInArrow(summed, "doc_id long, lang string, fold byte, n long, logp double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -345,13 +400,18 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("\x00"))
     source = docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.col("text").cast("string"))
     good = common.checkpointed(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct())
-    packs = common.checkpointed(packed(source))
-    probs, weights, floors = model(counted(common.among(source, good).select("lang", "text")))
-    asked = common.checkpointed(requests(packs))
-    distinct = common.checkpointed(_distinct(asked))
-    scored = resolved(distinct, distinct.count(), probs, weights, floors)
-    rows = common.checkpointed(perplexities(packs, answers(asked, scored)))
-    common.release(packs, asked, distinct)
+    packs, buckets, delete = bucketed(packed(source))
+    try:
+        probs, weights, floors = model(counted(common.among(source, good).select("lang", "text")))
+        asked = common.checkpointed(requests(packs))
+        distinct = common.checkpointed(_distinct(asked))
+        found = distinct.count()
+        scored = common.checkpointed(resolved(distinct, found, probs, weights, floors), found)
+        common.release(distinct, floors, *probs)
+        rows = common.checkpointed(perplexities(packs, buckets, answers(asked, scored, shards_of(found)), shards_of(found)))
+        common.release(asked, scored)
+    finally:
+        delete()
     value = -F.col("logp") / (F.col("n") + 1)
     rows = rows.select("doc_id", "lang", "fold", F.col("n").alias("n_symbols"), value.alias("log_perplexity"))
     unseen = common.among(rows.where((F.col("fold") == HELD) & F.col("log_perplexity").isNotNull()), good).select("lang", F.col("log_perplexity").alias("_unseen"))

@@ -208,6 +208,8 @@ def brute_language_model(trusted, asked):
 
 def test_perplexity_and_limits(spark, extra, messy, labels, empty, monkeypatch):
     monkeypatch.setattr(kneser_ney, "PACK_CHARS", 3000)
+    monkeypatch.setattr(kneser_ney, "SHARD_ROWS", 500)  # many shards
+    monkeypatch.setattr(kneser_ney, "SHARD_PACKS", 1)  # a copy of a shard a pack
     out = kneser_ney.classify(extra, labels).collect()
     assert len(out) == len(messy)
     good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and r["doc_id"]}
@@ -259,6 +261,25 @@ def test_codes_see_every_symbol():
     assert len(kneser_ney.codes(folded)) == len(folded) + 1 and kneser_ney.codes(folded)[0] == ord("a")
 
 
+def test_shards_are_those_of_the_column(spark):
+    rng = random.Random(11)
+    code = np.array([0, 1, -1, 2**63 - 1, -(2**63), *(rng.getrandbits(64) - 2**63 for _ in range(500))], dtype=np.int64)
+    rows = spark.createDataFrame([(int(c),) for c in code], "code long")
+    for shards in (1, 2, 64, 4096):
+        column = [r[0] for r in rows.select("code", kneser_ney._shard(rows["code"], shards).alias("s")).select("s").collect()]
+        assert column == kneser_ney.shard_of(code, shards).tolist()
+    assert [kneser_ney.shards_of(n) for n in (0, 1, kneser_ney.SHARD_ROWS, kneser_ney.SHARD_ROWS + 1, 5 * kneser_ney.SHARD_ROWS)] == [1, 1, 1, 2, 8]
+
+
+def test_packs_keep_their_number_of_documents_and_leave_nothing_behind(spark, extra, messy):
+    packs, buckets, delete = kneser_ney.bucketed(kneser_ney.packed(extra.selectExpr("doc_id", "coalesce(lang, '-') as lang", "text")))
+    rows = packs.collect()
+    assert buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len({r["pack"] for r in rows}) == len(rows) and sum(len(list(kneser_ney._documents(r["meta"], r["texts"]))) for r in rows) == len(messy)
+    delete()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("packs_")]
+
+
 def test_pipeline(spark, messy, labels, tmp_path):
     """Every stage on all that its predecessor kept, its columns unchanged, its decisions those of its operator."""
     from quillspark.llm import quality_rules
