@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A labelled id list is broadcast only up to this many rows (8 bytes each); beyond it a shuffle join is used.
-BROADCAST_ROWS = 2_000_000
+#: A table of ids, or of ids with short arrays, is broadcast only up to this many entries; beyond it a shuffle join is used. The driver
+#: holds a broadcast's rows, its hash table and its blocks at once, some 100 bytes an entry and more.
+BROADCAST_ROWS = 100_000
 #: Narrow rows that one task writes at least, where their number is known.
 ROWS_PER_TASK = 50_000
 

@@ -18,7 +18,7 @@ connect to the crowd's main component is then compared in blocks with the rest a
 far (Jaccard distance is a metric), with the main component's chunks. A link has both ends in the main component or one
 end among the rest, so none is lost. Tasks give spanning forests, so links never grow with a group's square.
 
-The ids of documents in parts are broadcast up to common.BROADCAST_ROWS, and joined by a shuffle beyond.
+The ids of documents with their parts are broadcast up to common.BROADCAST_ROWS parts, and joined by a shuffle beyond.
 
 Defined results: a null or empty text, or one of white space, has the empty set and links with nothing; a null doc_id
 keeps its row, with a null component, and links with nothing; rows that share a doc_id are one document; an empty table
@@ -373,6 +373,11 @@ def crowds_of(rows: DataFrame, n: int) -> DataFrame:
     return common.checkpointed(own.join(sizes, "grp").select(F.col("rep").alias("doc_id"), "grp", "size"), n)
 
 
+def small(ids: DataFrame, entries: int) -> DataFrame:
+    """ids, marked for broadcast if its entries, those of its arrays counted one by one, are few."""
+    return F.broadcast(ids) if entries <= common.BROADCAST_ROWS else ids
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of docs. SKETCH and TREES suit a percent of 80 or more."""
     rows = common.checkpointed(signed(docs))
@@ -390,13 +395,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long"), "text")
     if usable.groupBy("doc_id").count().where("count > 1").limit(1).count():
         source = source.dropDuplicates()
-    small = lambda ids: F.broadcast(ids) if ids.count() <= common.BROADCAST_ROWS else ids
     bound = every.agg(F.sum(F.size("of"))).first()[0] or 0
-    texts = packed_texts(source.join(small(every), "doc_id"))
+    texts = packed_texts(source.join(small(every, bound), "doc_id"))
     links = part_links(texts.select(F.explode("of").alias("part"), "rep", "packed"), percent)
     if grouped is not None:
-        bound += 3 * (LEADERS + 1) * grouped.count()
-        held = source.join(small(grouped), "doc_id").select("doc_id", "text", F.struct("grp", "size").alias("of"))
+        crowded = grouped.count()
+        bound += 3 * (LEADERS + 1) * crowded
+        held = source.join(small(grouped, crowded), "doc_id").select("doc_id", "text", F.struct("grp", "size").alias("of"))
         links = links.unionByName(crowd_links(packed_texts(held).select("of.*", "rep", "packed"), percent))
     found = components(links, bound)
     named = vertices.select("digest", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")

@@ -207,7 +207,7 @@ def with_label_errors(rows: DataFrame) -> DataFrame:
     top = F.lit(2**63 - 1).cast("decimal(38,0)")
     sums = rows.groupBy("label").agg(F.least(F.sum(F.col("error").cast("decimal(28,0)")).cast("decimal(38,0)"), top).cast("long").alias("label_error"))
     sums = common.checkpointed(sums)
-    if sums.count() <= common.BROADCAST_ROWS // 16:
+    if sums.count() <= common.BROADCAST_ROWS:
         return rows.join(F.broadcast(sums), rows["label"].eqNullSafe(sums["label"])).drop("label")
     # one label may hold a third of all rows
     sums = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("label", "of")

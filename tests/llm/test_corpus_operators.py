@@ -340,3 +340,12 @@ def test_sql_twins(spark, name):
         con.sql(f"CREATE VIEW {table} AS FROM '{sf}/{table}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     assert Counter(want.fetchall()) == Counter(tuple(r[c] for c in want.columns) for r in queries.queries()[name](spark, sf).collect())
+
+
+def test_broadcasts_are_bounded_by_entries(spark, messy, monkeypatch):
+    """Ids with their parts are broadcast by the number of parts, as the driver holds them; the shuffle gives the same rows."""
+    ids = spark.createDataFrame([(1, [1, 2, 3])], "doc_id long, of array<long>")
+    hinted = lambda n: "hint" in near_dup.small(ids, n)._jdf.queryExecution().logical().toString().lower()
+    assert hinted(100_000) and not hinted(100_001)
+    monkeypatch.setattr(near_dup.common, "BROADCAST_ROWS", 0)
+    assert _near(spark.createDataFrame([r[:2] for r in messy], HERE)) == sorted(brute_near([(r[0], r[1]) for r in messy]), key=str)
