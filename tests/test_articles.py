@@ -94,3 +94,23 @@ def test_optional_corpus(spark):
     assert row["n"] == row["ok"] == len(list(corpus.glob("*.nxml")))
     depth = {r["depth"]: r["count"] for r in nxml.sections(df).groupBy("depth").count().collect()}
     assert depth[0] > 0 and min(depth) == 0
+
+
+def test_only_what_is_asked_for_is_parsed(spark):
+    """Joined texts are made of what was parsed; nothing else of an article is carried along."""
+    df = nxml.articles(nxml.parse(_rows(spark, XML), ("title", "body_sections")))
+    whole = nxml.articles(nxml.parse(_rows(spark, XML)))
+    assert df.columns == ["pmcid", "title", "body_sections", "parse_ok", "parse_error", "eligibility_text", "methods_text", "full_body_text"]
+    assert df.first().asDict() == whole.select(*df.columns).first().asDict()
+
+
+def test_kept_tables_are_compressed_and_can_be_released(spark):
+    import os
+
+    from quillspark.operators import lineage
+
+    df = lineage.kept(spark.range(2000).selectExpr("id", "repeat('abc ', 1000) AS text"))
+    path = df._kept.removeprefix("file:")
+    assert df.count() == 2000 and sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path)) < 2_000_000
+    lineage.release(df)
+    assert not os.path.exists(path)
