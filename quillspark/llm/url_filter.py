@@ -4,7 +4,7 @@ FP-growth mines combinations of URL tokens (host labels, host suffixes, path seg
 label; rules whose consequent is a label and whose support and confidence reach the limits are kept, and a rule that a
 shorter one with at least its confidence covers is pruned. A URL's tokens look up the inverted index token -> rule ids
 in Arrow batches; a rule fires when all its tokens are there; the most confident rule decides, then the longest, then
-block before allow. The rules are bounded by the support floor and ``MINED``, so they travel in the closure.
+block before allow. The rules are bounded by the support floor and pruned, so they travel in the closure.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no rule and, having no tokens, the
 verdict allow; equal URLs get equal verdicts; without labelled URLs there are no mined rules and what no fixed rule
@@ -14,7 +14,9 @@ decides is allowed; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
+from math import comb
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -27,7 +29,7 @@ from quillspark.llm import common
 #: (rule, verdict): host and path of the production list.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.8
-#: Tokens of a URL that are mined: its frequent tokens that tell most of the label. Their combinations, at most 2 ** MINED, are all mined.
+#: Tokens of a URL that FP-growth combines: its frequent tokens that tell most of the label, at most 2 ** MINED sets. The rest is completed level by level.
 MINED = 8
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,8 +80,9 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
     FP-growth combines only tokens with both labels: a token of one label alone is a rule of confidence 1 that covers all its
     combinations. Tokens that always stand together are combined as one, the first by name. Of what is left a URL
-    gives its MINED tokens that tell most of the label, so the sets are bounded before they are built; support and confidence of the
-    sets so found are counted again on all tokens of all rows, and those decide.
+    gives FP-growth its MINED tokens that tell most of the label, so the sets are bounded before they are built; support and confidence of the
+    sets so found are counted again on all tokens of all rows, and those decide. Where a URL has more tokens, ``completed`` finds the sets that
+    the cut hides, so the rules are those of whole token sets.
     """
     rows = labelled.where(F.col("label").isin("allow", "block")).select(F.array_distinct("tokens").alias("tokens"), "label")
     rows = rows.withColumn("_row", F.array_join(F.array_sort("tokens"), "\n"))
@@ -105,7 +108,10 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         baskets = rows.select(F.array_append(items, F.concat(F.lit("label="), "label")).alias("items"))
         model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
         sets = {frozenset(x for x in r["items"] if not x.startswith("label=")) for r in model.freqItemsets.collect()}
-        for items, counted in recounted(rows, sorted((x for x in sets if len(x) > 1), key=sorted)).items():
+        counted_sets = recounted(rows, sorted((x for x in sets if len(x) > 1), key=sorted))
+        if rows.select(F.size(ranked).alias("n")).where(F.col("n") > MINED).limit(1).count():
+            counted_sets |= completed(rows, told, min_support * total)
+        for items, counted in counted_sets.items():
             for verdict, n in counted.items():
                 if n >= min_support * total and n / sum(counted.values()) >= min_confidence:
                     found.append((items, verdict, n / sum(counted.values()), n / total))
@@ -122,23 +128,51 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return sorted(kept, key=lambda r: (-r[2], -len(r[0]), r[1] != "block", sorted(r[0])))
 
 
+def completed(rows: DataFrame, told: list[dict], least: float) -> dict[frozenset, dict[str, int]]:
+    """The sets of two and more tokens that ``least`` rows of one label hold, with their counts by label, but for those that a smaller set makes redundant.
+
+    Level by level, a pass each. A set of one label alone, or of the same rows as a smaller one, gives no better rule with more tokens, so it is not extended;
+    every subset of what is left is left too, so no rule is lost.
+    """
+    level = {frozenset([c["token"]]): {"allow": c["n"] - c["block"], "block": c["block"]} for c in told}
+    level = {k: v for k, v in level.items() if max(v.values()) >= least}
+    out: dict[frozenset, dict[str, int]] = {}
+    while level:
+        by_start: dict[tuple, list[str]] = {}
+        for items in sorted(map(sorted, level)):
+            by_start.setdefault(tuple(items[:-1]), []).append(items[-1])
+        asked = (frozenset((*start, a, b)) for start, ends in by_start.items() for a, b in combinations(ends, 2))
+        asked = [x for x in asked if all(x - {t} in level for t in x)]
+        found = {x: n for x, n in recounted(rows, asked).items() if max(n.values()) >= least} if asked else {}
+        out |= found
+        level = {x: n for x, n in found.items() if len(n) > 1 and all(sum(level[x - {t}].values()) > sum(n.values()) for t in x)}
+    return out
+
+
 def recounted(rows: DataFrame, sets: list[frozenset]) -> dict[frozenset, dict[str, int]]:
     """How many rows (tokens, label) hold each set among all their tokens, by label.
 
-    Baskets are cut, so their counts only name the sets. There are at most 2 ** MINED / support of them: the closure holds them and the driver their counts.
+    Baskets are cut, so their counts only name the sets. FP-growth names at most 2 ** MINED / support of them: the closure holds them and the driver their counts.
+    A row's own combinations of the sets' size are looked up where they are fewer than the sets that its tokens are in.
     """
     index: dict[str, list[int]] = {}
     for i, items in enumerate(sets):
         for t in items:
             index.setdefault(t, []).append(i)
     needs = [len(x) for x in sets]
+    width, place = (needs[0], {x: i for i, x in enumerate(sets)}) if len(set(needs)) == 1 else (0, {})
+
+    def held(tokens: list[str]) -> Iterable[int]:
+        own = [t for t in tokens if t in index]
+        if width and comb(len(own), width) < sum(len(index[t]) for t in own):
+            return [place[x] for x in map(frozenset, combinations(own, width)) if x in place]
+        return [i for i, n in Counter(i for t in own for i in index[t]).items() if n == needs[i]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in common.small_batches(batches):
             for tokens, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = Counter(i for t in tokens or () for i in index.get(t, ()))
-                total.update((i, label) for i, n in seen.items() if n == needs[i])
+                total.update((i, label) for i in held(tokens or []))
         columns = list(zip(*((i, label, n) for (i, label), n in total.items()), strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64()), strict=True)], names=["i", "label", "n"])
 

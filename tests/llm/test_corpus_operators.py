@@ -349,3 +349,27 @@ def test_broadcasts_are_bounded_by_entries(spark, messy, monkeypatch):
     assert hinted(100_000) and not hinted(100_001)
     monkeypatch.setattr(near_dup.common, "BROADCAST_ROWS", 0)
     assert _near(spark.createDataFrame([r[:2] for r in messy], HERE)) == sorted(brute_near([(r[0], r[1]) for r in messy]), key=str)
+
+
+@pytest.mark.parametrize("mined", [1, 2, 8])
+def test_rules_do_not_depend_on_the_cut_of_baskets(spark, monkeypatch, mined):
+    """URLs of more tokens than FP-growth combines give the rules of whole token sets."""
+    from itertools import combinations
+
+    monkeypatch.setattr(url_filter, "MINED", mined)
+    rng = random.Random(4)
+    rows = []
+    for _ in range(200):
+        tokens = [t for t in "abcde" if rng.random() < 0.6] + ["z"]
+        rows.append((tokens, "block" if {"a", "b", "c"} <= set(tokens) or rng.random() < 0.2 else "allow"))
+    rules = {r[:2]: r[2:] for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.05, 0.8)}
+    want = {}
+    for n in range(1, 7):
+        for x in map(frozenset, combinations("abcdez", n)):
+            labels = [label for tokens, label in rows if x <= set(tokens)]
+            for v in ("allow", "block"):
+                if labels.count(v) >= 0.05 * 200 and labels.count(v) / len(labels) >= 0.8:
+                    share = labels.count(v) / len(labels)
+                    if not any(y < x and w == v and c >= share for (y, w), (c, _) in want.items()):
+                        want[x, v] = (share, labels.count(v) / 200)
+    assert rules == want and any(len(x) >= 3 for x, _ in want)
