@@ -36,9 +36,9 @@ def fm3s_chosen(tagger: Tagger, words: Taxonomy | None = None) -> Callable[[Data
     """A scorer for ``run``: selection by FM3S from plain text. A gold text is tagged once, each output once."""
 
     def score(groups: DataFrame) -> DataFrame:
-        # rows are numbered in what is written, so a number stays with its row
-        groups = lineage.kept(groups.withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>"))))
-        groups = groups.withColumn("_row", F.monotonically_increasing_id().cast("string"))
+        # a row's number is written with it, as reading may divide the rows otherwise each time
+        groups = groups.withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+        groups = lineage.kept(groups.withColumn("_row", F.monotonically_increasing_id().cast("string")))
         gold = inference.annotated(groups.select("_row", "gt", "greedy", "candidates"), "_row", tagger, _gold="gt")
         outputs = gold.select("_row", "gt", "_gold", F.posexplode(F.concat(F.array("greedy"), "candidates")).alias("place", "text"))
         outputs = outputs.withColumn("_output", F.concat_ws(" ", "_row", F.col("place").cast("string")))
