@@ -6,6 +6,7 @@ no special token. Any order and partitioning of rows gives the same ids; which r
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,50 @@ from pyspark.sql import types as T
 # Fixed values
 MAX_INPUT, MAX_TARGET, MASKED = 1024, 384, -100
 SLICE = 256
+#: Pieces of texts whose ids a worker remembers before it forgets them all.
+PIECES = 200_000
+
+
+class Encoder:
+    """The first ids of a text, as the tokenizer file's own library gives them for the whole.
+
+    A byte-level byte-pair vocabulary never joins what a single space divides, so pieces are encoded one by one until there are ids enough, and remembered.
+    A text with another layout of white space so far, and any other kind of vocabulary, is encoded whole.
+    """
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(vocabulary)
+        self.whole.encode_special_tokens = True
+        with open(vocabulary, encoding="utf-8") as f:
+            kind = json.load(f)
+        before = kind.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        self.pieces = plain and kind["model"]["type"] == "BPE" and kind.get("normalizer") is None and all(t["special"] for t in kind.get("added_tokens", []))
+        self.known: dict[str, list[int]] = {}
+
+    def _encoded(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def first(self, text: str, most: int) -> list[int]:
+        if not self.pieces:
+            return self._encoded(text)[:most]
+        out, end = [], -1
+        while len(out) < most and end < len(text):
+            start, end = end + 1, text.find(" ", end + 1)
+            end = len(text) if end < 0 else end
+            piece = text[start:end]
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                return self._encoded(text)[:most]
+            piece = f" {piece}" if start else piece
+            ids = self.known.get(piece)
+            if ids is None:
+                if len(self.known) >= PIECES:
+                    self.known.clear()
+                ids = self.known[piece] = self._encoded(piece)
+            out += ids
+        return out[:most]
 
 
 def tokenised(rows: DataFrame, input: str, output: str, vocabulary: str, prefix: str = "", max_input: int = MAX_INPUT, max_target: int = MAX_TARGET) -> DataFrame:
@@ -28,17 +73,14 @@ def tokenised(rows: DataFrame, input: str, output: str, vocabulary: str, prefix:
     at = [(rows.columns.index(input), max_input, prefix), (rows.columns.index(output), max_target, "")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(vocabulary)
-        encoder.encode_special_tokens = True
+        encoder = Encoder(vocabulary)
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
                 made = []
                 for i, most, first in at:
                     texts = [first + (t or "") for t in batch.column(i).to_pylist()]
-                    ids = [encoder.encode(t, add_special_tokens=False).ids[:most] for t in texts]
+                    ids = [encoder.first(t, most) for t in texts]
                     made.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, "input_ids", "labels"])
 

@@ -55,3 +55,24 @@ def test_batches_hold_every_row_once(spark, vocabulary):
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert sum(b["rows"] < 4 for b in out) <= 3 and spent < sum(len(w[1]) for w in want) / 2
     assert tokens.batches(made.limit(0), "id").count() == 0
+
+
+def test_first_ids_are_those_of_the_whole_text(tmp_path):
+    """A byte-level vocabulary encodes only as many pieces as are asked for, whatever the white space; others encode whole texts."""
+    texts = ["it's  a\ttest of 12 3456 words, it's", "the theme  ", " leading", "a \n b", "x" * 50, "", " ", "é ü  — end<|end|> the <|end|>", "a b the  c", "the the the the " * 9]
+    made = tokenizers.Tokenizer(tokenizers.models.BPE())
+    made.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.train_from_iterator(texts * 3, tokenizers.trainers.BpeTrainer(vocab_size=330, special_tokens=["<|end|>"], show_progress=False, initial_alphabet=tokenizers.pre_tokenizers.ByteLevel.alphabet()))
+    made.save(path := str(tmp_path / "bytes.json"))
+    made.encode_special_tokens = True
+    encoder = tokens.Encoder(path)
+    assert encoder.pieces
+    for t in texts:
+        want = made.encode(t, add_special_tokens=False).ids
+        for most in (0, 1, 2, 3, 7, 1000):
+            assert encoder.first(t, most) == want[:most]
+    asked = []
+    encoder.known.clear()
+    encoder.whole = type("Counted", (), {"encode": lambda self, t, **k: asked.append(t) or made.encode(t, **k)})()
+    encoder.first("the theme of " + "words " * 500, 2)
+    assert sum(map(len, asked)) < 20
