@@ -168,3 +168,16 @@ def test_scorer_by_fm3s_equals_single_pairs(spark, tmp_path):
         want.append((r["pmcid"], output, max(greedy, best), sum(each) / max(len(each), 1), greedy >= best))
     assert sorted(map(str, want)) == sorted(str((r["pmcid"], r["output"], r["chosen_score"], r["mean_score"], r["used_greedy"])) for r in got)
     assert any(r["chosen_score"] > 0 for r in got)
+
+
+def test_sweep_cuts_a_text_once_and_holds_rows_in_few_bytes(spark):
+    df = spark.createDataFrame([("Été a bb_1 bb_1 c3-dd x",), ("",), (None,), ("solo",)], "text string")
+    out = sweep.placed(df, F.col("text"), "p")
+    assert [sorted(r["p"]) for r in out.collect()] == [sorted(_places(t or "")) for (t,) in df.collect()]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+    places = np.arange(500).repeat(3)
+    seen, counts = sweep.short(places)
+    assert seen.nbytes + counts.nbytes <= 6 * 500 and seen.tolist() == list(range(500)) and set(counts.tolist()) == {3}
+    big = np.full(70_000, 9)
+    assert sweep.short(big)[1].tolist() == [70_000]
