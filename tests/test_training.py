@@ -181,3 +181,17 @@ def test_sweep_cuts_a_text_once_and_holds_rows_in_few_bytes(spark):
     assert seen.nbytes + counts.nbytes <= 6 * 500 and seen.tolist() == list(range(500)) and set(counts.tolist()) == {3}
     big = np.full(70_000, 9)
     assert sweep.short(big)[1].tolist() == [70_000]
+
+
+def test_frequent_grams_count_no_pair_of_rare_words(spark):
+    rng = np.random.default_rng(6)
+    lists = [[f"w{int(x)}" for x in rng.zipf(1.6, size=n) if x < 60] for n in rng.integers(0, 25, 80)]
+    rows = spark.createDataFrame([(x,) for x in lists], "words array<string>")
+    count = Counter(g for w in lists for g in w + [" ".join(p) for p in zip(w, w[1:])])
+    ranked = sorted(count, key=lambda g: (-count[g], g))
+    for most in (1, 5, 20, 37, len(ranked), 10_000):
+        assert training._frequent(rows, most) == ranked[:most]
+    words = rows.select(F.explode("words").alias("gram")).groupBy("gram").count()
+    least = count["w3"]
+    got = {r["gram"]: r["count"] for r in training._pairs(rows, words, least).collect()}
+    assert got and got == {g: n for g, n in count.items() if " " in g and min(count[w] for w in g.split()) >= least}
