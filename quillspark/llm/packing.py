@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +32,32 @@ class ByteBpe:
     """Ids of a byte-level BPE: the json file's own library is the definition; its rank file is a faster equal path.
 
     Chunks between single spaces never share a token with their neighbours, so their ids are cached. A text with
-    another white-space layout, or with the string of a special token, takes the plain path.
+    another white-space layout, or with the string of a special token, takes the plain path. The json file's library is
+    held only from the first text that needs it until ``forget``, as a worker keeps this object between tasks.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.plain = Tokenizer.from_file(json_path)
+        self.json_path = json_path
         self.special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.forget()
+
+    @cached_property
+    def plain(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
+    def forget(self) -> None:
+        """Drop what grew with the texts, and the plain library; both come back when they are asked for."""
+        self.known = {}
+        self.__dict__.pop("plain", None)
+        common.give_back()
 
     def _chunk(self, chunk: str) -> bytes:
         if len(self.known) >= CACHE_ENTRIES:
@@ -99,6 +112,8 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, end_id:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             names = ("doc_id", "start", "length", "ids", "doc_tokens")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        rows = columns = None
+        bpe.forget()
 
     pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
     return pieces.select(

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,3 +337,19 @@ def test_crc_of_ids(spark, tmp_path):
     spark.createDataFrame([(1, "hello world"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     out = packing.op8_packing(spark, str(tmp_path)).where("doc_id = 2").first()
     assert out["ids_crc32"] == zlib.crc32(np.array([1], "<u4").tobytes()) and out["doc_tokens"] == 1
+
+
+def test_packing_workers_keep_no_chunks(spark):
+    """A worker waits for its next task with the ranks alone: no chunks of the last one, and no plain library."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('some words ', id, if(id % 7 = 0, ' <|endoftext|>', '')) AS text").repartition(4)
+    assert packing.packed(docs).count() >= 400
+
+    def held(batches):
+        import gc
+
+        for _ in batches:
+            own = [x for x in gc.get_objects() if type(x).__name__ == "ByteBpe"]
+            yield pa.RecordBatch.from_arrays([pa.array([len(own)]), pa.array([sum(len(x.known) + ("plain" in vars(x)) for x in own)])], names=["encoders", "held"])
+
+    found = spark.range(0, 64, 1, 16).mapInArrow(held, "encoders long, held long").agg({"encoders": "sum", "held": "sum"}).first()
+    assert found["sum(encoders)"] > 0 and found["sum(held)"] == 0
