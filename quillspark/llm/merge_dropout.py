@@ -195,48 +195,73 @@ class Encoder:
         points = np.frombuffer("".join(wanted).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         ids[live] = v.point[points]
         place = np.arange(width, dtype=np.int32)
-        right = np.where(place + 1 < sizes[:, None], place + 1, width - 1).astype(np.int32)
-        left = np.tile(place - 1, (n, 1))
+        right = np.where(place + 1 < sizes[:, None], place + 1, width - 1).astype(np.int32).ravel()
+        left = np.tile(place - 1, (n, 1)).ravel()
         piece = np.full((n, width), v.none, dtype=np.int32)
         piece[:, :-1] = v.merged(ids[:, :-1], ids[:, 1:])
-        rank = v.rank[piece]
-        row, step = np.arange(n), 0
+        ranks = v.rank[piece]
+        # from here by cell: a row's first cell and the place; the views share the tables' memory
+        ids, live, piece, rank = ids.ravel(), live.ravel(), piece.ravel(), ranks.ravel()
+        row, step, never = np.arange(n), 0, v.rank[v.none]
         while len(row):
             step += 1
-            at = rank[row].argmin(axis=1)
-            best = piece[row, at]
+            at = (ranks if len(row) == n else ranks[row]).argmin(axis=1)
+            cell = row * width + at
+            best = piece[cell]
             some = best != v.none
-            row, at, best = row[some], at[some], best[some]
+            if not some.all():
+                row, at, cell, best = row[some], at[some], cell[some], best[some]
             if not len(row):
                 break
             if path is not None:
                 path.append((row, at, best))
-            skip = np.zeros(len(row), bool) if key is None else _mixed(key[row], step, at, best) < self.limit
-            r, a = row[skip], at[skip]
-            piece[r, a], rank[r, a] = v.none, v.rank[v.none]
-            r, a, p = row[~skip], at[~skip], best[~skip]
-            b = right[r, a]
-            after = right[r, b]
-            ids[r, a], ids[r, b], live[r, b] = p, -1, False
-            right[r, a] = after
-            left[r, after] = a
-            before = left[r, a]
-            piece[r, b], rank[r, b] = v.none, v.rank[v.none]
-            new = v.merged(np.concatenate([p, ids[r, before]]), np.concatenate([ids[r, after], p]))
-            new[len(r) :][before < 0] = v.none
-            first, second = new[: len(r)], new[len(r) :]
-            piece[r, a], rank[r, a] = first, v.rank[first]
-            # without a symbol before, the last column (always empty) is written
-            piece[r, before], rank[r, before] = second, v.rank[second]
+            first = row * width
+            if key is not None:
+                skip = _mixed(key[row], step, at, best) < self.limit
+                if skip.any():
+                    gone, kept = cell[skip], ~skip
+                    piece[gone], rank[gone] = v.none, never
+                    first, at, cell, best = first[kept], at[kept], cell[kept], best[kept]
+            b = first + right[cell]
+            after = right[b]
+            ids[cell], ids[b], live[b] = best, -1, False
+            right[cell] = after
+            left[first + after] = at
+            before = left[cell]
+            piece[b], rank[b] = v.none, never
+            # without a symbol before, the cell before the row is meant: the last one of a row, always empty
+            earlier = first + before
+            new = v.merged(np.concatenate([best, ids[earlier]]), np.concatenate([ids[first + after], best]))
+            new[len(cell) :][before < 0] = v.none
+            to = np.concatenate([cell, earlier])
+            piece[to], rank[to] = new, v.rank[new]
+        ids, live = ids.reshape(n, width), live.reshape(n, width)
         out, counts = ids[live], live.sum(axis=1)
         ends = np.cumsum(counts)
         raw, plain = out.astype("<u2").tobytes(), np.add.reduceat(out < 0, ends - counts) == 0
         found = [raw[end - count : end] if ok else b"" for end, count, ok in zip((2 * ends).tolist(), (2 * counts).tolist(), plain.tolist(), strict=True)]
-        for i in np.flatnonzero(~plain):
-            at = np.flatnonzero(live[i])
-            found[i] = self._ids(ids[i, at].tolist(), at.tolist(), list(wanted[i]))
+        if len(odd := np.flatnonzero(~plain)):
+            i, at = np.nonzero(live[odd])
+            spelled, sizes_of = self._spelled(out[~np.repeat(plain, counts)], points[(np.cumsum(sizes) - sizes)[odd][i] + at])
+            raw, ends = spelled.tobytes(), 2 * np.cumsum(np.bincount(i, weights=sizes_of).astype(np.int64))
+            for k, begin, end in zip(odd.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                found[k] = raw[begin:end]
         return found
 
+    def _spelled(self, symbols: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, byte pieces of their code points where there is no piece, and how many each symbol has."""
+        known, byte = symbols >= 0, np.array(self.vocabulary.byte, dtype="<u2")
+        sizes = np.where(known, 1, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
+        first = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), "<u2")
+        out[first[known]] = symbols[known]
+        for k in range(4):
+            has = ~known & (sizes > k)
+            of = sizes[has]
+            bits = points[has].astype(np.int64) >> 6 * (of - 1 - k)
+            out[first[has] + k] = byte[bits & 0x3F | 0x80 if k else bits | np.array([0, 0, 0xC0, 0xE0, 0xF0])[of]]
+        return out, sizes
+
     @staticmethod
     def parts(text: str) -> list[str]:
         """Segments without their first space."""
@@ -252,15 +277,19 @@ class Encoder:
         if len(self.number) + len(new) > KNOWN and self.number:
             self._forget()
             new = list(dict.fromkeys(parts))
+        if not new:
+            return
+        first, places, pieces = [self.first], [self.place], [self.piece]
         for some in _alike(new):
             steps: list = []
             self.plain += self.together([" " + p for p in some], None, steps)
             self.number.update(zip(some, range(len(self.number), len(self.number) + len(some)), strict=True))
             row, place, piece = (np.concatenate([x[k] for x in steps] or [np.zeros(0, np.int64)]) for k in range(3))
             order = np.argsort(row, kind="stable")  # steps stay in their order
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(row, minlength=len(some)))])
-            self.place = np.concatenate([self.place, place[order].astype(np.int32)])
-            self.piece = np.concatenate([self.piece, piece[order].astype(np.int32)])
+            first.append(first[-1][-1] + np.cumsum(np.bincount(row, minlength=len(some))))
+            places.append(place[order].astype(np.int32))
+            pieces.append(piece[order].astype(np.int32))
+        self.first, self.place, self.piece = (np.concatenate(x) for x in (first, places, pieces))
 
     def skipping(self, number: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Whether the keys skip a merge of their segments' paths."""
@@ -280,17 +309,17 @@ class Encoder:
         short = np.flatnonzero(~wide)
         for at in range(0, len(short), KNOWN // 2):
             place = short[at : at + KNOWN // 2]
-            some, key = [parts[i] for i in place.tolist()], _keys(variant[place], self.seed)
+            some, key = parts if len(place) == len(parts) else [parts[i] for i in place.tolist()], _keys(variant[place], self.seed)
             self.learn(some)
-            number = np.array([self.number[p] for p in some], dtype=np.int64)
-            skip = self.skipping(number, key) if len(number) else np.zeros(0, bool)
-            for i, k in zip(place[~skip].tolist(), number[~skip].tolist(), strict=True):
-                out[i] = self.plain[k]
-            own = np.flatnonzero(skip)
+            number = np.fromiter(map(self.number.__getitem__, some), dtype=np.int64, count=len(some))
+            got = list(map(self.plain.__getitem__, number.tolist()))
+            own = np.flatnonzero(self.skipping(number, key))
             for group in _alike([some[i] for i in own.tolist()], numbers=True):
                 chosen = own[group]
-                for i, ids in zip(place[chosen].tolist(), self.together([" " + some[i] for i in chosen.tolist()], key[chosen]), strict=True):
-                    out[i] = ids
+                for i, ids in zip(chosen.tolist(), self.together([" " + some[i] for i in chosen.tolist()], key[chosen]), strict=True):
+                    got[i] = ids
+            for i, ids in zip(place.tolist(), got, strict=True):
+                out[i] = ids
         return out
 
     def encode(self, texts: list[tuple[int, str]]) -> list[bytes]:

@@ -353,3 +353,16 @@ def test_packing_workers_keep_no_chunks(spark):
 
     found = spark.range(0, 64, 1, 16).mapInArrow(held, "encoders long, held long").agg({"encoders": "sum", "held": "sum"}).first()
     assert found["sum(encoders)"] > 0 and found["sum(held)"] == 0
+
+
+def test_byte_pieces_are_spelled_side_by_side(monkeypatch):
+    """Short segments with characters that have no piece: the ids of the heap, without a step of Python for each segment."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    odd = [f"{a}w{c}ord{i}" for i, (a, c) in enumerate([("▁", "\U0001f600"), ("\x00", "\u0e01"), ("\ud800", "é"), ("", "\x7f\u07ff\uffff\U0010ffff")] * 20)]
+    parts = [*odd, "plain", "", *odd, "words"]
+    for dropout in (0.0, 0.4, 1.0):
+        encoder, variant = merge_dropout.Encoder(path, 3, dropout), np.arange(len(parts), dtype=np.uint64) * np.uint64(977)
+        want = [encoder.alone(int(v), " " + p) for v, p in zip(variant, parts, strict=True)]
+        with monkeypatch.context() as patch:
+            patch.setattr(encoder, "_ids", lambda *_: pytest.fail("one segment at a time"))
+            assert encoder.cut(parts, variant) == want
