@@ -195,3 +195,13 @@ def test_frequent_grams_count_no_pair_of_rare_words(spark):
     least = count["w3"]
     got = {r["gram"]: r["count"] for r in training._pairs(rows, words, least).collect()}
     assert got and got == {g: n for g, n in count.items() if " " in g and min(count[w] for w in g.split()) >= least}
+
+
+def test_study_types_are_learned_from_whole_texts(spark):
+    """What tells the classes apart stands behind the first 6000 characters."""
+    rows = [(f"filler {'word ' * 1200} {'randomized placebo' if i % 3 else 'retrospective cohort'}", INT if i % 3 else OBS) for i in range(24)]
+    df = spark.createDataFrame(rows, "body string, label string")
+    text = training.model_text(F.lit("title"), F.lit(""), F.col("body"))
+    df = df.select(text.alias("text"), "label")
+    assert df.where("text like '%placebo' or text like '%cohort'").count() == 24
+    assert training.fit_study_type(df).transform(df).where("study_type <> label").count() == 0
