@@ -205,3 +205,15 @@ def test_study_types_are_learned_from_whole_texts(spark):
     df = df.select(text.alias("text"), "label")
     assert df.where("text like '%placebo' or text like '%cohort'").count() == 24
     assert training.fit_study_type(df).transform(df).where("study_type <> label").count() == 0
+
+
+def test_sweep_reads_whole_texts_and_long_ones_make_more_shards(spark, monkeypatch):
+    rows = [(i, f"{'word ' * 1200} {'randomized placebo' if i % 3 else 'retrospective cohort'} ", INT if i % 3 else OBS) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, body string, label string")
+    df = df.select("id", training.model_text(F.lit("title"), F.lit(""), F.col("body"), strip=True).alias("text"), "label")
+    whole = sweep.train(df, "id", "text", "label", (1,))
+    assert whole.predicted(df, "text").where("predicted[0] <> label").count() == 0
+    monkeypatch.setattr(sweep, "SHARD_PLACES", 60 * 2405 // 3)
+    dealt = sweep.train(df, "id", "text", "label", (1,))
+    assert not np.array_equal(dealt.weights, whole.weights)
+    assert np.array_equal(dealt.weights, sweep.train(df.repartition(5), "id", "text", "label", (1,)).weights)
